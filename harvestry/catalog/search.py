@@ -15,7 +15,7 @@ from harvestry.sources.tables import load
 
 @query("search_page", """
 WITH hits AS (
-  SELECT * FROM part WHERE p_retailprice >= 905 AND p_retailprice <= 40000 AND p_size <> -1
+  SELECT * FROM part WHERE p_retailprice >= 905 AND p_retailprice <= 40000
     AND (contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'widget') OR contains(lower(p_type), 'widget'))
   ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 20 OFFSET 20)
 SELECT p_partkey, p_name, p_brand, p_retailprice,
@@ -105,22 +105,16 @@ def default_listing(spark, sf):
 
 
 @query("children_pages", f"""
-WITH {B.CHILDREN}, own AS (SELECT * FROM children WHERE journal_id = 7)
-SELECT 'crawled' AS listing, comment_id, row_number() OVER (ORDER BY crawled_at DESC NULLS LAST, comment_id) AS place FROM own
-UNION ALL SELECT 'time', comment_id, row_number() OVER (ORDER BY comment_time DESC NULLS LAST, comment_id) FROM own
-UNION ALL SELECT 'rating', comment_id, row_number() OVER (ORDER BY CAST(substr(rating, 1, 1) AS BIGINT) DESC, comment_id) FROM own""")
+WITH {B.CHILDREN}, ranked AS (
+  SELECT 'crawled' AS listing, journal_id, comment_id, row_number() OVER (PARTITION BY journal_id ORDER BY crawled_at DESC NULLS LAST, comment_id) AS p FROM children
+  UNION ALL SELECT 'time', journal_id, comment_id, row_number() OVER (PARTITION BY journal_id ORDER BY comment_time DESC NULLS LAST, comment_id) FROM children
+  UNION ALL SELECT 'rating', journal_id, comment_id, row_number() OVER (PARTITION BY journal_id ORDER BY CAST(substr(rating, 1, 1) AS BIGINT) DESC, comment_id) FROM children)
+SELECT listing, journal_id, comment_id, CAST(p AS INTEGER) AS place FROM ranked WHERE p <= 5""")
 def children_pages(spark, sf):
-    from pyspark.sql import Window
-
     kids = B.children(spark, sf)
     out = None
     for by in ("crawled", "time", "rating"):
-        rows = S.page(S.children_of(kids, 7, by), 1, 1000, max_size=1000)
-        # a page of one entity's children, numbered in its order
-        first = {"crawled": F.col("crawled_at").desc_nulls_last(), "time": F.col("comment_time").desc_nulls_last(),
-                 "rating": S.first_integer("rating").desc()}[by]
-        place = F.row_number().over(Window.orderBy(first, "comment_id")).cast("long")
-        rows = rows.select(F.lit(by).alias("listing"), "comment_id", place.alias("place"))
+        rows = S.first_children(kids, 5, by).select(F.lit(by).alias("listing"), "journal_id", "comment_id", "place")
         out = rows if out is None else out.unionByName(rows)
     return out
 

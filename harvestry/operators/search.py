@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry import rules
@@ -218,18 +218,35 @@ def default_listing(df: DataFrame, cols: EntityColumns = DEFAULT) -> DataFrame:
     return sort_entities(df, cols.score, "desc", cols)
 
 
-def children_of(
-    children: DataFrame, entity_id: int, by: str = "crawled", key: str = "journal_id",
-    id_col: str = "comment_id", crawled: str = "crawled_at", time: str = "comment_time",
-    rating: str = "rating",
-) -> DataFrame:
-    """Children of one entity by crawl time, comment time or rating, highest first."""
-    rows = children.filter(F.col(key) == entity_id)
+def child_order(
+    by: str = "crawled", id_col: str = "comment_id", crawled: str = "crawled_at",
+    time: str = "comment_time", rating: str = "rating",
+) -> list[Column]:
+    """Latest crawled first, or highest rating, or latest comment; missing ones last."""
     if by == "rating":
         first = F.coalesce(first_integer(rating), F.lit(0)).desc()
     else:
         first = F.col(time if by == "time" else crawled).desc_nulls_last()
-    return rows.orderBy(first, F.col(id_col))
+    return [first, F.col(id_col)]
+
+
+def children_of(
+    children: DataFrame, entity_id: int, by: str = "crawled", key: str = "journal_id", **columns: str
+) -> DataFrame:
+    """Children of one entity in the chosen order."""
+    return children.filter(F.col(key) == entity_id).orderBy(*child_order(by, **columns))
+
+
+def first_children(
+    children: DataFrame, size: int = 20, by: str = "crawled", key: str = "journal_id", **columns: str
+) -> DataFrame:
+    """The first page of children of every entity, with ``place`` from 1.
+
+    Spark applies the rank limit before the shuffle, so an entity with very many children
+    sends only ``size`` rows per map task.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*child_order(by, **columns)))
+    return children.withColumn("place", place.cast("int")).filter(F.col("place") <= min(size, 1000))
 
 
 def child_counts(children: DataFrame, key: str = "journal_id", out: str = "n_children") -> DataFrame:
