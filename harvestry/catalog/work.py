@@ -194,11 +194,11 @@ SELECT i.id,
   CASE WHEN e.id IS NULL THEN retry_count WHEN stop THEN max_retry ELSE retry_count + retries END AS retry_count,
   CASE WHEN e.id IS NULL THEN error_message ELSE message END AS error_message,
   CASE WHEN e.id IS NULL THEN completed_at WHEN action = 'release' THEN completed_at ELSE {B.NOW} END AS completed_at,
-  e.id IS NOT NULL AND action <> 'release' AND NOT (action = 'resolve_detail_id' AND i.id % 2 = 0) AS counted
+  e.id IS NOT NULL AND action <> 'release' AND NOT (action = 'resolve_detail_id' AND i.status = 'running') AS counted
 FROM items i LEFT JOIN eff e USING (id)""")
 def apply_failures(spark, sf):
     items = B.work_items(spark, sf)
-    solved = items.filter(F.col("id") % 2 == 0).select("id")
+    solved = items.filter("status = 'running'").select("id")
     rows = E.apply_failures(
         items, E.classify(_failures(spark, sf)), B.latest_order(spark, sf), ["ts", "event_id"], solved)
     return rows.select("id", "status", "retry_count", "error_message", "completed_at", "counted")

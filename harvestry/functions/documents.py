@@ -81,7 +81,7 @@ def doc_field(doc: Column | str, field: str) -> Column:
     """Text of a top-level field (nested values as JSON text, JSON null as NULL)."""
     entries = F.map_entries(F.from_json(_col(doc), "map<string,string>"))
     hit = F.filter(entries, lambda e: e["key"] == field)
-    return F.element_at(hit, -1)["value"]
+    return F.try_element_at(hit, F.lit(-1))["value"]
 
 
 def has_field(doc: Column | str, field: str) -> Column:
