@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from harvestry import rules
 from harvestry.functions.text import blank_to_null, compact_text, join_distinct, let
 
+# possessive loops: they run in constant stack space on texts of any length
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_REST = r"-?\d[\d.eE+-]*|true|false|null"
 # one JSON string (a key when a colon follows), number, word or comma
-_TOKEN = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|-?\d[\d.eE+-]*|true|false|null|,'
-_SCALAR = r'"(?:[^"\\]|\\.)*"|-?\d[\d.eE+-]*|true|false|null'
+_TOKEN = rf"{_STRING}(?:\s*:)?|{_REST}|,"
+_SCALAR = f"{_STRING}|{_REST}"
 
 
 def _col(c: Column | str) -> Column:
