@@ -3,7 +3,7 @@
 from harvestry.catalog.registry import ORACLE, QUERIES
 
 from harvestry.catalog import (  # noqa: F401,E402  (each module registers its queries)
-    search, work, history, children, quality, listing, resources, resolve, extract, scalars,
+    search, work, history, children, quality, listing, resources, resolve, extract, scalars, streams,
 )
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -62,6 +62,37 @@ def replace_if_complete(
     return Replacement(children, report, problems, resolves)
 
 
+class Harvested(NamedTuple):
+    children: DataFrame
+    report: DataFrame
+
+
+def apply_harvests(
+    old: DataFrame, rows: DataFrame, key: str = "journal_id", harvest: str = "harvest",
+    child: str = "comment_id", order: Sequence[str] = ("position_no",),
+) -> Harvested:
+    """Replacement for rows of several harvests (numbered upwards) of the same entities.
+
+    Every row repeats its harvest's total_count and total_pages; a harvest without
+    children is one row without a child id.  The last complete harvest of an entity is
+    what stays, as if they had been applied one after the other.
+    """
+    unit = [key, harvest]
+    named = rows.filter(F.coalesce(F.col(child).cast("string"), F.lit("")) != "")
+    kept = first_per_key(named, [*unit, child], order)
+    counts = kept.groupBy(*unit).agg(F.count(F.lit(1)).alias("crawled_count"))
+    expected = rows.groupBy(*unit).agg(
+        F.max(lenient_int("total_count")).alias("total_count"), F.max(lenient_int("total_pages")).alias("total_pages"))
+    report = join_on(expected, counts, unit).withColumn(
+        "crawled_count", F.coalesce("crawled_count", F.lit(0)).cast("long"))
+    report = report.withColumn(
+        "complete", (F.col("total_count") == 0) | (F.col("crawled_count") >= F.col("total_count")))
+    latest = report.filter("complete").groupBy(key).agg(F.max(harvest).alias(harvest))
+    children = old.join(latest, key, "left_anti").unionByName(
+        kept.join(latest, unit, "left_semi").select(*old.columns))
+    return Harvested(children, report)
+
+
 def update_child_counters(
     entities: DataFrame, report: DataFrame, key: str = "journal_id", doc: str = "detail_data",
     done: str = "comments_crawled",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from harvestry import rules
 from harvestry.functions.documents import canonical_json, record_hash
 from harvestry.functions.text import metric_text
-from harvestry.operators.scans import ROWS_PER_CHUNK, with_previous
+from harvestry.operators.dedupe import first_per_key
+from harvestry.operators.scans import ROWS_PER_CHUNK, join_on, with_previous
 
 SCORES = ("impact_factor", "impact_factor_realtime")
 
@@ -77,6 +79,41 @@ def field_changes(
     )
 
 
+class Advanced(NamedTuple):
+    state: DataFrame
+    snapshots: DataFrame
+    changes: DataFrame
+    late: DataFrame
+
+
+def advance_history(
+    state: DataFrame | None, obs: DataFrame, keys: Sequence[str], order: Sequence[str],
+    fields: Sequence[str] = rules.METRIC_FIELDS, decimals: Sequence[str] = SCORES,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> Advanced:
+    """One step of an incremental history: the state holds the last record of every key.
+
+    Observations not after the last one of their key come out as ``late`` and change nothing.
+    """
+    records = metric_records(obs, keys, order, fields, decimals).withColumn("_new", F.lit(True))
+    late = records.limit(0)
+    if state is not None:
+        last = state.select(*keys, F.struct(*order).alias("_last"))
+        marked = join_on(records, last, keys)
+        in_time = F.col("_last").isNull() | (F.struct(*order) > F.col("_last"))
+        late = marked.filter(~in_time).drop("_last")
+        records = marked.filter(in_time).drop("_last").unionByName(state.withColumn("_new", F.lit(False)))
+    seen = with_previous(records, keys, order, [*fields, "metric_hash"], "_before", rows_per_chunk)
+    fresh = seen.filter("_new")
+    is_new = F.col("_before").isNull() | (F.col("_before.metric_hash") != F.col("metric_hash"))
+    return Advanced(
+        first_per_key(records.drop("_new"), list(keys), list(order), last=True),
+        fresh.filter(is_new).select(*keys, *order, "metrics", "metric_hash"),
+        field_changes(fresh, keys, order, fields),
+        late.select(*keys, *order, "metrics"),
+    )
+
+
 def change_feed(
     changed: DataFrame, keys: Sequence[str] = ("journal_id",), at: str = "at",
     ties: Sequence[str] = ("seq", "field_name"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestry import rules
-from harvestry.operators.scans import join_on
+from harvestry.operators.scans import ROWS_PER_CHUNK, join_on, running
 
 UPDATED = ("message", "expected_value", "actual_value")
 
@@ -49,6 +49,55 @@ def record_problems(table: DataFrame, new: DataFrame, now: Column, order: Sequen
     return both.select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
 
 
+def apply_problem_events(
+    table: DataFrame, events: DataFrame, order: Sequence[str], at: str, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Report and resolve events applied in order.
+
+    ``events`` holds ``kind`` (report or resolve), journal_id, problem_code, problem_type,
+    the reported values and the event time.  The resolves cut the events of an (entity,
+    code) into rounds: the first round continues the open row, if there is one, and every
+    later round with a report is a row of its own.
+    """
+    keys = ["journal_id", "problem_code"]
+    resolve = F.col("kind") == "resolve"
+    counted = running(events, keys, order, {"_n": F.when(resolve, 1).otherwise(0)}, rows_per_chunk=rows_per_chunk)
+    rank = F.struct(*order)
+    reported = F.when(~resolve, rank)
+    rounds = counted.withColumn("_round", F.col("_n") - resolve.cast("int")).groupBy(*keys, "_round").agg(
+        F.count_if(~resolve).alias("_reports"),
+        F.max_by(F.struct(*UPDATED), reported).alias("_report"),
+        F.min_by("problem_type", reported).alias("_type"),
+        F.min(F.when(~resolve, F.col(at))).alias("_from"),
+        F.max(F.when(~resolve, F.col(at))).alias("_to"),
+        F.max(F.when(resolve, F.col(at))).alias("_closed"),
+    )
+    left = table.withColumn("_slot", F.when(F.col("resolved") == 0, F.lit(0)))
+    right = rounds.select(F.col("journal_id").alias("_jid"), F.col("problem_code").alias("_code"),
+                          *[c for c in rounds.columns if c not in keys])
+    both = left.join(
+        right,
+        (F.col("journal_id") == F.col("_jid")) & (F.col("problem_code") == F.col("_code"))
+        & (F.col("_slot") == F.col("_round")),
+        "full",
+    )
+    is_new = F.col("resolved").isNull()
+    has_report = F.coalesce(F.col("_reports") > 0, F.lit(False))
+    closed = F.col("_closed").isNotNull()
+    values: dict[str, Column] = {
+        "id": F.coalesce("id", F.xxhash64("_jid", "_code", F.col("_from").cast("string"))),
+        "journal_id": F.coalesce("journal_id", "_jid"),
+        "problem_code": F.coalesce("problem_code", "_code"),
+        "problem_type": F.coalesce("problem_type", "_type"),
+        "resolved": F.when(closed, 1).otherwise(F.coalesce("resolved", F.lit(0))),
+        "resolved_at": F.coalesce("_closed", "resolved_at"),
+        "created_at": F.coalesce("created_at", "_from"),
+        "updated_at": F.when(has_report, F.col("_to")).otherwise(F.col("updated_at")),
+        **{c: F.when(has_report, F.col(f"_report.{c}")).otherwise(F.col(c)) for c in UPDATED},
+    }
+    return both.filter(~is_new | has_report).select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
+
+
 def _stamp(table: DataFrame, hit: Column, now: Column) -> DataFrame:
     done = (F.col("resolved") == 0) & hit
     return table.withColumns({
