@@ -169,6 +169,6 @@ def replace_keys(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFra
 
 def write_version(df: DataFrame, folder: str, version: int) -> str:
     """Write a table version beside the earlier ones; rewriting the same version is harmless."""
-    path = f"{folder}/v={version}"
+    path = f"{folder}/batch_version={version}"
     df.write.mode("overwrite").parquet(path)
     return path

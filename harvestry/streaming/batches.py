@@ -1,8 +1,8 @@
 """Micro-batches over a versioned state table.
 
 Each micro-batch reads the state version of the batch before it, computes its results with
-the same distributed operators the batch jobs use, and writes ``state/v=<batch id>`` and
-``<output>/v=<batch id>``.  A replayed batch rewrites the same versions from the same
+the same distributed operators the batch jobs use, and writes ``state/batch_version=<batch id>`` and
+``<output>/batch_version=<batch id>``.  A replayed batch rewrites the same versions from the same
 inputs, so every result is stored exactly once, whichever executor or driver was lost.
 """
 
@@ -26,7 +26,7 @@ def start_batches(
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = first_state if batch_id == 0 else spark.read.parquet(f"{folder}/state/v={batch_id - 1}")
+        before = first_state if batch_id == 0 else spark.read.parquet(f"{folder}/state/batch_version={batch_id - 1}")
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             state, outputs = step(before, batch)
@@ -42,9 +42,9 @@ def start_batches(
 
 def read_output(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """All rows an output received so far."""
-    return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").drop("v")
+    return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").drop("batch_version")
 
 
 def read_state(spark: SparkSession, folder: str, query: StreamingQuery) -> DataFrame:
     """The state after the last finished micro-batch of ``query``."""
-    return spark.read.parquet(f"{folder}/state/v={query.lastProgress['batchId']}")
+    return spark.read.parquet(f"{folder}/state/batch_version={query.lastProgress['batchId']}")
