@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harvestry import rules
-from harvestry.functions.text import blank_to_null, compact_text, join_distinct, let
+from harvestry.functions.text import (
+    blank_to_null, compact_text, decimal_in_text, join_distinct, let,
+)
 
 # possessive loops: they run in constant stack space on texts of any length
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -69,15 +71,18 @@ def doc_keys(doc: Column | str) -> Column:
 def doc_map(doc: Column | str) -> Column:
     """Top level as map<string,string>; nested values stay JSON text, the last duplicate wins."""
     entries = F.map_entries(F.from_json(_col(doc), "map<string,string>"))
-    return F.map_from_entries(_last_of_each(entries, "key"))
+    return F.map_from_entries(_last_of_each(entries))
 
 
-def _last_of_each(entries: Column, field: str) -> Column:
-    def is_last(e: Column, i: Column) -> Column:
-        later = F.slice(entries, i + 2, F.size(entries))
-        return ~F.exists(later, lambda x: x[field] == e[field])
+def _last_of_each(entries: Column) -> Column:
+    """Map entries with only the last one of equal keys."""
+    def keep(newest_first: Column) -> Column:
+        def pick(keys: Column) -> Column:
+            return F.filter(newest_first, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
 
-    return F.filter(entries, is_last)
+        return let(F.transform(newest_first, lambda e: e["key"]), pick)
+
+    return F.reverse(let(F.reverse(entries), keep))
 
 
 def doc_field(doc: Column | str, field: str) -> Column:
@@ -99,22 +104,20 @@ def has_any_key(keys: Column, names: Sequence[str]) -> Column:
 
 def merge_docs(old: Column | str, new: Column | str) -> Column:
     """Top-level merge where the new document wins; key order of the old one is kept."""
-    def entries(doc: Column) -> Column:
-        as_map = F.from_json(F.coalesce(doc, F.lit("{}")), "map<string,variant>")
-        listed = F.map_entries(F.coalesce(as_map, F.from_json(F.lit("{}"), "map<string,variant>")))
-        return _last_of_each(listed, "key")
-
-    left, right = entries(_col(old)), entries(_col(new))
+    def as_map(doc: Column) -> Column:
+        parsed = F.from_json(F.coalesce(doc, F.lit("{}")), "map<string,variant>")
+        listed = _last_of_each(F.map_entries(parsed))
+        return F.coalesce(F.map_from_entries(listed), F.from_json(F.lit("{}"), "map<string,variant>"))
 
-    def newest(e: Column) -> Column:
-        hit = F.filter(right, lambda x: x["key"] == e["key"])
-        return F.struct(
-            e["key"].alias("key"),
-            F.when(F.size(hit) > 0, F.get(hit, F.lit(0))["value"]).otherwise(e["value"]).alias("value"),
-        )
+    def merged(both: Column) -> Column:
+        was, now = both["was"], both["now"]
+        replaced = F.transform_values(
+            was, lambda k, v: F.when(F.map_contains_key(now, k), F.try_element_at(now, k)).otherwise(v))
+        added = F.map_filter(now, lambda k, v: ~F.map_contains_key(was, k))
+        return F.to_json(F.map_concat(replaced, added))
 
-    added = F.filter(right, lambda e: ~F.exists(left, lambda x: x["key"] == e["key"]))
-    return F.to_json(F.map_from_entries(F.concat(F.transform(left, newest), added)))
+    pair = F.struct(as_map(_col(old)).alias("was"), as_map(_col(new)).alias("now"))
+    return let(pair, merged)
 
 
 # --- text of any depth ------------------------------------------------------------------------
@@ -251,25 +254,23 @@ def canonical_fields(
     labels: Column | str, label_rules: Sequence[tuple[str, str]] = rules.LABEL_RULES_FIXED
 ) -> Column:
     """Raw label map plus canonical names: first matching rule per label, last label per name."""
-    from harvestry.functions.text import decimal_in_text
-
-    raw = F.map_entries(_col(labels))
-
     def target(label: Column) -> Column:
         chain = F.when(F.lit(False), F.lit(None).cast("string"))
         for pattern, name in label_rules:
             chain = chain.when(label.rlike(f"(?i)(?:{pattern})"), F.lit(name))
         return chain
 
-    def named(e: Column) -> Column:
-        name = target(e["key"])
-        number = decimal_in_text(e["value"]).cast("string")
-        value = F.when(name.isin(*rules.DECIMAL_TARGETS), number).otherwise(e["value"])
-        return F.struct(name.alias("key"), value.alias("value"))
+    def with_value(pair: Column) -> Column:
+        number = decimal_in_text(pair["value"]).cast("string")
+        value = F.when(pair["key"].isin(*rules.DECIMAL_TARGETS), number).otherwise(pair["value"])
+        return F.struct(pair["key"].alias("key"), value.alias("value"))
+
+    def named(raw: Column) -> Column:
+        pairs = F.transform(raw, lambda e: F.struct(target(e["key"]).alias("key"), e["value"].alias("value")))
+        known = F.filter(pairs, lambda p: p["key"].isNotNull())
+        return F.map_from_entries(_last_of_each(F.concat(raw, F.transform(known, with_value))))
 
-    named_all = F.filter(F.transform(raw, named), lambda e: e["key"].isNotNull())
-    both = F.concat(raw, named_all)
-    return F.map_from_entries(_last_of_each(both, "key"))
+    return let(F.map_entries(_col(labels)), named)
 
 
 def effective_id(extra: Column | str, own: Column | str) -> Column:
