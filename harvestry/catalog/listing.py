@@ -66,11 +66,12 @@ def _groups(spark, sf):
 
 
 def links(spark, sf):
-    """Links of the customers with a big finished order; nation 5 and 7 are not indexed yet."""
+    """Links of the customers with a big finished order; the nations of region 4 are not indexed yet."""
     seen = load(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_totalprice > 100000").groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("first_seen_at"), F.max("o_orderdate").alias("last_seen_at"))
-    c = load(spark, sf, "customer").filter("c_nationkey NOT IN (5, 7)")
-    return c.join(seen, F.col("c_custkey") == F.col("o_custkey")).select(
+    c = load(spark, sf, "customer")
+    indexed = load(spark, sf, "nation").filter("n_regionkey <> 4").select(F.col("n_nationkey").alias("c_nationkey"))
+    return c.join(indexed, "c_nationkey", "left_semi").join(seen, F.col("c_custkey") == F.col("o_custkey")).select(
         F.col("c_nationkey").cast("long").alias("category_id"), F.col("c_custkey").alias("journal_id"),
         F.lit(1).cast("long").alias("page_no"), F.lit(1).cast("long").alias("position_no"),
         (F.col("c_acctbal") > -900).alias("active"), "first_seen_at", "last_seen_at")
@@ -80,7 +81,7 @@ LINKS = """links AS (
   SELECT CAST(c_nationkey AS BIGINT) AS category_id, c_custkey AS journal_id, CAST(1 AS BIGINT) AS page_no,
     CAST(1 AS BIGINT) AS position_no, c_acctbal > -900 AS active, f AS first_seen_at, l AS last_seen_at
   FROM customer JOIN (SELECT o_custkey, min(o_orderdate) AS f, max(o_orderdate) AS l FROM orders
-    WHERE o_orderstatus = 'F' AND o_totalprice > 100000 GROUP BY 1) ON o_custkey = c_custkey WHERE c_nationkey NOT IN (5, 7))"""
+    WHERE o_orderstatus = 'F' AND o_totalprice > 100000 GROUP BY 1) ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 4))"""
 STATES = f"""{LINKS}, g AS (
   SELECT CAST(n_nationkey AS BIGINT) AS category_id, n_name AS field_tag,
     CASE WHEN n_regionkey = 2 THEN 0 ELSE (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS remote_total_count,

@@ -28,8 +28,9 @@ def documents(spark, sf):
     docs = top.groupBy("o_custkey").agg(doc.alias("detail_data"))
     base = B.entities(spark, sf).drop("detail_data")
     joined = base.join(docs, F.col("journal_id") == F.col("o_custkey"), "left").drop("o_custkey")
-    listed = F.when(F.col("comments_crawled"), F.lit("[1]"))
-    return joined.withColumn("detail_data", F.when(F.col("category_id") == 3, listed).otherwise(F.col("detail_data")))
+    # what the builders have is a list, where their nation has a low key, or nothing
+    listed = F.when(F.col("category_id") < 12, F.lit("[1]"))
+    return joined.withColumn("detail_data", F.when(F.col("comments_crawled"), listed).otherwise(F.col("detail_data")))
 
 
 AUDIT = f"""{B.ENTITIES}, top AS (
@@ -37,7 +38,7 @@ AUDIT = f"""{B.ENTITIES}, top AS (
 d AS (SELECT o_custkey, count(*) AS n, bool_or(s = 'F') AS locked, bool_or(p = '1-URGENT') AS ident,
   bool_or(p = '5-LOW') AS low, bool_or(p = '2-HIGH') AS high FROM top GROUP BY 1),
 e AS (SELECT journal_id, name, category_id, updated_at, detail_crawled,
-  CASE WHEN category_id = 3 THEN CASE WHEN comments_crawled THEN 'list' ELSE 'none' END WHEN n IS NULL THEN 'none' ELSE 'doc' END AS kind,
+  CASE WHEN comments_crawled THEN CASE WHEN category_id < 12 THEN 'list' ELSE 'none' END WHEN n IS NULL THEN 'none' ELSE 'doc' END AS kind,
   n, locked, ident, low, high FROM entities LEFT JOIN d ON o_custkey = journal_id),
 reasons AS (SELECT *,
   CASE kind WHEN 'none' THEN 'detail_empty' WHEN 'list' THEN 'detail_not_object' ELSE

@@ -260,6 +260,13 @@ def export_nested(spark, sf):
     return rows.select("journal_id", "n_children", F.coalesce(listed, F.lit("")).alias("listed"))
 
 
+@query("export_entities", """
+SELECT p_partkey AS "\ufeffID", p_name AS "名称", p_retailprice AS "影响因子" FROM part WHERE p_size = 3""")
+def export_entities(spark, sf):
+    header = {"p_partkey": "ID", "p_name": "名称", "p_retailprice": "影响因子"}
+    return sinks.export_rows(load(spark, sf, "part").filter("p_size = 3"), header)
+
+
 @query("export_children", f"""
 WITH {B.CHILDREN} SELECT comment_id, journal_id, content, author, rating, submit_experience,
   strftime(comment_time, '%Y-%m-%d %H:%M') AS comment_time, strftime(crawled_at, '%Y-%m-%d %H:%M') AS crawled_at FROM children""")

@@ -321,6 +321,30 @@ def plan_ids(spark, sf):
     return R.targets_ids(B.entities(spark, sf), wanted).select("target_id")
 
 
+@query("plan_applied", f"""
+WITH {B.ENTITIES}, {B.ITEMS}, latest AS (
+  SELECT target_id, max(id) AS item_id, arg_max(status, id) AS s FROM items WHERE task_type = 'detail' GROUP BY 1),
+p AS (SELECT CAST(journal_id AS VARCHAR) AS target_id, item_id, s FROM entities LEFT JOIN latest ON target_id = CAST(journal_id AS VARCHAR)),
+n AS (SELECT i.*, i.id IN (SELECT item_id FROM p WHERE s <> 'running') AS hit, i.id IN (SELECT item_id FROM p) AS known FROM items i)
+SELECT task_type, target_id, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN 0 ELSE retry_count END AS retry_count,
+  CASE WHEN NOT hit THEN error_message END AS error_message, CASE WHEN known THEN '{{}}' ELSE extra_data END AS extra_data, created_at FROM n
+UNION ALL SELECT 'detail', target_id, 'pending', 0, NULL, '{{}}', {B.NOW} FROM p WHERE item_id IS NULL""")
+def plan_applied(spark, sf):
+    items = B.work_items(spark, sf)
+    targets = R.targets_all(B.entities(spark, sf)).withColumn("extra_data", F.lit("{}"))
+    planned = R.plan(targets, items, "detail_force", "detail")
+    rows = R.apply_plan(items, planned, "detail", B.latest_order(spark, sf))
+    return rows.select("task_type", "target_id", "status", "retry_count", "error_message", "extra_data", "created_at")
+
+
+@query("plan_clears_flags", f"""
+WITH {STALE} SELECT journal_id, detail_crawled AND journal_id NOT IN (SELECT journal_id FROM flagged WHERE outdated) AS detail_crawled,
+  comments_crawled AND journal_id NOT IN (SELECT journal_id FROM flagged WHERE outdated) AS comments_crawled FROM entities""")
+def plan_clears_flags(spark, sf):
+    rows = R.clear_done(B.entities(spark, sf), R.targets_outdated(_flags(spark, sf)))
+    return rows.select("journal_id", "detail_crawled", "comments_crawled")
+
+
 # --- rewrites ----------------------------------------------------------------------------------------
 
 @query("reset_exhausted", f"""

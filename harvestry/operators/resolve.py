@@ -49,7 +49,7 @@ def _two_best(candidates: DataFrame, within: Sequence[str], id_col: str, order:
     rank filter is applied before the shuffle, so a name shared by a third of the rows
     sends two rows per task.
     """
-    single = first_per_key(candidates, [*within, id_col], order)
+    single = first_per_key(candidates.select(*within, id_col, *order), [*within, id_col], order)
     rank = F.row_number().over(Window.partitionBy(*within).orderBy(*order, id_col))
     return (
         single.withColumn("_rank", rank).filter(F.col("_rank") <= 2)
@@ -71,12 +71,15 @@ def resolve_by_name(
     ``within`` are further columns (e.g. the group) that must be equal.  A blank
     normalised name never matches.
     """
-    named = candidates.withColumn("_key", name_key(candidate_name, ascii_only)).filter(F.col("_key") != "")
-    best = _two_best(named.select("_key", *within, candidate_id, *order), ["_key", *within], candidate_id, order)
+    named = candidates.withColumn("_key", name_key(candidate_name, ascii_only))
     keyed = stale.withColumn("_key", name_key(name_col, ascii_only))
-    found = keyed.join(best, ["_key", *within], "left")
-    pick = F.when(F.col("_first") != F.col(id_col), F.col("_first")).otherwise(F.col("_second"))
-    return found.withColumn(out, pick).select(*stale.columns, out)
+    best = _two_best(named.filter(F.col("_key") != ""), ["_key", *within], candidate_id, order)
+    return _pick(keyed, best, ["_key", *within], id_col, out).drop("_key")
+
+
+def _pick(keyed: DataFrame, best: DataFrame, on: Sequence[str], id_col: str, out: str) -> DataFrame:
+    other = F.when(F.col("_first") != F.col(id_col), F.col("_first")).otherwise(F.col("_second"))
+    return keyed.join(best, list(on), "left").withColumn(out, other).select(*keyed.columns, out)
 
 
 def _samples(candidates: DataFrame, within: Sequence[str], order: Sequence[str], n: int, out: str) -> DataFrame:
@@ -101,17 +104,21 @@ def resolve_cascade(
     ).distinct().withColumn("_failed", F.lit(True))
     own = entities.select("journal_id", "name", "category_id", F.lit(True).alias("_known"))
     base = join_on(join_on(requested.select("journal_id").distinct(), own, ["journal_id"]), failed, ["journal_id"])
-    rows = resolve_by_name(base, search_candidates, order=order, out="_by_name", ascii_only=ascii_only)
-    rows = resolve_by_name(
-        rows, group_candidates, order=order, within=["category_id"], out="_by_group", ascii_only=ascii_only
-    )
-
-    named = search_candidates.withColumn("_key", name_key("candidate_name", ascii_only)).filter(F.col("_key") != "")
-    kept = _samples(first_per_key(named, ["_key", "candidate_id"], order), ["_key"], order, MAX_KEPT, "candidates")
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("_key", name_key(name, ascii_only))
+
+    searched = keyed(search_candidates, "candidate_name").filter(F.col("_key") != "")
+    listing = keyed(group_candidates, "candidate_name").filter(F.col("_key") != "")
+    in_group = ["_key", "category_id"]
+    rows = keyed(base, "name")
+    rows = _pick(rows, _two_best(searched, ["_key"], "candidate_id", order), ["_key"], "journal_id", "_by_name")
+    rows = _pick(rows, _two_best(listing, in_group, "candidate_id", order), in_group, "journal_id", "_by_group")
+
+    single = first_per_key(searched.select("_key", "candidate_id", *order), ["_key", "candidate_id"], order)
+    kept = _samples(single, ["_key"], order, MAX_KEPT, "candidates")
     listed = group_candidates.groupBy("category_id").agg(F.count(F.lit(1)).alias("_n"))
     sample = _samples(group_candidates, ["category_id"], order, MAX_SAMPLE, "_sample")
-    rows = rows.withColumn("_key", name_key("name", ascii_only)).join(kept, "_key", "left")
-    rows = join_on(join_on(rows, listed, ["category_id"]), sample, ["category_id"])
+    rows = join_on(join_on(rows.join(kept, "_key", "left"), listed, ["category_id"]), sample, ["category_id"])
 
     chosen = F.coalesce("_by_name", "_by_group")
     eligible = F.col("_known").isNotNull() & F.col("_failed").isNotNull()

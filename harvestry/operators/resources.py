@@ -195,12 +195,15 @@ def import_report(
     per_endpoint = ok.groupBy("ip", "port").agg(F.count(F.lit(1)).alias("_n"))
     tallied = per_endpoint.join(known, ["ip", "port"], "left")
     added = F.count_if(F.col("_known").isNull())
-    good = tallied.agg(added.alias("added"), (F.coalesce(F.sum("_n"), F.lit(0)) - added).alias("updated"))
-    bad = rejects.agg(F.count_if("skipped").alias("skipped"), F.count_if(~F.col("skipped")).alias("failed"))
-    counts = good.select(
-        "added", "updated",
-        bad.select("skipped").scalar().alias("skipped"), bad.select("failed").scalar().alias("failed"),
-    )
+    zero = F.lit(0).cast("long")
+    good = tallied.agg(
+        added.alias("added"), (F.coalesce(F.sum("_n"), zero) - added).alias("updated")
+    ).select("added", "updated", zero.alias("skipped"), zero.alias("failed"))
+    bad = rejects.agg(
+        F.count_if("skipped").alias("skipped"), F.count_if(~F.col("skipped")).alias("failed")
+    ).select(zero.alias("added"), zero.alias("updated"), "skipped", "failed")
+    # one row each
+    counts = good.unionByName(bad).agg(*[F.sum(c).alias(c) for c in ("added", "updated", "skipped", "failed")])
     errors = rejects.filter(~F.col("skipped")).orderBy(order).limit(max_errors)
     return counts, errors
 

@@ -169,6 +169,46 @@ def reset_items(
     return _reset(marked, hit, zero_retries=how == "force").select(*items.columns)
 
 
+def apply_plan(items: DataFrame, planned: DataFrame, task_type: str, now: Column) -> DataFrame:
+    """Work items after a plan: reset ones pending again, created ones appended as pending.
+
+    ``planned`` comes from ``plan``; optional columns target_url and extra_data of the
+    targets go into created items, and into kept and reset ones as well.
+    """
+    fresh = {c: F.col(c) for c in ("target_url", "extra_data") if c in planned.columns}
+    known = planned.filter(F.col("action").isin("keep", "reset")).select(
+        F.col("item_id").alias("id"), (F.col("action") == "reset").alias("_reset"),
+        *[col.alias(f"_{c}") for c, col in fresh.items()],
+    )
+    marked = items.join(known, "id", "left")
+    for c in fresh:
+        marked = marked.withColumn(c, F.coalesce(f"_{c}", c))
+    rewritten = _reset(marked, F.col("_reset"), zero_retries=True).select(*items.columns)
+    zero = F.lit(0).cast("long")
+    values = {
+        "id": F.xxhash64(F.lit(task_type), "target_id", now.cast("string")), "task_type": F.lit(task_type),
+        "target_id": F.col("target_id"), "status": F.lit("pending"), "retry_count": zero,
+        "max_retry": F.lit(3).cast("long"), "created_at": now, **fresh,
+    }
+    created = planned.filter(F.col("action") == "create").select(*[
+        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in items.schema
+    ])
+    return rewritten.unionByName(created)
+
+
+def clear_done(
+    entities: DataFrame, targets: DataFrame, key: str = "journal_id",
+    flags: Sequence[str] = ("detail_crawled", "comments_crawled"),
+) -> DataFrame:
+    """Entities with the given done flags cleared where they are planned for another harvest."""
+    chosen = targets.select(key).distinct().withColumn("_again", F.lit(True))
+    marked = entities.join(chosen, key, "left")
+    again = F.coalesce("_again", F.lit(False))
+    return marked.select(*[
+        (F.col(c) & ~again).alias(c) if c in flags else F.col(c) for c in entities.columns
+    ])
+
+
 def purge_completed(items: DataFrame) -> DataFrame:
     return items.filter(F.col("status") != "completed")
 

@@ -32,7 +32,8 @@ CHILD_HEADER = {
 NESTED_FIELDS = ("comment_id", "content", "author", "rating", "submit_experience", "comment_time")
 
 
-def _renamed(df: DataFrame, header: dict[str, str]) -> DataFrame:
+def export_rows(df: DataFrame, header: dict[str, str]) -> DataFrame:
+    """Columns under their export names; the first name carries the byte order mark."""
     named = [F.col(c).alias(label) for c, label in header.items()]
     first, label = next(iter(header.items()))
     return df.select(F.col(first).alias(BOM + label), *named[1:])
@@ -46,7 +47,7 @@ def _write_csv(df: DataFrame, path: str) -> None:
 def export_entities_csv(entities: DataFrame, path: str, group_id: int | None = None) -> None:
     """Ten columns with the export header; every part file starts with a byte order mark."""
     rows = entities if group_id is None else entities.filter(F.col("category_id") == group_id)
-    _write_csv(_renamed(rows, ENTITY_HEADER), path)
+    _write_csv(export_rows(rows, ENTITY_HEADER), path)
 
 
 def minute_text(c: str) -> F.Column:
@@ -92,7 +93,7 @@ def export_entities_nested(
     entities: DataFrame, children: DataFrame, path: str, group_id: int | None = None
 ) -> None:
     rows = entities if group_id is None else entities.filter(F.col("category_id") == group_id)
-    _write_csv(_renamed(nest_children(rows, children), NESTED_HEADER), path)
+    _write_csv(export_rows(nest_children(rows, children), NESTED_HEADER), path)
 
 
 def export_json(df: DataFrame, path: str) -> None:
@@ -108,7 +109,7 @@ def child_rows(children: DataFrame, entity_id: int | None = None) -> DataFrame:
 
 
 def export_children_csv(children: DataFrame, path: str, entity_id: int | None = None) -> None:
-    _write_csv(_renamed(child_rows(children, entity_id), CHILD_HEADER), path)
+    _write_csv(export_rows(child_rows(children, entity_id), CHILD_HEADER), path)
 
 
 def endpoint_lines(

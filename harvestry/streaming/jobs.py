@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,27 +53,42 @@ def stream_counters(
 def live_sessions(beats: DataFrame, key: str = "worker_id", at: str = "ts", timeout: int = 120) -> DataFrame:
     """Periods in which a reporter was online: heartbeats at most ``timeout`` seconds apart.
 
-    Works on tables and on streams with a watermark; there a period comes out once the
-    watermark has passed its end, so what is missing is still online.
+    Beats in the same slot of ``timeout`` seconds always belong together, so they are
+    aggregated first, on the map side too.  What the window then sees of a reporter is
+    bounded by the time span, not by how often it reports.
     """
-    gap = f"{timeout} seconds 1 microseconds"
-    period = F.session_window(at, gap)
-    return beats.groupBy(period.alias("period"), key).agg(
-        F.count(F.lit(1)).alias("beats"), F.max(at).alias("last_heartbeat")
-    ).select(
-        key, F.col("period.start").alias("online_at"), "last_heartbeat",
-        (F.col("last_heartbeat") + F.make_dt_interval(secs=F.lit(timeout))).alias("offline_at"), "beats",
-    )
+    span = F.make_dt_interval(secs=F.lit(timeout))
+    second = F.unix_date(F.col(at).cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+    slots = beats.groupBy(key, F.floor(second / timeout).alias("_slot")).agg(
+        F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    in_order = Window.partitionBy(key).orderBy("_slot")
+    gap = F.col("_lo") > F.lag("_hi").over(in_order) + span
+    numbered = slots.withColumn("_gap", F.coalesce(gap, F.lit(True)).cast("int"))
+    numbered = numbered.withColumn("_period", F.sum("_gap").over(in_order))
+    return numbered.groupBy(key, "_period").agg(
+        F.min("_lo").alias("online_at"), F.max("_hi").alias("last_heartbeat"), F.sum("_n").alias("beats")
+    ).select(key, "online_at", "last_heartbeat", (F.col("last_heartbeat") + span).alias("offline_at"), "beats")
 
 
 def stream_liveness(
     beats: DataFrame, folder: str, key: str = "worker_id", at: str = "ts", timeout: int = 120,
     late_by: str = "1 minute",
 ) -> StreamingQuery:
-    """Append finished online periods to the table under ``folder``/periods."""
+    """Append the periods of ``live_sessions`` to ``folder``/periods once the watermark passed their end.
+
+    What is missing there is still online.  On a cluster with very chatty reporters set
+    ``spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition`` to true, which
+    merges beats before the shuffle.
+    """
     # watermarks need instants, so local times are read in the session's zone
     timed = beats.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late_by)
-    periods = live_sessions(timed, key, at, timeout)
+    period = F.session_window(at, f"{timeout} seconds 1 microseconds")
+    periods = timed.groupBy(period.alias("period"), key).agg(
+        F.count(F.lit(1)).alias("beats"), F.max(at).alias("last_heartbeat")
+    ).select(
+        key, F.col("period.start").alias("online_at"), "last_heartbeat",
+        (F.col("last_heartbeat") + F.make_dt_interval(secs=F.lit(timeout))).alias("offline_at"), "beats",
+    )
     writer = periods.writeStream.format("parquet").outputMode("append")
     return writer.option("checkpointLocation", f"{folder}/checkpoint").option(
         "path", f"{folder}/periods").trigger(availableNow=True).start()

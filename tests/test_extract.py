@@ -87,5 +87,5 @@ def test_bad_page_gives_error_row(spark, monkeypatch):
 
 def test_unclosed_cells():
     root = H.parse("<table><tr><td>a<td>b<tr><td>c</table>d")
-    table = next(H.find_all(root, "table"))
+    table = H.find_all(root, "table")[0]
     assert [[H.visible_text(c) for c in H.cells_of(r)] for r in H.rows_of(table)] == [["a", "b"], ["c"]]
