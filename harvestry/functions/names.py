@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _key(name: str | None) -> str:
-    folded = unicodedata.normalize("NFKC", (name or "").strip()).casefold()
-    return "".join(ch for ch in folded if ch.isalnum())
-
-
 @F.pandas_udf(T.StringType())
 def _unicode_name_key(names: pd.Series) -> pd.Series:
-    return names.map(_key)
+    plain = names.fillna("").str.strip().str.normalize("NFKC").str.casefold()
+    return plain.str.replace(r"[\W_]+", "", regex=True)
 
 
 def name_key(c: Column | str, ascii_only: bool = False) -> Column:

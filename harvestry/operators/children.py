@@ -50,8 +50,7 @@ def replace_if_complete(
     )
     short = report.filter(~F.col("complete") & (F.col("total_count") > 0))
     message = F.format_string(
-        "评论集合不完整，保留旧评论数据: expected=%d, actual=%d, pages=%d",
-        "total_count", "crawled_count", "total_pages",
+        rules.MISMATCH_MESSAGE, "total_count", "crawled_count", "total_pages",
     )
     problems = short.select(
         key, F.lit("warning").alias("problem_type"), F.lit(rules.COMMENT_MISMATCH).alias("problem_code"),

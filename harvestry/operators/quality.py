@@ -101,11 +101,7 @@ def audit_to_problems(
 ) -> tuple[DataFrame, DataFrame]:
     """Problem rows for bad and warning records, and the (key, code) pairs an ok record resolves."""
     code = F.coalesce(F.get("hard_reasons", F.lit(0)), F.get("warnings", F.lit(0)))
-    message = F.concat(
-        F.lit("详情质量检查: status="), F.col("status"),
-        F.lit(", field_count="), F.col("field_count").cast("string"),
-        F.lit(", reasons="), F.array_join("reason_codes", ","),
-    )
+    message = F.format_string(rules.AUDIT_MESSAGE, "status", "field_count", F.array_join("reason_codes", ","))
     problems = audited.filter(F.col("status") != "ok").select(
         key,
         F.when(F.size("hard_reasons") > 0, "error").otherwise("warning").alias("problem_type"),

@@ -1,13 +1,13 @@
 """Order-dependent operators that stay parallel when one key holds much of the table.
 
 A plain ``Window.partitionBy(key)`` sends a key to a single task.  Here keys with more
-than ``rows_per_chunk`` rows are cut into consecutive pieces along the first ordering
-column, the window runs per (key, piece), and what crosses a piece boundary (the last
-row, a running sum, a running peak) is carried over from a summary with one row per
-piece.  Keys below the limit form one piece and need no carry.
+than ``rows_per_chunk`` rows are cut into consecutive pieces along the ordering columns, the
+window runs per (key, piece), and what crosses a piece boundary (the last row, a running
+sum, a running peak) is carried over from a summary with one row per piece.  Keys below
+the limit form one piece and need no carry.
 
-Both broadcasts are bounded by construction: there are at most ``rows / rows_per_chunk``
-hot keys and twice as many pieces.
+The broadcasts are bounded by construction: there are at most ``rows / rows_per_chunk``
+hot keys and a few times as many pieces.
 """
 
 from __future__ import annotations
@@ -61,24 +61,48 @@ def order_number(df: DataFrame, name: str) -> Column:
     raise TypeError(f"order column {name} must be a number, date or timestamp")
 
 
+def _share(at: Column, n: str, low: str, high: str, rows_per_chunk: int) -> Column:
+    """Which of the equal-width pieces between ``low`` and ``high`` a row falls into."""
+    pieces = F.ceil(F.col(n) / F.lit(rows_per_chunk))
+    width = F.greatest(F.col(high) - F.col(low), F.lit(1e-9))
+    return F.least(F.floor((at - F.col(low)) / width * pieces), pieces - 1)
+
+
 def cut_hot_keys(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """Add ``_chunk`` (rises with the order within a key) and ``_hot``."""
+    """Add ``_chunk`` (rises with the order within a key) and ``_hot``.
+
+    Hot keys are cut along the first ordering column.  Pieces that are still too large,
+    because rows come in bursts, are cut again: along the same column, or along the second
+    one where the first is constant.  Without hot keys the second look reads nothing.
+    """
     at = order_number(df, order[0])
+    tie = order_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
     spread = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         .filter(F.col("_n") > rows_per_chunk)
     )
-    pieces = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
-    share = (at - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9))
-    piece = F.least(F.floor(share * pieces), pieces - 1)
+    rows = join_on(df, F.broadcast(spread), keys).withColumns({
+        HOT: F.col("_n").isNotNull(),
+        "_piece": F.coalesce(_share(at, "_n", "_lo", "_hi", rows_per_chunk), F.lit(0)).cast("long"),
+    }).drop("_n", "_lo", "_hi")
+    dense = (
+        rows.filter(HOT).groupBy(*keys, "_piece")
+        .agg(
+            F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"),
+            F.min(tie).alias("_tie_lo"), F.max(tie).alias("_tie_hi"),
+        )
+        .filter(F.col("_n") > 2 * rows_per_chunk)
+    )
+    again = F.when(F.col("_hi") > F.col("_lo"), _share(at, "_n", "_lo", "_hi", rows_per_chunk)).otherwise(
+        _share(tie, "_n", "_tie_lo", "_tie_hi", rows_per_chunk)
+    )
     return (
-        join_on(df, F.broadcast(spread), keys)
-        .withColumn(HOT, F.col("_n").isNotNull())
-        .withColumn(CHUNK, F.coalesce(piece, F.lit(0)).cast("long"))
-        .drop("_n", "_lo", "_hi")
+        join_on(rows, F.broadcast(dense), [*keys, "_piece"])
+        .withColumn(CHUNK, F.col("_piece") * 2**31 + F.coalesce(again, F.lit(0)).cast("long"))
+        .drop("_piece", "_n", "_lo", "_hi", "_tie_lo", "_tie_hi")
     )
 
 

@@ -175,3 +175,7 @@ PLAN_POLICIES = {
 }
 
 PAGE_SIZE = 10
+
+# --- fixed values: problem messages ---------------------------------------------------------------
+MISMATCH_MESSAGE = "评论集合不完整，保留旧评论数据: expected=%d, actual=%d, pages=%d"
+AUDIT_MESSAGE = "详情质量检查: status=%s, field_count=%d, reasons=%s"

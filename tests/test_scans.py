@@ -10,7 +10,7 @@ from harvestry.operators import history as H
 from harvestry.operators import resources as R
 from harvestry.operators.dedupe import first_per_either_key, first_per_key, first_per_observed
 from harvestry.operators.problems import apply_problem_events
-from harvestry.operators.scans import with_previous
+from harvestry.operators.scans import cut_hot_keys, with_previous
 from harvestry.schemas import PROBLEMS
 
 
@@ -28,6 +28,12 @@ def hot_events(seed, n=3000, keys=6, hot=0.5):
 SCHEMA = "k long, at timestamp_ntz, id long, ok boolean, v string"
 
 
+def tied_events(seed, n=600):
+    """One key, three moments: only the second ordering column tells rows apart."""
+    rng = random.Random(seed)
+    return [(0, dt.datetime(2024, 1, 1 + rng.randrange(3)), i, rng.random() < 0.5, rng.choice("abc")) for i in range(n)]
+
+
 def by_key(rows):
     out = {}
     for r in sorted(rows, key=lambda r: (r[1], r[2])):
@@ -72,9 +78,25 @@ def test_clamped_counters(spark, per_chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("make,per_chunk,most", [(hot_events, 2, 50), (tied_events, 20, 60)])
+def test_pieces_are_bounded_and_in_order(spark, make, per_chunk, most):
+    """A burst of 750 of 1500 rows in a thousandth of the time, and rows that all tie."""
+    rows = make(8)
+    df = cut_hot_keys(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], rows_per_chunk=per_chunk)
+    pieces = {}
+    for r in df.collect():
+        pieces.setdefault(r.k, {}).setdefault(r._chunk, []).append((r.at, r.id))
+    for parts in pieces.values():
+        assert max(len(p) for p in parts.values()) <= most
+        flat = [x for c in sorted(parts) for x in sorted(parts[c])]
+        assert flat == sorted(flat)
+    assert len(pieces[0]) > 10
+
+
 @pytest.mark.parametrize("per_chunk", [5, 10**6])
-def test_reset_counters(spark, per_chunk):
-    rows = hot_events(3)
+@pytest.mark.parametrize("make", [hot_events, tied_events])
+def test_reset_counters(spark, per_chunk, make):
+    rows = make(3)
     df = R.reset_counters(spark.createDataFrame(rows, SCHEMA), "k", ["at", "id"], F.col("ok"), rows_per_chunk=per_chunk)
     want = {}
     for items in by_key(rows).values():
