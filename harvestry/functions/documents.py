@@ -214,13 +214,20 @@ def _summary(c: Column | str, parts: Callable[[Column, Column], list[Column]]) -
     def from_object(doc: Column) -> Column:
         return let(_first_row(doc), lambda row: join_distinct(parts(doc, row)))
 
-    def spoken(p: Column) -> Column:
-        listed = let(summary_text(p["json"]), compact_text)
-        return F.when(
-            is_object(p["json"]), let(F.try_parse_json(p["json"]), from_object)
-        ).otherwise(F.coalesce(listed, compact_text(p["text"])))
+    def spoken(raw: Column) -> Column:
+        bare = F.trim(raw)
+        looks = bare.rlike(r"(?s)^[\[{].*[\]}]$")
 
-    return let(parse_maybe_json(c), spoken)
+        def by_kind(doc: Column) -> Column:
+            return (
+                F.when(doc.isNotNull() & F.startswith(bare, F.lit("{")), from_object(doc))
+                .when(doc.isNotNull(), let(summary_text(bare), compact_text))
+                .otherwise(compact_text(raw))
+            )
+
+        return let(F.when(looks, F.try_parse_json(bare)), by_kind)
+
+    return let(_col(c), spoken)
 
 
 def summarize_jcr(c: Column | str) -> Column:

@@ -5,77 +5,108 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from harvestry.functions.text import blank_to_null
+from harvestry.functions.text import blank_to_null, let
 
-_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)"
+_URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#]*)@)?([^/?#@]*)"
+_HOST_PORT = r"^\[?([^\]:]*(?::[^\]]*)?)\]?:(\d+)$"
+
+
+def _text(value: str | None) -> Column:
+    return F.lit(value).cast("string")
+
+
+def _bad(reason: str) -> Column:
+    nothing = _text(None)
+    return F.struct(
+        nothing.alias("ip"), F.lit(None).cast("int").alias("port"), nothing.alias("protocol"),
+        nothing.alias("username"), nothing.alias("secret"), _text(reason).alias("error"),
+    )
+
+
+def _good(ip: Column, port: Column, protocol: Column, user: Column, secret: Column) -> Column:
+    return F.struct(
+        ip.alias("ip"), port.alias("port"), protocol.alias("protocol"), blank_to_null(user).alias("username"),
+        blank_to_null(secret).alias("secret"), _text(None).alias("error"),
+    )
 
 
 def _decoded(part: Column) -> Column:
+    """Percent-decoded text; a plus stays a plus and broken escapes stay as they are."""
     kept_plus = F.replace(part, F.lit("+"), F.lit("%2B"))
-    return F.coalesce(F.try_url_decode(kept_plus), part)
+    decoded = F.coalesce(F.try_url_decode(kept_plus), part)
+    return F.when(F.contains(part, F.lit("%")), decoded).otherwise(part)
+
+
+def _before(text: Column, mark: str) -> Column:
+    return F.substring_index(text, mark, 1)
+
 
+def _after(text: Column, mark: str) -> Column:
+    """Text behind the first ``mark``, NULL without one."""
+    return F.when(F.contains(text, F.lit(mark)), F.substring(text, F.instr(text, mark) + 1, F.length(text)))
 
-def _after_first(text: Column, mark: str) -> Column:
-    return F.when(F.contains(text, F.lit(mark)), F.regexp_extract(text, f"^[^{mark}]*{mark}(.*)$", 1))
+
+def _from_url(raw: Column) -> Column:
+    def check(u: Column) -> Column:
+        port = u["port"].try_cast("int")
+        ok = (u["host"] != "") & F.coalesce(port.between(1, 65535), F.lit(False))
+        return F.when(ok, _good(
+            F.lower(u["host"]), port, F.lower(u["scheme"]),
+            _decoded(_before(u["auth"], ":")), _decoded(_after(u["auth"], ":")),
+        )).otherwise(_bad("url needs host:port"))
+
+    def split(p: Column) -> Column:
+        where = p["where"]
+        return let(F.struct(
+            p["scheme"].alias("scheme"), p["auth"].alias("auth"),
+            F.regexp_extract(where, _HOST_PORT, 1).alias("host"), F.regexp_extract(where, _HOST_PORT, 2).alias("port"),
+        ), check)
+
+    return let(F.struct(
+        F.regexp_extract(raw, _URL, 1).alias("scheme"), F.regexp_extract(raw, _URL, 2).alias("auth"),
+        F.regexp_extract(raw, _URL, 3).alias("where"),
+    ), split)
+
+
+def _from_plain(raw: Column, protocol: str) -> Column:
+    def check(p: Column) -> Column:
+        parts, n, auth = p["parts"], F.size(p["parts"]), p["auth"]
+        host, port = F.get(parts, F.lit(0)), F.trim(F.get(parts, F.lit(1))).try_cast("int")
+        user = F.when(n >= 4, F.get(parts, F.lit(2))).otherwise(F.coalesce(_before(auth, ":"), p["user"]))
+        secret = F.when(n >= 4, F.array_join(F.slice(parts, 4, F.greatest(n - 3, F.lit(1))), ":")).otherwise(
+            F.coalesce(_after(auth, ":"), p["secret"]))
+        return (
+            F.when(~((n == 2) | (n >= 4)), _bad("expected host:port or host:port:user:secret"))
+            .when(port.isNull(), _bad("port is not a number"))
+            .when((host == "") | ~port.between(1, 65535), _bad("invalid host or port"))
+            .otherwise(_good(host, port, _text(protocol), user, secret))
+        )
+
+    def split(tokens: Column) -> Column:
+        head = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
+        more = F.size(tokens) >= 3
+        return let(F.struct(
+            F.split(F.substring_index(head, "@", -1), ":").alias("parts"),
+            F.when(F.contains(head, F.lit("@")), F.regexp_extract(head, r"^(.*)@", 1)).alias("auth"),
+            F.when(more, F.get(tokens, F.lit(1))).alias("user"), F.when(more, F.get(tokens, F.lit(2))).alias("secret"),
+        ), check)
+
+    return let(F.filter(F.split(raw, r"[\s,|]+"), lambda t: t != ""), split)
 
 
 def endpoint_parts(line: Column | str, protocol: str = "http") -> Column:
     """Struct (ip, port, protocol, username, secret, error); ``error`` is NULL for a good line."""
     line = F.col(line) if isinstance(line, str) else line
-    raw = F.regexp_replace(F.coalesce(line, F.lit("")), r"^\s+|\s+$", "")
-    is_url = F.contains(raw, F.lit("://"))
-
-    # URL form
-    scheme = F.lower(F.regexp_extract(raw, _URL, 1))
-    netloc = F.regexp_extract(raw, _URL, 2)
-    auth = F.when(F.contains(netloc, F.lit("@")), F.regexp_extract(netloc, r"^(.*)@", 1))
-    at = F.regexp_extract(netloc, r"([^@]*)$", 1)
-    url_host = F.lower(F.regexp_extract(at, r"^\[?([^\]:]*(?::[^\]]*)?)\]?:\d+$", 1))
-    url_port = F.regexp_extract(at, r":(\d+)$", 1)
-    url_user = _decoded(blank_to_null(F.regexp_extract(auth, r"^([^:]*)", 1)))
-    url_secret = _decoded(blank_to_null(_after_first(auth, ":")))
-
-    # plain forms
-    tokens = F.filter(F.split(raw, r"[\s,|]+"), lambda t: t != "")
-    head = F.coalesce(F.get(tokens, F.lit(0)), F.lit(""))
-    extra = F.size(tokens) >= 3
-    head_auth = F.when(F.contains(head, F.lit("@")), F.regexp_extract(head, r"^(.*)@", 1))
-    parts = F.split(F.regexp_extract(head, r"([^@]*)$", 1), ":")
-    n = F.size(parts)
-    shaped = n.isin(2) | (n >= 4)
-    host, port = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    user = (
-        F.when(n >= 4, F.get(parts, F.lit(2)))
-        .when(head_auth.isNotNull(), F.regexp_extract(head_auth, r"^([^:]*)", 1))
-        .when(extra, F.get(tokens, F.lit(1)))
-    )
-    from_auth = _after_first(head_auth, ":")
-    secret = (
-        F.when(n >= 4, F.array_join(F.slice(parts, 4, F.greatest(n - 3, F.lit(1))), ":"))
-        .when(from_auth.isNotNull(), from_auth)
-        .when(extra, F.get(tokens, F.lit(2)))
-    )
 
-    number = F.when(is_url, url_port).otherwise(F.trim(port)).try_cast("int")
-    ip = F.when(is_url, url_host).otherwise(host)
-    in_range = number.between(1, 65535)
-    error = (
-        F.when(raw == "", "blank line")
-        .when(F.startswith(raw, F.lit("#")), "comment")
-        .when(is_url & ((url_host == "") | ~F.coalesce(in_range, F.lit(False))), "url needs host:port")
-        .when(~is_url & ~shaped, "expected host:port or host:port:user:secret")
-        .when(~is_url & number.isNull(), "port is not a number")
-        .when(~is_url & ((host == "") | ~in_range), "invalid host or port")
-    )
-    good = error.isNull()
-    return F.struct(
-        F.when(good, ip).alias("ip"),
-        F.when(good, number).alias("port"),
-        F.when(good, F.when(is_url, scheme).otherwise(F.lit(protocol))).alias("protocol"),
-        F.when(good, blank_to_null(F.when(is_url, url_user).otherwise(user))).alias("username"),
-        F.when(good, blank_to_null(F.when(is_url, url_secret).otherwise(secret))).alias("secret"),
-        error.alias("error"),
-    )
+    def parse(raw: Column) -> Column:
+        return (
+            F.when(raw == "", _bad("blank line"))
+            .when(F.startswith(raw, F.lit("#")), _bad("comment"))
+            .when(F.contains(raw, F.lit("://")), _from_url(raw))
+            .otherwise(_from_plain(raw, protocol))
+        )
+
+    return let(F.regexp_replace(F.coalesce(line, F.lit("")), r"^\s+|\s+$", ""), parse)
 
 
 def endpoint_line(fmt: str, include_auth: bool = True) -> Column:

@@ -272,9 +272,8 @@ def with_child_counts(
 
 # --- row summaries ------------------------------------------------------------------------------
 
-def _source(column: str, doc: str, keys: tuple[str, ...]) -> Column:
-    fields = [blank_to_null(docs.doc_field(doc, k)) for k in keys]
-    return F.coalesce(blank_to_null(column), *fields)
+def _source(column: str, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(blank_to_null(column), *[blank_to_null(F.col("_fields")[k]) for k in keys])
 
 
 def entity_rows(
@@ -286,13 +285,11 @@ def entity_rows(
         rows = rows.join(counts, cols.id, "left").withColumn(
             "n_children", F.coalesce("n_children", F.lit(0)).cast("long")
         )
-    rows = rows.withColumns({
-        "jcr_partition_summary": docs.summarize_jcr(_source("jcr_partition", cols.doc, rules.JCR_DOC_KEYS)),
-        "cas_partition_summary": docs.summarize_partition(
-            _source("cas_partition", cols.doc, rules.CAS_DOC_KEYS)),
-        "citescore_summary": docs.summarize_citescore(
-            _source("citescore", cols.doc, rules.CITESCORE_DOC_KEYS)),
-    })
+    rows = rows.withColumn("_fields", docs.doc_map(cols.doc)).withColumns({
+        "jcr_partition_summary": docs.summarize_jcr(_source("jcr_partition", rules.JCR_DOC_KEYS)),
+        "cas_partition_summary": docs.summarize_partition(_source("cas_partition", rules.CAS_DOC_KEYS)),
+        "citescore_summary": docs.summarize_citescore(_source("citescore", rules.CITESCORE_DOC_KEYS)),
+    }).drop("_fields")
     if include_doc:
         return rows.withColumns({
             cols.doc: F.when(docs.is_object(cols.doc), F.col(cols.doc)),

@@ -17,14 +17,15 @@ def read_endpoint_lines(
     Blank lines and comments are neither: they come out as rejects with ``skipped`` true.
     """
     rest = [c for c in lines.columns if c != line]
-    parsed = lines.withColumn("_e", endpoint_parts(line, protocol))
-    ok = parsed.filter(F.col("_e.error").isNull()).select(
-        *rest, "_e.ip", "_e.port", "_e.protocol",
-        F.coalesce("_e.username", F.lit(username)).alias("username"),
-        F.coalesce("_e.secret", F.lit(secret)).alias("secret"),
+    # a generator, so that a filter on the outcome does not parse every line again
+    parsed = lines.select(*rest, F.trim(line).alias("content"), F.inline(F.array(endpoint_parts(line, protocol))))
+    good = F.col("error").isNull()
+    ok = parsed.filter(good).select(
+        *rest, "ip", "port", "protocol",
+        F.coalesce("username", F.lit(username)).alias("username"),
+        F.coalesce("secret", F.lit(secret)).alias("secret"),
     )
-    rejects = parsed.filter(F.col("_e.error").isNotNull()).select(
-        *rest, F.trim(line).alias("content"), F.col("_e.error").alias("error"),
-        F.col("_e.error").isin("blank line", "comment").alias("skipped"),
+    rejects = parsed.filter(~good).select(
+        *rest, "content", "error", F.col("error").isin("blank line", "comment").alias("skipped")
     )
     return ok, rejects
