@@ -120,6 +120,14 @@ def merge_docs(old: Column | str, new: Column | str) -> Column:
     return let(pair, merged)
 
 
+def _if_possible(text: Column, needles: Sequence[Column], found: Column) -> Column:
+    """``found``, looked up only where the raw text has a needle or an escape that may hide one."""
+    possible = F.contains(text, F.lit("\\"))
+    for needle in needles:
+        possible = possible | F.contains(text, needle)
+    return F.coalesce(F.when(possible, found), F.lit(False))
+
+
 # --- text of any depth ------------------------------------------------------------------------
 
 def contains_anywhere(doc: Column | str, needle: str) -> Column:
@@ -130,7 +138,8 @@ def contains_anywhere(doc: Column | str, needle: str) -> Column:
     def text(t: Column) -> Column:
         return F.when(F.startswith(t, F.lit('"')), _unquote(t)).otherwise(t)
 
-    return F.coalesce(F.exists(scalars, lambda t: F.contains(F.lower(text(t)), wanted)), F.lit(False))
+    found = F.exists(scalars, lambda t: F.contains(F.lower(text(t)), wanted))
+    return _if_possible(F.lower(_col(doc)), [wanted], found)
 
 
 def has_marker(doc: Column | str, markers: Sequence[str]) -> Column:
@@ -145,7 +154,7 @@ def has_marker(doc: Column | str, markers: Sequence[str]) -> Column:
             hit = hit | F.contains(text, F.lit(marker))
         return hit
 
-    return F.coalesce(F.exists(values, marked), F.lit(False))
+    return _if_possible(_col(doc), [F.lit(m) for m in markers], F.exists(values, marked))
 
 
 def summary_text(doc: Column | str) -> Column:

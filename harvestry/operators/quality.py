@@ -21,6 +21,11 @@ class AuditRules:
     important: Mapping[str, Sequence[str]] = field(default_factory=lambda: dict(rules.IMPORTANT_FIELDS))
 
 
+AUDIT_COLUMNS = (
+    "status", "field_count", "hard_reasons", "warnings", "missing_required", "missing_important", "reason_codes",
+)
+
+
 def _codes(*conds: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in conds]))
 
@@ -62,10 +67,12 @@ def audit(df: DataFrame, doc: str = "detail_data", audit_rules: AuditRules = Aud
         ),
         "missing_required": F.when(F.col("_empty"), F.array(F.lit(doc))).otherwise(F.col("_no_identity")),
     })
-    return rows.withColumns({
+    rows = rows.withColumns({
         "status": F.when(~clean, "bad").when(F.size("warnings") > 0, "warning").otherwise("ok"),
         "reason_codes": F.concat("hard_reasons", "warnings"),
-    }).drop("_empty", "_keys", "_object", "_no_identity")
+    })
+    # a generator, so that a filter on the outcome does not audit every document again
+    return rows.select(*df.columns, F.inline(F.array(F.struct(*AUDIT_COLUMNS))))
 
 
 def audit_order(df: DataFrame, n: int | None = None, updated: str = "updated_at", id_col: str = "id") -> DataFrame:
