@@ -17,14 +17,14 @@ from harvestry.sources.tables import load
 WITH hits AS (
   SELECT * FROM part WHERE p_retailprice >= 905 AND p_retailprice <= 40000
     AND (contains(lower(p_name), 'widget') OR contains(lower(p_brand), 'widget') OR contains(lower(p_type), 'widget'))
-  ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 20 OFFSET 20)
+  ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 5 OFFSET 5)
 SELECT p_partkey, p_name, p_brand, p_retailprice,
   (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS n_children
 FROM hits""")
 def search_page(spark, sf):
     part = load(spark, sf, "part")
     found = S.search_entities(part, q="WIDGET ", score_min=905.0, score_max=40000.0, cols=B.PART)
-    rows = S.page(S.sort_entities(found, "p_retailprice", "desc", B.PART), 2, 20)
+    rows = S.page(S.sort_entities(found, "p_retailprice", "desc", B.PART), 2, 5)
     rows = rows.select("p_partkey", "p_name", "p_brand", "p_retailprice")
     return S.with_child_counts(rows, load(spark, sf, "lineitem"), "p_partkey", child_key="l_partkey", is_page=True)
 
