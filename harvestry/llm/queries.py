@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import jaccard, substrings
+from harvestry.llm import decontaminate, jaccard, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,9 +25,15 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(docs).withColumnRenamed("id", "doc_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: Words of every text, unchanged, with their place from 0.
@@ -64,4 +70,16 @@ reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT reach.doc_id, l
 least_of AS (SELECT doc_id, min(other) AS c FROM reach GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)""",
+    "op9_decontamination": f"""
+WITH {_SHINGLES},
+classes AS (SELECT text, min(item_id) AS item_id FROM benchmark WHERE text IS NOT NULL GROUP BY text),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM classes),
+item_shingles AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM item_words),
+item_sizes AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY item_id),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM shingles JOIN item_shingles USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN item_sizes USING (item_id) WHERE 4 * n_shared >= 3 * n_item""",
 }
