@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import decontaminate, jaccard, langid, substrings
+from harvestry.llm import decontaminate, jaccard, langid, packing, sharding, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return packing.pack_documents(docs).withColumnRenamed("id", "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -35,11 +40,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
 
 
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_decontamination": op9_decontamination,
+    "op10_sharding": op10_sharding,
 }
 
 #: Words of every text, unchanged, with their place from 0.
@@ -88,4 +100,24 @@ item_sizes AS (SELECT item_id, count(*) AS n_item FROM item_shingles GROUP BY it
 shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM shingles JOIN item_shingles USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM shared JOIN item_sizes USING (item_id) WHERE 4 * n_shared >= 3 * n_item""",
+    # the checksum goes byte by byte through the table of the polynomial
+    "op10_sharding": """
+WITH tab AS (
+  SELECT list(t ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS t FROM range(256) r(i))),
+raw AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS m, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS b FROM documents),
+summed AS (
+  SELECT doc_id, ('0x' || m[1:15])::BIGINT AS key, size,
+         xor(list_reduce(list_prepend(4294967295::UBIGINT, b), lambda a, x: xor(tab[(xor(a, x) % 256)::BIGINT + 1], a >> 8)), 4294967295::UBIGINT)::BIGINT AS text_crc32
+  FROM raw, tab),
+placed AS (
+  SELECT *, sum(size) OVER o - size AS first, row_number() OVER o - 1 AS rank, sum(size) OVER () AS total, sum(size) OVER (PARTITION BY key) AS held
+  FROM summed WINDOW o AS (ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING)),
+grouped AS (SELECT *, CASE WHEN held * 480 > total THEN first ELSE min(first) OVER (PARTITION BY key) END AS place FROM placed),
+sharded AS (SELECT *, least(23, (place * 24) // total)::INTEGER AS shard FROM grouped)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM sharded""",
 }

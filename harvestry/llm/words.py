@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _STEP = 0x9E3779B97F4A7C15 | 3
@@ -99,3 +99,17 @@ class Words:
         rows = np.repeat(np.arange(len(per_row)), per_row)
         at = np.arange(len(rows)) - np.repeat(np.cumsum(per_row) - per_row, per_row) + np.repeat(self.first[:-1], per_row)
         return at, rows
+
+
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Number of words of each text, as longs; null: 0."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    word = (data != 32) & ((data < 9) | (data > 13))
+    opens, edge = word.copy(), np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    opens[1:] &= ~word[:-1] | edge[1:-1]
+    return np.diff(np.concatenate([[0], np.cumsum(opens)])[offsets])
