@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from harvestry.llm import decontaminate, jaccard, langid, packing, sharding, substrings
+from harvestry.session import work_folder
+from harvestry.llm import decontaminate, jaccard, langid, neighbours, packing, sharding, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = work_folder(spark, "warc")
+    warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).withColumnRenamed("id", "page_id").drop("intact")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_groups(docs).withColumnRenamed("id", "doc_id")
@@ -49,6 +60,8 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_embedding_neighbours": op5_embedding_neighbours,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
@@ -120,4 +133,18 @@ grouped AS (SELECT *, CASE WHEN held * 480 > total THEN first ELSE min(first) OV
 sharded AS (SELECT *, least(23, (place * 24) // total)::INTEGER AS shard FROM grouped)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, (rank - min(rank) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM sharded""",
+    "op5_embedding_neighbours": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.93),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach AS (SELECT a AS vec_id, b AS other FROM links UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.other),
+least_of AS (SELECT vec_id, min(other) AS c FROM reach GROUP BY vec_id)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(c, e.vec_id)) AS component_id, least(e.vec_id, coalesce(c, e.vec_id)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts USING (vec_id) LEFT JOIN least_of USING (vec_id)""",
+    "op6_warc_revisits": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT t, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY t)
+SELECT page_id, n AS payload_bytes, sha256(p.t) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.t = p.t""",
 }

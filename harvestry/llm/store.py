@@ -32,3 +32,9 @@ def pieces(rows: int, rows_each: int, least: int = 1) -> int:
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written, and marked for a broadcast if its counted rows allow; else joins with it shuffle."""
+    df = written(df, purpose)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
