@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from harvestry.session import work_folder
-from harvestry.llm import decontaminate, jaccard, langid, neighbours, packing, sharding, substrings, warc
+from harvestry.llm import decontaminate, jaccard, langid, neighbours, packing, quality, sharding, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score_quality(docs).select("doc_id", "score", "kept")
+
+
 def op5_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality": op4_quality,
     "op5_embedding_neighbours": op5_embedding_neighbours,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_ngram_jaccard": op7_ngram_jaccard,
