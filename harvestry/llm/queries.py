@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from harvestry.session import work_folder
-from harvestry.llm import decontaminate, jaccard, langid, neighbours, packing, quality, sharding, substrings, warc
+from harvestry.llm import decontaminate, jaccard, langid, neighbours, packing, quality, sharding, substrings, toolcalls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +52,28 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(docs).withColumnRenamed("id", "doc_id")
 
 
+#: The user's turns as calls of one tool: the prompt must say something and not be over-long.
+REPLY_SCHEMA = {
+    "type": "object", "required": ["prompt", "turn"], "additionalProperties": False,
+    "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 400}, "turn": {"type": "integer", "minimum": 0}},
+}
+
+
+def op8_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn calls the tool ``reply`` and waits for the reply before; an assistant turn is the result of the turn before it."""
+    said = _table(spark, sf_dir, "conversations")
+
+    def name(turn: str) -> Column:
+        return F.concat_ws("-", F.lit("call"), F.col("conv_id"), F.expr(turn))
+
+    calls = said.filter("role = 'user'").select(
+        "conv_id", "turn", name("turn").alias("call_id"), F.lit("reply").alias("name"),
+        F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"), name("turn - 2").alias("after"))
+    results = said.filter("role = 'assistant'").select("conv_id", "turn", name("turn - 1").alias("call_id"), F.col("text").alias("content"))
+    messages = said.filter("role is null or role not in ('user', 'assistant')").select("conv_id", "turn", "role", F.col("text").alias("content"))
+    return toolcalls.link_tool_calls(messages, calls, results, {"reply": REPLY_SCHEMA})
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
@@ -69,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op5_embedding_neighbours": op5_embedding_neighbours,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_tool_calls": op8_tool_calls,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }
@@ -153,4 +177,23 @@ f AS (SELECT t, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY t)
 SELECT page_id, n AS payload_bytes, sha256(p.t) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON f.t = p.t""",
+    "op8_tool_calls": """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+u AS (SELECT *, 'call-' || conv_id || '-' || turn AS call_id FROM t WHERE role = 'user'),
+isle AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS g FROM u),
+c AS (
+  SELECT isle.*, row_number() OVER (PARTITION BY isle.conv_id, isle.turn % 2, g ORDER BY isle.turn) - 1 AS depth, a.turn IS NOT NULL AS answered,
+         CASE WHEN length(isle.text) > 400 THEN '$.prompt: length out of range' WHEN length(isle.text) < 1 THEN '$.prompt: length out of range' END AS error
+  FROM isle LEFT JOIN t a ON a.conv_id = isle.conv_id AND a.turn = isle.turn + 1 AND a.role = 'assistant')
+SELECT conv_id, turn, 'call' AS kind, call_id, turn AS order_turn, depth, 1::INTEGER AS step,
+       CASE WHEN NOT answered THEN 'unanswered' WHEN error IS NOT NULL THEN 'invalid' ELSE 'ok' END AS status, error,
+       json_object('role', 'assistant', 'tool_calls', [json_object('function', json_object('arguments', json_object('prompt', text, 'turn', turn)::VARCHAR, 'name', 'reply'), 'id', call_id, 'type', 'function')])::VARCHAR AS json
+FROM c
+UNION ALL
+SELECT t.conv_id, t.turn, 'result', 'call-' || t.conv_id || '-' || (t.turn - 1), t.turn, coalesce(c.depth, 0), 2::INTEGER, CASE WHEN c.depth IS NULL THEN 'orphan' ELSE 'ok' END, NULL,
+       json_object('content', t.text, 'role', 'tool', 'tool_call_id', 'call-' || t.conv_id || '-' || (t.turn - 1))::VARCHAR
+FROM t LEFT JOIN c ON c.conv_id = t.conv_id AND c.turn = t.turn - 1 WHERE t.role = 'assistant'
+UNION ALL
+SELECT conv_id, turn, 'message', NULL, turn, -1, 0::INTEGER, 'ok', NULL, json_object('content', text, 'role', role)::VARCHAR
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')""",
 }
