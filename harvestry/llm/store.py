@@ -38,3 +38,10 @@ def small(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written, and marked for a broadcast if its counted rows allow; else joins with it shuffle."""
     df = written(df, purpose)
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def without_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of ``df`` whose ``on`` is null or not in ``ids``; joined as in ``only_ids``."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, on, "left_anti")
