@@ -19,16 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from harvestry.llm.store import default_parallelism
+from harvestry.llm.store import default_parallelism, pieces
 from harvestry.llm.words import Words, chunks, mix
 
 WINDOW = 13
-#: Suffixes of one group (8 bytes each, some 200 MB with the arrays of the sort).
-GROUP_SUFFIXES = 4_000_000
+#: Suffixes of one group (8 bytes each, some 150 MB with the arrays of the sort).
+GROUP_SUFFIXES = 3_000_000
+#: Text of one bucket of documents where marks and texts meet.
+BUCKET_BYTES = 12 << 20
 _BITS = 12
 
 
@@ -57,32 +61,41 @@ def _distinct(code: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return code[new], rows[new]
 
 
-def prefix_groups(texts: DataFrame, window: int, group_suffixes: int) -> np.ndarray:
-    """Lower bounds of the groups: counted over all documents, long prefixes only where short ones hold too much."""
+def prefix_groups(texts: DataFrame, window: int, group_suffixes: int) -> tuple[np.ndarray, int]:
+    """Lower bounds of the groups, and the bytes of all texts.
+
+    Counted over all documents; long prefixes are taken only where short ones hold too much.
+    """
 
     def histogram(depth: int, inside: np.ndarray):
         shift = np.uint64(64 - depth)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            found, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
             for batch in batches:
                 for part in chunks(batch, "text"):
-                    prefix = codes_of(Words(part.column("text")), window)[0] >> shift
+                    words = Words(part.column("text"))
+                    size += len(words.data)
+                    prefix = codes_of(words, window)[0] >> shift
                     if len(inside):
                         parent = prefix >> np.uint64(_BITS)
                         prefix = prefix[inside[np.minimum(np.searchsorted(inside, parent), len(inside) - 1)] == parent]
                     keys, back = np.unique(np.concatenate([found[0], prefix]), return_inverse=True)
                     weights = np.concatenate([found[1], np.ones(len(prefix), np.int64)])
                     found = keys, np.bincount(back, weights, len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0].view(np.int64)), pa.array(found[1])], ["prefix", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(found[0].view(np.int64), -1)), pa.array(np.append(found[1], size))], ["prefix", "n"])
 
         counted = texts.select("text").mapInArrow(count, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-        return sorted((r["prefix"], r["n"]) for r in counted.collect())  # 2^12 rows per prefix that was too full
+        rows = sorted((r["prefix"], r["n"]) for r in counted.collect())  # 2^12 rows per prefix that was too full
+        return rows[1:], rows[0][1] if rows else 0
 
-    bounds, depth, full = [0], _BITS, np.empty(0, np.uint64)
+    bounds, depth, full, total = [0], _BITS, np.empty(0, np.uint64), None
     while depth <= 60:
         too_full, held = [], 0
-        for prefix, n in histogram(depth, full):
+        rows, size = histogram(depth, full)
+        total = size if total is None else total
+        for prefix, n in rows:
             if n > group_suffixes:
                 too_full.append(prefix)
             if held and held + n > group_suffixes:
@@ -92,7 +105,7 @@ def prefix_groups(texts: DataFrame, window: int, group_suffixes: int) -> np.ndar
         if not too_full:
             break
         full, depth = np.array(too_full, np.uint64), depth + _BITS
-    return np.unique(np.array(bounds, np.uint64))
+    return np.unique(np.array(bounds, np.uint64)), total
 
 
 def _suffixes(bounds: np.ndarray, window: int):
@@ -130,78 +143,100 @@ def _suffixes(bounds: np.ndarray, window: int):
     return send
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks per document and group which of its distinct windows a smaller document has."""
-    parts: dict[int, list] = {}
-    for batch in batches:  # a task may get several groups
-        columns = batch.to_pydict()
-        for g, ids, hashes, counts, later, codes in zip(*(columns[c] for c in ("grp", "ids", "hashes", "counts", "later", "codes"))):
-            counts = np.frombuffer(counts, np.int32)
-            parts.setdefault(g, []).append((
-                np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), counts,
-                np.unpackbits(np.frombuffer(later, np.uint8), count=int(counts.sum())).astype(bool),
-                np.frombuffer(codes, np.uint64)))
-    for g in list(parts):
-        ids, hashes, counts, later, codes = (np.concatenate(x) for x in zip(*parts.pop(g)))
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[~later]
-        order = np.argsort(codes, kind="stable")
-        codes, owner_id = codes[order], ids[owner[order]]
-        starts = np.flatnonzero(np.diff(codes, prepend=~codes[:1]))
-        least = np.minimum.reduceat(owner_id, starts) if len(starts) else owner_id
-        node = np.repeat(least, np.diff(starts, append=len(codes)))
-        sent = np.zeros(len(codes), bool)
-        sent[order] = owner_id > node
-        marks = later.copy()
-        marks[~later] = sent
-        ends = np.cumsum(counts)
-        held = np.add.reduceat(marks, ends - counts) if len(ends) else ends
-        which = np.flatnonzero(held)
-        bits = [np.packbits(marks[ends[i] - counts[i] : ends[i]]).tobytes() for i in which]
-        for i in range(0, len(which), 50_000):
-            some = which[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[some]), pa.array(hashes[some]), pa.array(np.full(len(some), g, np.int32)),
-                 pa.array(bits[i : i + 50_000], pa.binary())], ["id", "text_hash", "grp", "bits"])
+def _subtrees(buckets: int):
+    """Marks per document and group: which of its distinct windows a smaller document has. Gathered by bucket of documents."""
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
+        for batch in batches:  # a task may get several groups
+            for g, *raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "ids", "hashes", "counts", "later", "codes"))):
+                parts.setdefault(g, []).append(raw)
+        for g in list(parts):
+            ids, hashes, counts, later, codes = [], [], [], [], []
+            for raw in parts.pop(g):
+                ids.append(np.frombuffer(raw[0], np.int64))
+                hashes.append(np.frombuffer(raw[1], np.int32))
+                counts.append(np.frombuffer(raw[2], np.int32))
+                later.append(np.unpackbits(np.frombuffer(raw[3], np.uint8), count=int(counts[-1].sum())).view(bool))
+                codes.append(np.frombuffer(raw[4], np.uint64))
+            ids, hashes, counts, later, codes = (np.concatenate(x) for x in (ids, hashes, counts, later, codes))
+            owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[~later]
+            order = np.argsort(codes, kind="stable")
+            codes, owner_id = codes[order], ids[owner[order]]
+            starts = np.flatnonzero(np.diff(codes, prepend=~codes[:1]))
+            least = np.minimum.reduceat(owner_id, starts) if len(starts) else owner_id
+            sent = np.zeros(len(codes), bool)
+            sent[order] = owner_id > np.repeat(least, np.diff(starts, append=len(codes)))
+            marks = later.copy()
+            marks[~later] = sent
+            ends = np.cumsum(counts)
+            which = np.flatnonzero(np.add.reduceat(marks, ends - counts)) if len(ends) else ends
+            bucket = hashes[which] % buckets
+            which = which[np.argsort(bucket, kind="stable")]
+            bucket = np.sort(bucket)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for some in np.split(which, cuts[1:]) if len(which) else []:
+                bits = b"".join(np.packbits(marks[ends[i] - counts[i] : ends[i]]).tobytes() for i in some)
+                raw = (ids[some], hashes[some], counts[some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(hashes[some[0]]) % buckets], pa.int32()), pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw),
+                     pa.array([bits], pa.binary())], ["_bucket", "grp", "ids", "hashes", "counts", "bits"])
 
-def _keep(bounds: np.ndarray, window: int, schema: list[str]):
-    """Removes the marked windows from each text."""
+    return mark
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "_text"):
-                words = Words(part.column("_text"))
-                code, at, rows = codes_of(words, window)
-                marked = part.column("_marks").to_pylist()
-                covered = np.zeros(len(words.hashes) + 1, np.int64)
-                cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                for d in np.flatnonzero(np.array([bool(m) for m in marked])):
-                    own, back = np.unique(code[cut[d] : cut[d + 1]], return_inverse=True)
-                    group = np.searchsorted(bounds, own, "right") - 1
-                    gone = np.zeros(len(own), bool)
-                    for m in marked[d]:
-                        lo, hi = np.searchsorted(group, [m["grp"], m["grp"] + 1])
-                        gone[lo:hi] |= np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=hi - lo).astype(bool)
-                    starts = at[cut[d] : cut[d + 1]][gone[back]]
-                    np.add.at(covered, starts, 1)
-                    np.add.at(covered, starts + window, -1)
-                removed = np.cumsum(covered)[:-1] > 0
-                texts, shas = [], []
-                body = words.data.tobytes()
-                for d in range(part.num_rows):
-                    lo, hi = words.first[d], words.first[d + 1]
-                    if removed[lo:hi].any():
-                        kept = b" ".join([body[words.starts[w] : words.ends[w]] for w in np.flatnonzero(~removed[lo:hi]) + lo])
-                    else:
-                        kept = b" ".join(body[words.offsets[d] : words.offsets[d + 1]].split())
-                    texts.append(kept.decode("utf-8", "replace"))
-                    shas.append(hashlib.sha256(kept).hexdigest())
-                n = words.counts.astype(np.int64)
-                total = np.concatenate([[0], np.cumsum(removed)])
-                gone_of = total[words.first[1:]] - total[words.first[:-1]]
-                new = {"n_words": pa.array(n), "n_removed": pa.array(gone_of.astype(np.int64)),
-                       "kept_text": pa.array(texts, pa.string()), "kept_sha256": pa.array(shas, pa.string())}
-                yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in schema], schema)
+
+def _keep(bounds: np.ndarray, window: int, text_col: str, schema: pa.Schema, new: list[str]):
+    """Removes the marked windows from each text of a bucket."""
+
+    def keep(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        marks: dict[tuple[int, int], list] = {}
+        for row in sent.select(["grp", "ids", "hashes", "counts", "bits"]).to_pylist():
+            counts, at = np.frombuffer(row["counts"], np.int32), 0
+            bits = row["bits"]
+            for i, h, n in zip(np.frombuffer(row["ids"], np.int64).tolist(), np.frombuffer(row["hashes"], np.int32).tolist(), counts.tolist()):
+                marks.setdefault((i, h), []).append((row["grp"], bits[at : at + (n + 7) // 8]))
+                at += (n + 7) // 8
+        out = []
+        for batch in docs.to_batches():
+            for part in chunks(batch, text_col):
+                added = kept_of(part, marks)
+                out.append(pa.RecordBatch.from_arrays([added[f.name] if f.name in new else part.column(f.name) for f in schema], schema=schema))
+        return pa.Table.from_batches(out, schema)
+
+    def kept_of(part: pa.RecordBatch, marks: dict) -> dict:
+        words = Words(part.column(text_col))
+        code, at, rows = codes_of(words, window)
+        ids, hashes = part.column("_suffix_id").to_pylist(), part.column("_suffix_hash").to_pylist()
+        covered = np.zeros(len(words.hashes) + 1, np.int64)
+        cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
+        for d, key in enumerate(zip(ids, hashes)):
+            if key not in marks:
+                continue
+            own, back = np.unique(code[cut[d] : cut[d + 1]], return_inverse=True)
+            group = np.searchsorted(bounds, own, "right") - 1
+            gone = np.zeros(len(own), bool)
+            for g, bits in marks[key]:
+                lo, hi = np.searchsorted(group, [g, g + 1])
+                gone[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
+            starts = at[cut[d] : cut[d + 1]][gone[back]]
+            covered[starts] += 1
+            covered[starts + window] -= 1
+        removed = np.cumsum(covered)[:-1] > 0
+        total = np.concatenate([[0], np.cumsum(removed)])
+        gone_of = total[words.first[1:]] - total[words.first[:-1]]
+        texts, shas = [], []
+        body = words.data.tobytes()
+        for d in range(part.num_rows):
+            lo, hi = words.first[d], words.first[d + 1]
+            if gone_of[d]:
+                left = np.flatnonzero(~removed[lo:hi]) + lo
+                kept = b" ".join([body[s:e] for s, e in zip(words.starts[left].tolist(), words.ends[left].tolist())])
+            else:
+                kept = b" ".join(body[words.offsets[d] : words.offsets[d + 1]].split())
+            texts.append(kept.decode("utf-8", "replace"))
+            shas.append(hashlib.sha256(kept).hexdigest())
+        return {"n_words": pa.array(words.counts.astype(np.int64)), "n_removed": pa.array(gone_of.astype(np.int64)),
+                "kept_text": pa.array(texts, pa.string()), "kept_sha256": pa.array(shas, pa.string())}
 
     return keep
 
@@ -219,18 +254,22 @@ def dedup_substrings(
     replaced. An empty table gives an empty result.
     """
     new = ["n_words", "n_removed", "kept_text", "kept_sha256"]
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    # tells rows of one id apart; the bucket of a document follows from it
+    text_hash = F.xxhash64(id_col, text_col).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_hash.alias("text_hash"), F.col(text_col).alias("text"))
     texts = texts.filter("id is not null and text is not null")
-    bounds = prefix_groups(texts, window, group_suffixes)
-    tasks = max(min(len(bounds), 4 * default_parallelism(docs.sparkSession)), len(bounds) // 4)
+    bounds, size = prefix_groups(texts, window, group_suffixes)
+    buckets = pieces(size, BUCKET_BYTES)
+    tasks = max(min(len(bounds), default_parallelism(docs.sparkSession)), len(bounds) // 4)
     sent = texts.mapInArrow(_suffixes(bounds, window), "grp int, ids binary, hashes binary, counts binary, later binary, codes binary")
-    marks = sent.repartition(tasks, "grp").mapInArrow(_subtrees, "id long, text_hash long, grp int, bits binary")
-    # rows of one id and text were sent alike; each has marks of its own, one of each group is enough
-    marks = marks.groupBy("id", "text_hash").agg(F.collect_set(F.struct("grp", "bits")).alias("_marks"))
+    marks = sent.repartition(tasks, "grp").mapInArrow(
+        _subtrees(buckets), "_bucket int, grp int, ids binary, hashes binary, counts binary, bits binary")
     carried = [c for c in docs.columns if c not in new]
-    rows = docs.select(*carried, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    rows = rows.join(marks, (F.col("_id") == marks["id"]) & (F.col("_hash") == marks["text_hash"]), "left").select(*carried, "_text", "_marks")
+    rows = docs.select(
+        *carried, *([] if text_col in carried else [text_col]), F.col(id_col).cast("long").alias("_suffix_id"),
+        text_hash.alias("_suffix_hash"), (text_hash % buckets).alias("_bucket"))
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
              T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*(docs.schema[c] for c in carried), *added])
-    return rows.mapInArrow(_keep(bounds, window, [*carried, *new]), schema)
+    keep = _keep(bounds, window, text_col, to_arrow_schema(schema), new)
+    return rows.groupBy("_bucket").cogroup(marks.groupBy("_bucket")).applyInArrow(keep, schema)
