@@ -11,9 +11,11 @@ shingle as a part. So no link is lost.
 
 Candidates are filtered by a second parity sketch, of single bits, whose Hamming distance is a lower bound of
 the symmetric difference, and then verified on all shingles. Equal sets are linked through their
-fingerprint. Where more than ``LISTED`` documents share a key they are first compared with the smallest
-of them only; documents that are not connected after that are compared with each other in blocks, in which
-only pairs that pass the bit sketch leave the task.
+fingerprint. Where more than ``LISTED`` documents share a key they are first compared only with the one
+of them that stands under most such keys. A linked pair has more equal parts than one, by a number that is known for each
+document; if more of a document's keys are crowded than that, and it is not connected to the others
+of the key after the first comparison, they are compared in blocks, in which only pairs that pass the bit
+sketch leave the task.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def _parts(h: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 def _signatures(length: int):
-    """Per row: set size, fingerprint, bit sketch, band and the level its band needs."""
+    """Per row: set size, fingerprint, bit sketch, band, the level its band needs, and the least equal parts of a linked pair."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +106,7 @@ def _signatures(length: int):
                 first = np.concatenate([[0], np.cumsum(n)])
                 some = np.flatnonzero(n)
                 fp1, fp2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                level = np.zeros(len(n), np.int32)
+                level, margin = np.zeros(len(n), np.int32), np.zeros(len(n), np.int64)
                 band = band_of(n)
                 if len(some):
                     fp1[some] = np.add.reduceat(mix(h ^ np.uint64(0xA5A5)), first[some])
@@ -113,7 +115,8 @@ def _signatures(length: int):
                     at = _parts(h, k[rows])
                     used = np.ones(len(h), bool)
                     used[1:] = (at[1:] != at[:-1]) | (rows[1:] != rows[:-1])
-                    filled = np.bincount(rows[used], minlength=len(n))
+                    filled = np.where(k > 0, np.bincount(rows[used], minlength=len(n)), n)
+                    margin = np.maximum(filled - n // 3, 0)
                     for d in np.flatnonzero((band > 0) & (filled <= n // 3)):
                         mine = h[first[d] : first[d + 1]]
                         while (more := parts_of(int(band[d]), int(level[d]))) and len(np.unique(_parts(mine, np.full(len(mine), more)))) <= n[d] // 3:
@@ -125,8 +128,8 @@ def _signatures(length: int):
                 sketch = [packed[base[d] // 8 : base[d + 1] // 8] for d in range(len(n))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), pa.array(n.astype(np.int64)), pa.array(fp1.view(np.int64)), pa.array(fp2.view(np.int64)),
-                     pa.array(sketch, pa.binary()), pa.array(band.astype(np.int32)), pa.array(level)],
-                    ["id", "n", "fp1", "fp2", "sketch", "band", "level"])
+                     pa.array(sketch, pa.binary()), pa.array(band.astype(np.int32)), pa.array(level), pa.array(margin)],
+                    ["id", "n", "fp1", "fp2", "sketch", "band", "level", "margin"])
 
     return sign
 
@@ -167,11 +170,14 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
                 lower = (band > 0)[rows]
                 below = _keys(h[lower], rows[lower], np.maximum(band - 1, 0), k_of_band)
                 key, row = np.concatenate([own[0], below[0]]), np.concatenate([own[1], below[1]])
-                order = np.lexsort((row, key))
+                order = np.argsort(key, kind="stable")
                 key, row = key[order], row[order]
                 starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
                 size = np.diff(starts, append=len(key))
                 crowded = np.repeat(size > 8, size)
+                busy = np.bincount(row[crowded], minlength=len(ids))
+                order = np.lexsort((row, -busy[row], key))
+                key, row = key[order], row[order]
                 head = np.zeros(len(key), bool)
                 head[starts] = True
                 local = crowded & ~head
@@ -245,11 +251,17 @@ def _pigeonholes(listed: int):
                     both = np.unique(np.stack([np.maximum(ids[a], ids[b])[near], np.minimum(ids[a], ids[b])[near]], 1), axis=0)
                     left.append(both[:, 0])
                     right.append(both[:, 1])
+            crowded = np.repeat(size > listed, size)
+            busy = np.bincount(owner[crowded], minlength=len(ids))
+            # one document may have several rows here, one per batch
+            busy = np.bincount(np.unique(ids, return_inverse=True)[1], busy)[np.unique(ids, return_inverse=True)[1]]
             for s, c in zip(starts[size > listed], size[size > listed]):
                 mine = ids[owner[s : s + c]]
                 yield from _found(np.full(c, keys[s]), mine, mine)
-                left.append(np.maximum(mine, mine.min())[mine != mine.min()])
-                right.append(np.full(len(left[-1]), mine.min()))
+                hub = mine[np.lexsort((mine, -busy[owner[s : s + c]]))[0]]
+                others = mine[mine != hub]
+                left.append(np.maximum(others, hub))
+                right.append(np.minimum(others, hub))
             if left:
                 both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
                 yield from _found(None, both[:, 0], both[:, 1])
@@ -301,22 +313,55 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between two blocks of a crowded key that the bit sketches allow and that are not connected yet."""
-    table = pa.Table.from_batches(list(batches))
-    if table.num_rows < 2:
-        return
-    ids, n, comp, side = (table.column(c).to_numpy() for c in ("id", "n", "component", "side"))
-    sketches = [np.frombuffer(s, np.uint8) for s in table.column("sketch").to_pylist()]
-    width = min(len(s) for s in sketches)
-    bits = np.stack([fold(s, width) for s in sketches]).view(np.uint64)
-    for i in np.flatnonzero(side == 0):
-        others = np.flatnonzero((side == 1) & (comp != comp[i]) & (3 * np.maximum(n, n[i]) <= 4 * np.minimum(n, n[i])))
-        if len(others):
-            far = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
-            others = others[far <= (n[others] + n[i]) // 7]
-        if len(others):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.maximum(ids[others], ids[i])), pa.array(np.minimum(ids[others], ids[i]))], ["a", "b"])
+    """Pairs of crowded keys that the bit sketches allow and that are not connected yet.
+
+    The rows come sorted by key and pair of blocks (i, j); a group is one block (i = j) or two.
+    """
+    rest: list[pa.RecordBatch] = []
+    found: list[np.ndarray] = []
+
+    def compare(table: pa.Table) -> None:
+        ids, n, comp, side, open_ = (table.column(c).to_numpy() for c in ("id", "n", "component", "side", "open"))
+        group = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+        cuts = np.append(np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(1)]), len(ids))
+        sketches = [np.frombuffer(s, np.uint8) for s in table.column("sketch").to_pylist()]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if hi - lo < 2:
+                continue
+            mine = np.arange(lo, hi)
+            left, right = (mine, mine) if group[lo, 1] == group[lo, 2] else (mine[side[lo:hi] == 0], mine[side[lo:hi] == 1])
+            width = min(len(s) for s in sketches[lo:hi])
+            bits = np.stack([fold(s, width) for s in sketches[lo:hi]]).view(np.uint64)
+            for part in np.array_split(left, max(1, len(left) // 128)):
+                x, y = part[:, None], right[None]
+                fits = (comp[x] != comp[y]) & (open_[x] | open_[y]) & (3 * np.maximum(n[x], n[y]) <= 4 * np.minimum(n[x], n[y]))
+                a, b = np.nonzero(fits)
+                a, b = part[a], right[b]
+                for at in range(0, len(a), 20_000):
+                    p, q = a[at : at + 20_000], b[at : at + 20_000]
+                    near = np.bitwise_count(bits[p - lo] ^ bits[q - lo]).sum(1, dtype=np.int64) <= (n[p] + n[q]) // 7
+                    if near.any():
+                        found.append(np.stack([np.maximum(ids[p], ids[q])[near], np.minimum(ids[p], ids[q])[near]], 1))
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        if found:
+            both = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    for batch in batches:
+        keys = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
+        ends = np.flatnonzero(np.any([k != k[-1] for k in keys], 0)) if batch.num_rows else []
+        whole = int(ends[-1]) + 1 if len(ends) else 0  # the last group may go on in the next batch
+        if whole or (rest and batch.num_rows and any(k[-1] != rest[-1].column(c)[-1].as_py() for k, c in zip(keys, ("key", "i", "j")))):
+            compare(pa.Table.from_batches([*rest, batch.slice(0, whole)]).combine_chunks())
+            rest = []
+        rest.append(batch.slice(whole))
+        if sum(map(len, found)) > 1_000_000:
+            yield from pairs()
+    if rest:
+        compare(pa.Table.from_batches(rest).combine_chunks())
+    yield from pairs()
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = SHINGLE) -> DataFrame:
@@ -328,7 +373,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(texts.mapInArrow(_signatures(length), "id long, n long, fp1 long, fp2 long, sketch binary, band int, level int"), "signatures")
+    signed = written(texts.mapInArrow(_signatures(length), "id long, n long, fp1 long, fp2 long, sketch binary, band int, level int, margin long"), "signatures")
     with_id = signed.filter("id is not null and n > 0")
     needs = {r["band"]: (r["level"], r["total"]) for r in with_id.groupBy("band").agg(F.max("level").alias("level"), F.sum("n").alias("total")).collect()}
     k_of_band = np.array([parts_of(b, needs.get(b, (0,))[0]) for b in range(max(needs, default=0) + 1)])
@@ -360,31 +405,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = written(same, "same-sets")
     groups_of = components(links.union(same))
 
-    # documents under a crowded key that are still apart
+    # A linked pair has `margin` equal parts by its smaller document. Where fewer of them are crowded, another one has
+    # listed the pair already; only the other documents are open.
+    raised = [b for b, (level, _) in needs.items() if level > 0]
     crowd = found.filter("key is not null").select("key", F.col("a").alias("id")).distinct()
-    crowd = crowd.join(groups_of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"))
-    open_keys = open_keys.filter("x < y").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    often = crowd.groupBy("id").agg(F.count("*").alias("crowded"))
+    margin = with_id.groupBy("id").agg(F.min(F.when(F.col("band").isin(raised), 0).otherwise(F.col("margin"))).alias("margin"))
+    state = often.join(margin, "id").join(groups_of, "id", "left").select(
+        "id", F.coalesce("component", "id").alias("component"), (F.col("crowded") >= F.col("margin")).alias("open"))
+    crowd = crowd.join(written(state, "crowd-state"), "id")
+    open_keys = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bool_or("open").alias("any"))
+    open_keys = open_keys.filter("x < y and any").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     crowd = written(crowd.join(open_keys, "key"), "crowd")
     if crowd.count():
         near = crowd.join(with_id.select("id", "n", "sketch").distinct(), "id").withColumn("own", F.pmod(F.hash("id"), "blocks"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        # block pair (i, j), i <= j: rows of block i stand on side 0, rows of block j on side 1
-        rows = near.withColumn("o", other)
-        first = rows.filter("o >= own").select("key", F.col("own").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "id", "n", "component", "sketch")
-        second = rows.filter("o <= own").select("key", F.col("o").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "id", "n", "component", "sketch")
-        pairs = first.union(second).groupBy("key", "i", "j").applyInArrow(_table(_blocks), "a long, b long").distinct()
+        near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        near = near.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "open", "sketch")
+        near = near.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        pairs = near.mapInArrow(_blocks, "a long, b long").distinct()
         links = links.union(verified(written(pairs, "crowd-pairs")))
         groups_of = components(links.union(same))
     out = signed.select("id", F.col("n").alias("n_shingles"))
     return out.join(groups_of, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-
-
-def _table(fn):
-    """A batch function as a function of one group's table."""
-
-    def run(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        return pa.Table.from_batches(list(fn(iter(table.to_batches()))), schema)
-
-    return run
