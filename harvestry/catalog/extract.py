@@ -7,31 +7,36 @@ from pyspark.sql import functions as F
 from harvestry.catalog.registry import query
 from harvestry.functions.documents import canonical_fields
 from harvestry.operators import extract as X
-from harvestry.sources.payloads import api_items, payload_pages
+from harvestry.operators.records import kv_records as kv
+from harvestry.sources.payloads import api_items, payload_pages, payload_rejects
 from harvestry.sources.tables import load, pages
 
 
-@query("page_links", """
-SELECT page_id, CAST(i AS BIGINT) AS position_no, hrefs[i] AS href FROM (
+@query("page_links", r"""
+SELECT page_id, CAST(i AS BIGINT) AS position_no, replace(hrefs[i], '&amp;', '&') AS href FROM (
   SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i FROM (
-    SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1) AS hrefs FROM pages))""")
+    SELECT page_id, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS hrefs FROM pages))""")
 def page_links(spark, sf):
-    return X.flat_links(pages(spark, sf).select("page_id", "html"))
+    """The stored pages, every third one with its links written in another way."""
+    stored = pages(spark, sf).select("page_id", "html")
+    other = F.regexp_replace("html", r'<a(\s[^>]*?)href="([^"\']*)"', "<A$1rel=next HREF = '$2'")
+    return X.flat_links(stored.withColumn("html", F.when(F.col("page_id") % 3 == 0, other).otherwise(F.col("html"))))
 
 
 def listing_pages(spark, sf):
-    """Customers in tens as listing pages with one table row each."""
-    cell = F.format_string(
-        '<tr class="r"><td>%d</td><td><a href="?view=x&amp;journalid=0"> </a><a href="?journalid=%d"><b>%s</b></a></td></tr>',
-        F.col("c_custkey") % 10, F.col("c_custkey"), F.col("c_name"))
+    """Suppliers' and customers' ids in tens as listing pages: a list of rows, some without a usable link, then the pager."""
+    named = F.format_string(
+        "<TR data-n='%d'><TD class=no>no.&nbsp;%d<TD><A class=\"t\" HREF='/show?lang=zh&amp;journalid=%d&amp;tab=1'><i>%s</i>&nbsp;</A></TR>",
+        F.col("c_custkey") % 10, F.col("c_custkey") % 7, F.col("c_custkey"), F.col("c_name"))
+    empty = F.lit('<tr><td colspan=2><a href="/show?journalid=77">&nbsp; </a><a href="/help">help</a></td></tr>')
+    cell = F.when(F.col("c_custkey") % 5 == 0, F.concat(empty, named)).otherwise(named)
     # ten rows per page by construction
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", cell.alias("h")))), lambda r: r["h"]), "\n")
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", cell.alias("h")))), lambda r: r["h"]), "")
     body = load(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 10).alias("page_id")).agg(rows.alias("rows"))
-    more = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<p>共 <b>"), F.col("page_id"), F.lit("</b> 页</p>"))).otherwise(
-        F.concat(F.lit('<a href="?currentpage=2">2</a><a href="?currentpage='), F.col("page_id"), F.lit('">n</a>')))
-    return body.select("page_id", F.concat(
-        F.lit("<html><body><table><tr><th>n</th><th>name</th></tr>"), "rows", F.lit("</table>"), more, F.lit("</body></html>")
-    ).alias("html"))
+    stated = F.concat(F.lit("<em>共&nbsp;<span>"), "page_id", F.lit("</span>\u3000页</em>"))
+    numbered = F.concat(F.lit("<a href='?x=1&amp;currentpage="), "page_id", F.lit("'>last</a><A HREF=?currentpage=2>2</A>"))
+    more = F.when(F.col("page_id") % 2 == 0, stated).otherwise(numbered)
+    return body.select("page_id", F.concat(F.lit("<main><table class=l>"), "rows", F.lit("</table><nav>"), more, F.lit("</nav></main>")).alias("html"))
 
 
 @query("listing_rows", """
@@ -50,23 +55,33 @@ def page_count(spark, sf):
 @query("group_links", """
 SELECT CAST(n_nationkey AS VARCHAR) AS field_tag, n_name AS name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS total_count FROM nation""")
 def group_links(spark, sf):
+    """Nations as entry pages: the count stands in the link, behind it or in a tag of its own; a later link repeats the tag."""
     totals = load(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     nation = load(spark, sf, "nation").join(totals, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    html = F.format_string(
-        '<div><ul><li><a href="?fieldtag=all">all</a></li><li><a href="?x=1&fieldtag=%d">%s</a>（%d）</li>'
-        '<li><a href="?fieldtag=%d">later</a> (1)</li></ul></div>',
-        "n_nationkey", "n_name", F.coalesce("n", F.lit(0)), "n_nationkey")
+    key, name, n = F.col("n_nationkey"), F.col("n_name"), F.coalesce("n", F.lit(0))
+    link = (
+        F.when(key % 3 == 0, F.format_string("<dd><A HREF='/g?s=0&amp;fieldtag=%d'>%s (%d)</A></dd>", key, name, n))
+        .when(key % 3 == 1, F.format_string('<dd><a class="g" href="/g?fieldtag=%d"><b>%s</b></a>&nbsp;（%d）</dd>', key, name, n))
+        .otherwise(F.format_string("<dd><a href=/g?fieldtag=%d >%s</a><small>(%d)</small></dd>", key, name, n)))
+    html = F.concat(
+        F.lit('<dl><dt>groups (999)</dt><dd><a href="/g?fieldtag=any">any</a> (5)</dd>'), link,
+        F.format_string('<dd><a href="/g?fieldtag=%d">once more</a> (1)</dd></dl>', key))
     return X.group_links(nation.select(F.col("n_nationkey").alias("page_id"), html.alias("html")))
 
 
 def detail_pages(spark, sf):
-    html = F.format_string("""<div id="yxyz_content"><table><tr><td>decoy</td></tr></table><table>
-<tr><td colspan="2">基本信息</td></tr><tr><td>期刊名字</td><td>%s <span style="display:none">x</span></td></tr>
-<tr><td>期刊ISSN：</td><td>%08d</td></tr><tr><td>2025最新IF</td><td>about %.2f</td></tr>
-<tr><td>出版商</td><td><a href="/p">%s</a></td></tr>
-<tr><td>JCR</td><td>now<table><tr><th>k</th><th>v</th></tr><tr><td>%s</td><td>%d</td></tr></table></td></tr></table></div>""",
-        "c_name", "c_custkey", F.abs("c_acctbal"), "c_mktsegment", "c_mktsegment", "c_nationkey")
-    plain = F.concat(F.lit("<p>"), "c_name", F.lit("</p>"))
+    """Customers as detail pages; those with a debt have no record."""
+    html = F.format_string("""<section><table class="ad"><tr><td>期刊名字</td></tr></table></section>
+<section ID='yxyz_content' class="body"><table><tbody>
+<tr><th colspan=2>记录</th></tr>
+<tr><td>出版商\u3000：</td><td><button>%s</button></td></tr>
+<tr><td>期刊ISSN</td><td><!-- 1 -->%08d&nbsp;<i style="color:red; display : none">(old)</i></td></tr>
+<tr><td>JCR</td><td>by year<table><tr><td>year</td><td>2024</td></tr><tr><td>group:</td><td>%s</td></tr></table></td><td>more</td></tr>
+<tr><td>2025最新IF</td><td>IF&nbsp;%.2f</td></tr>
+<tr><td>期刊名字 :</td><td>%s<script>var t = "<td>";</script></td></tr><tr><td>note</td></tr>
+</tbody></table></section>""",
+        "c_mktsegment", "c_custkey", "c_nationkey", F.abs("c_acctbal"), "c_name")
+    plain = F.concat(F.lit("<table><tr><td>期刊名字</td><td>"), "c_name", F.lit("</td></tr></table>"))
     return load(spark, sf, "customer").select(
         F.col("c_custkey").alias("page_id"), F.when(F.col("c_acctbal") < 0, plain).otherwise(html).alias("html"))
 
@@ -75,52 +90,70 @@ def detail_pages(spark, sf):
 SELECT c_custkey AS page_id, CASE WHEN c_acctbal < 0 THEN 0 ELSE 5 END AS n_fields,
   CASE WHEN c_acctbal >= 0 THEN c_name END AS name, CASE WHEN c_acctbal >= 0 THEN lpad(CAST(c_custkey AS VARCHAR), 8, '0') END AS issn,
   CASE WHEN c_acctbal >= 0 THEN round(c_acctbal, 2) END AS impact_factor, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS publisher,
-  CASE WHEN c_acctbal >= 0 THEN '[[{"k": "' || c_mktsegment || '", "v": "' || c_nationkey || '"}]]' END AS tables, CAST(NULL AS VARCHAR) AS error
+  CASE WHEN c_acctbal >= 0 THEN '[{"year": "2024", "group": "' || c_nationkey || '"}]' END AS tables
 FROM customer""")
 def kv_records(spark, sf):
-    rows = X.kv_records(detail_pages(spark, sf)).withColumn("c", canonical_fields("fields"))
+    rows = kv(detail_pages(spark, sf)).withColumn("c", canonical_fields("fields"))
     tables = F.regexp_extract(F.col("c")["JCR"], r'"tables": (.*)\}$', 1)
     return rows.select(
         "page_id", F.col("n_fields").cast("int").alias("n_fields"), F.col("c")["期刊名字"].alias("name"),
         F.col("c")["issn"].alias("issn"), F.col("c")["impact_factor"].cast("double").alias("impact_factor"),
-        F.col("c")["publisher"].alias("publisher"), tables.alias("tables"), "error")
+        F.col("c")["publisher"].alias("publisher"), tables.alias("tables"))
 
 
 def payloads(spark, sf):
-    """Orders in tens as API payload pages of HTML fragments; odd hundreds are error pages."""
+    """Orders in tens as API payload pages of HTML fragments; odd hundreds are error pages, every eleventh item is blank."""
     fragment = F.format_string(
-        '<div><span>#%d楼</span><a title="去查看Ta的个人主页">clerk %d</a><div>期刊评分</div><div></div><div>%s</div>'
-        '<p><strong>投稿结果</strong>：%s</p><strong>发表时间</strong>：%s 10:00:00'
-        '<blockquote class="layui-elem-quote">投稿经验：price %.2f 其他用户回复：none</blockquote></div>',
-        F.col("o_orderkey") % 10, F.month("o_orderdate"), "o_orderpriority", "o_orderstatus",
-        F.date_format("o_orderdate", "yyyy-MM-dd"), "o_totalprice")
+        "<section class=c><DIV>期刊评分\u3000</DIV>\n<div></div><div class='s'>&nbsp;%s</div><blockquote CLASS='q layui-elem-quote'>投稿经验：paid&nbsp;%.2f"
+        "<br>其他用户回复：thanks</blockquote><footer><a class='me' title='去查看Ta的个人主页' href='/u'>clerk <b>%d</b></a> <span>at</span><span class=f> #%d楼 </span>"
+        "<ul><li><strong>发表时间</strong>：\u3000%s 10:00:00</li><li><strong>投稿结果</strong>：%s</li></ul></footer></section>",
+        "o_orderpriority", "o_totalprice", F.month("o_orderdate"), F.col("o_orderkey") % 10,
+        F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderstatus")
+    fragment = F.when(F.col("o_orderkey") % 11 == 0, "<p>&nbsp;</p>").otherwise(fragment)
     # ten fragments per payload by construction
     items = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", fragment.alias("f")))), lambda r: F.struct(r["f"].alias("content")))
     page = F.floor(F.col("o_orderkey") / 10).alias("journal_id")
     body = load(spark, sf, "orders").groupBy(page).agg(items.alias("data"))
     code = F.when(F.floor(F.col("journal_id") / 100) % 2 == 0, 0).otherwise(1)
-    return body.select("journal_id", F.to_json(F.struct(
-        code.alias("code"), (F.size("data") + 10).cast("string").alias("count"), F.lit(0).alias("pages"), "data")).alias("body"))
+    whole = F.to_json(F.struct(code.alias("code"), (F.size("data") + 10).cast("string").alias("count"), F.lit(0).alias("pages"), "data"))
+    return body.select("journal_id", F.when(F.col("journal_id") % 100 == 1, F.concat(F.lit("{"), whole)).otherwise(whole).alias("body"))
 
 
-@query("payload_pages", """
+_GOOD_PAGE = "(o_orderkey // 1000) % 2 = 0 AND (o_orderkey // 10) % 100 <> 1"
+
+
+@query("payload_pages", f"""
 SELECT o_orderkey // 10 AS journal_id, count(*) + 10 AS total_count, CAST(ceil((count(*) + 10) / 10) AS BIGINT) AS total_pages, false AS has_overlay
-FROM orders WHERE (o_orderkey // 1000) % 2 = 0 GROUP BY 1""")
+FROM orders WHERE {_GOOD_PAGE} GROUP BY 1""")
 def read_payload_pages(spark, sf):
     return payload_pages(payloads(spark, sf)).select("journal_id", "total_count", "total_pages", "has_overlay")
 
 
+@query("payload_rejects", f"""
+SELECT o_orderkey // 10 AS journal_id, CASE WHEN (o_orderkey // 10) % 100 = 1 THEN NULL ELSE CAST(1 AS BIGINT) END AS code,
+  CASE WHEN (o_orderkey // 10) % 100 = 1 THEN 'not a payload' ELSE 'refused' END AS reason
+FROM orders WHERE NOT ({_GOOD_PAGE}) GROUP BY 1""")
+def read_payload_rejects(spark, sf):
+    return payload_rejects(payloads(spark, sf)).select("journal_id", "code", "reason")
+
+
 _UUID = """(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
   substr('89ab', ((strpos('0123456789abcdef', substr(h, 17, 1)) - 1) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12))"""
 
 
 @query("child_fragments", f"""
 WITH f AS (SELECT o_orderkey // 10 AS journal_id, o_orderkey, o_orderkey % 10 + 1 AS position_no, '#' || (o_orderkey % 10) || '楼' AS floor,
-    'clerk ' || month(o_orderdate) AS author, o_orderpriority AS rating, '投稿结果：' || o_orderstatus AS submission_result,
-    'price ' || printf('%.2f', o_totalprice) AS content, o_orderdate + INTERVAL 10 HOUR AS comment_time FROM orders WHERE (o_orderkey // 1000) % 2 = 0),
+    'clerk ' || month(o_orderdate) AS author, o_orderpriority AS rating, '投稿结果 ：' || o_orderstatus AS submission_result,
+    'paid ' || printf('%.2f', o_totalprice) AS content, o_orderdate + INTERVAL 10 HOUR AS comment_time FROM orders WHERE {_GOOD_PAGE} AND o_orderkey % 11 <> 0),
 d AS (SELECT *, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(journal_id || '_' || floor || '_' || author)) AS h FROM f)
 SELECT journal_id, position_no, floor, author, rating, submission_result, content, comment_time, {_UUID} AS comment_id FROM d""")
 def child_fragments(spark, sf):
     rows = X.child_fragments(api_items(payloads(spark, sf)))
     return rows.select("journal_id", "position_no", "floor", "author", "rating", "submission_result", "content",
                        "comment_time", "comment_id")
+
+
+@query("fragment_rejects", f"""
+SELECT o_orderkey // 10 AS journal_id, o_orderkey % 10 + 1 AS position_no, 'no text' AS reason FROM orders WHERE {_GOOD_PAGE} AND o_orderkey % 11 = 0""")
+def fragment_rejects(spark, sf):
+    return X.fragment_rejects(api_items(payloads(spark, sf))).select("journal_id", "position_no", "reason")

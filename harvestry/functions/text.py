@@ -78,9 +78,19 @@ def join_distinct(parts: Sequence[Column], limit: int = 120) -> Column:
     return let(F.array_join(F.array_distinct(texts), " / "), lambda t: compact_text(t, limit))
 
 
+def squeeze(c: Column | str) -> Column:
+    """Inner blanks as one blank, outer ones removed; blanks are those of Unicode."""
+    return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
+
+
+def strip(c: Column | str) -> Column:
+    """Outer blanks of Unicode removed."""
+    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+
+
 def compact_text(c: Column | str, limit: int = 90) -> Column:
     """Trimmed text, blank as NULL, cut at ``limit`` characters with a trailing ``...``."""
-    text = blank_to_null(F.regexp_replace(_col(c), r"^\s+|\s+$", ""))
+    text = blank_to_null(strip(c))
     return F.when(F.length(text) <= limit, text).otherwise(
         F.concat(F.substring(text, 1, limit), F.lit("..."))
     )
@@ -97,17 +107,20 @@ def page_math(n: Column | str) -> Column:
 
 def field_label(c: Column | str) -> Column:
     """Label without trailing colons and blanks, inner blanks as underscores."""
-    bare = F.regexp_replace(F.regexp_replace(_col(c), r"^\s+", ""), r"[\s:：]+$", "")
-    return F.regexp_replace(bare, r"\s+", "_")
+    return F.regexp_replace(F.regexp_replace(_col(c), r"(?U)^\s+|[\s:：]+$", ""), r"(?U)\s+", "_")
 
 
 def lenient_int(c: Column | str, default: int = 0) -> Column:
-    return F.coalesce(F.trim(_col(c).cast("string")).try_cast("long"), F.lit(default).cast("long"))
+    """Whole number of a number (fractions cut) or of a text that is one; anything else is the default."""
+    text = strip(_col(c).cast("string"))
+    # a double writes itself as 5.0 or 1.0E7, a decimal as 5.00; in texts these are not whole numbers
+    number = F.when(F.typeof(_col(c)) != "string", text.try_cast("decimal(38,6)").try_cast("long"))
+    return F.coalesce(number, F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long")), F.lit(default).cast("long"))
 
 
 def time_after_label(c: Column | str) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` after a label's colon; anything else gives NULL."""
-    text = F.trim(F.regexp_replace(F.ltrim(_col(c)), r"^[：:]+", ""))
+    text = strip(F.regexp_replace(strip(c), r"^[：:]+", ""))
     shaped = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), text)
     return shaped.try_cast("timestamp_ntz")
 

@@ -116,6 +116,18 @@ DETAIL_OPTIONAL = (
     "期刊官方网站",
 )
 
+# --- fixed values: links and texts of entry and listing pages -----------------------------
+GROUP_LINK = r"fieldtag=(\d+)"
+ENTITY_LINK = r"journalid=(\d+)"
+PAGE_LINK = r"currentpage=(\d+)"
+PAGES_STATED = r"(?U)共\s*(\d+)\s*页"
+
+# entity pattern -> replacement, the ampersand last
+ENTITIES = (
+    (r"&(?:nbsp|#160|#[xX]0*[aA]0);", "\u00a0"), (r"&(?:#12288|#[xX]3000);", "\u3000"), (r"&(?:lt|#60);", "<"), (r"&(?:gt|#62);", ">"),
+    (r"&(?:quot|#34);", '"'), (r"&(?:apos|#39|#[xX]27);", "'"), (r"&(?:amp|#38);", "&"),
+)
+
 # --- fixed values: child fragments ----------------------------------------------------------
 ANONYMOUS = "匿名"
 NO_RATING = "暂无评分"

@@ -11,9 +11,20 @@ _PAYLOAD = """code long, count string, pages string, current_keke_app_status str
     data array<struct<content: string>>"""
 
 
+def _parsed(payloads: DataFrame, body: str) -> DataFrame:
+    return payloads.withColumn("_p", F.from_json(body, _PAYLOAD))
+
+
+def payload_rejects(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """Pages that were refused or cannot be read, as they came, with ``code`` and ``reason``."""
+    code = F.col("_p.code")
+    reason = F.when(code.isNull(), "not a payload").otherwise("refused")
+    return _parsed(payloads, body).filter(code.isNull() | (code != 0)).select(*payloads.columns, code.alias("code"), reason.alias("reason"))
+
+
 def payload_pages(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """One row per accepted page with its counts; pages whose code is not 0 are left out."""
-    parsed = payloads.withColumn("_p", F.from_json(body, _PAYLOAD)).filter(F.col("_p.code") == 0)
+    """One row per accepted page (code 0) with its counts; the others are in ``payload_rejects``."""
+    parsed = _parsed(payloads, body).filter(F.col("_p.code") == 0)
     count = F.coalesce(F.col("_p.count").try_cast("long"), F.lit(0))
     stated = F.coalesce(F.col("_p.pages").try_cast("long"), F.lit(0))
     derived = F.when(
