@@ -87,16 +87,15 @@ WITH {STALE}, listed AS (
   SELECT 'missing_info' AS reason, * FROM flagged WHERE missing_info
   UNION ALL SELECT 'comment_mismatch', * FROM flagged WHERE comment_mismatch
   UNION ALL SELECT 'outdated', * FROM flagged WHERE outdated),
-ranked AS (SELECT *, count(*) OVER (PARTITION BY reason) AS reason_count,
-  row_number() OVER (PARTITION BY reason ORDER BY journal_id) AS rank FROM listed)
-SELECT reason, journal_id, name, stored, reason_count, rank,
+ranked AS (SELECT *, count(*) OVER (PARTITION BY reason) AS reason_count FROM listed)
+SELECT reason, journal_id, name, stored, reason_count,
   CASE WHEN reason = 'comment_mismatch' THEN expected END AS expected,
   CASE WHEN reason = 'comment_mismatch' THEN expected - stored END AS diff,
   CASE WHEN reason = 'outdated' THEN date_sub('day', updated_at, {B.NOW}) END AS days_ago
-FROM ranked WHERE rank <= 50""")
+FROM ranked""")
 def staleness(spark, sf):
     rows = C.staleness(B.entities(spark, sf), B.children(spark, sf), B.latest_order(spark, sf))
-    return rows.select("reason", "journal_id", "name", "stored", "reason_count", "rank", "expected", "diff", "days_ago")
+    return rows.select("reason", "journal_id", "name", "stored", "reason_count", "expected", "diff", "days_ago")
 
 
 @query("rating_stats", f"""

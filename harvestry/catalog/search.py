@@ -99,7 +99,7 @@ def simple_search(spark, sf):
 
 
 @query("default_listing", """
-SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 100""")
+SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC NULLS LAST, p_partkey LIMIT 500""")
 def default_listing(spark, sf):
     return S.page(S.default_listing(load(spark, sf, "part"), B.PART), 1, 500).select("p_partkey", "p_name", "p_retailprice")
 
@@ -255,6 +255,7 @@ FROM customer LEFT JOIN k ON journal_id = c_custkey""")
 def export_nested(spark, sf):
     kids = B.children(spark, sf).filter("submit_experience = 'F'")
     rows = sinks.nest_children(B.entities(spark, sf).select("journal_id"), kids)
+    # one part each here: no customer has 10 000 children
     items = F.from_json("children", "array<struct<comment_id: string, comment_time: string>>")
     listed = F.array_join(F.transform(items, lambda i: F.concat(i["comment_id"], F.lit("@"), i["comment_time"])), ",")
     return rows.select("journal_id", "n_children", F.coalesce(listed, F.lit("")).alias("listed"))

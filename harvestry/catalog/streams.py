@@ -13,9 +13,34 @@ from harvestry.streaming import jobs
 from harvestry.streaming.batches import read_output, read_state
 
 
+#: Input files and finished runs of this application.
+_MADE: dict[tuple, str] = {}
+
+
+def _once(spark, purpose, sf, make):
+    """The folder that ``make`` filled; made once per application and table folder."""
+    key = (spark.sparkContext.applicationId, purpose, sf)
+    if key not in _MADE:
+        folder = work_folder(spark, purpose)
+        make(folder)
+        _MADE[key] = folder
+    return _MADE[key]
+
+
 def event_stream(spark, sf):
-    schema = load(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events in four files of whole days by time, each a micro-batch."""
+    events = load(spark, sf, "events")
+    clock = F.unix_date(F.col("ts").cast("date"))
+
+    def split(folder):
+        low, mid, high = events.agg(F.percentile_approx(clock, [0.25, 0.5, 0.75])).first()[0]
+        for a, b in ((None, low), (low, mid), (mid, high), (high, None)):
+            part = events if a is None else events.filter(clock > a)
+            part = part if b is None else part.filter(clock <= b)
+            part.coalesce(1).write.mode("append").parquet(folder)  # a file per micro-batch is what is shown here
+
+    folder = _once(spark, "event-files", sf, split)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _finished(started):
@@ -32,12 +57,11 @@ prev AS (SELECT *, lag(metrics) OVER w AS p_metrics, lag(kind) OVER w AS p_kind,
 
 
 def _history(spark, sf):
-    folder = work_folder(spark, "history")
     obs = event_stream(spark, sf).select(
         F.col("user_id").alias("journal_id"), F.col("ts").alias("seen_at"), F.col("event_id").alias("seq"),
         F.col("event_type").alias("kind"), F.when(F.col("value") > 20, F.col("value")).alias("score"))
-    _finished(jobs.stream_history(obs, folder, ["journal_id"], ["seen_at", "seq"], ["kind", "score"], ["score"]))
-    return folder
+    return _once(spark, "history", sf, lambda folder: _finished(
+        jobs.stream_history(obs, folder, ["journal_id"], ["seen_at", "seq"], ["kind", "score"], ["score"])))
 
 
 @query("stream_snapshots", f"""

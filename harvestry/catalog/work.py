@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from harvestry.catalog import bindings as B
 from harvestry.catalog.registry import query
+from harvestry.session import cut_lineage
 from harvestry.operators import children as C
 from harvestry.operators import errors as E
 from harvestry.operators import listing as L
@@ -217,10 +218,11 @@ def expand_pages(spark, sf):
     return R.expand_pages(groups).select("target_id", "page_no")
 
 
-def _plan_sql(task: str, cases: str, pre: str = "") -> str:
+def _plan_sql(task: str, cases: str, pre: str = "", first: str = "true") -> str:
+    """``first``: where it holds for an item of a target, later ones without it don't count."""
     return f"""
 WITH {B.ENTITIES}, {B.ITEMS}, latest AS (
-  SELECT target_id, max(id) AS item_id, arg_max(status, id) AS item_status FROM items WHERE task_type = '{task}' GROUP BY 1)
+  SELECT target_id, arg_max(id, ({first}, id)) AS item_id, arg_max(status, ({first}, id)) AS item_status FROM items WHERE task_type = '{task}' GROUP BY 1)
 SELECT CAST(journal_id AS VARCHAR) AS target_id, item_id,
   CASE {pre} WHEN item_status IS NULL THEN 'create' {cases} END AS action
 FROM entities LEFT JOIN latest ON target_id = CAST(journal_id AS VARCHAR)"""
@@ -259,7 +261,8 @@ def plan_detail_force(spark, sf):
     return _planned(spark, sf, "detail_force", "detail")
 
 
-@query("plan_group_scan", _plan_sql("category", "WHEN item_status IN ('pending', 'running') THEN 'keep' ELSE 'create'"))
+@query("plan_group_scan", _plan_sql(
+    "category", "WHEN item_status IN ('pending', 'running') THEN 'keep' ELSE 'create'", first="status IN ('pending', 'running')"))
 def plan_group_scan(spark, sf):
     return _planned(spark, sf, "group_scan", "category")
 
@@ -337,6 +340,25 @@ def plan_applied(spark, sf):
     return rows.select("task_type", "target_id", "status", "retry_count", "error_message", "extra_data", "created_at")
 
 
+@query("plan_twice", f"""
+WITH {B.ENTITIES}, {B.ITEMS}, latest AS (SELECT target_id, arg_max(status, id) AS s FROM items WHERE task_type = 'detail' GROUP BY 1)
+SELECT 'detail' AS task_type, CAST(journal_id AS VARCHAR) AS target_id, CASE WHEN s = 'running' THEN 'running' ELSE 'pending' END AS item_status,
+  CASE WHEN s = 'running' THEN 'keep' ELSE 'reset' END AS action, true AS newest
+FROM entities LEFT JOIN latest ON target_id = CAST(journal_id AS VARCHAR)""")
+def plan_twice(spark, sf):
+    """Plan, apply, and plan again: created items are known the second time, and ids are above all before."""
+    items = B.work_items(spark, sf)
+    targets = R.targets_all(B.entities(spark, sf))
+    once = R.apply_plan(items, R.plan(targets, items, "detail_force", "detail"), "detail", B.latest_order(spark, sf))
+    again = R.plan(targets, cut_lineage(once), "detail_force", "detail")
+    top = items.agg(F.max("id").alias("top")).scalar()
+    known = items.filter("task_type = 'detail'").groupBy("target_id").agg(F.max("id").alias("old_id"))
+    rows = again.join(known, "target_id", "left")
+    return rows.select(
+        F.lit("detail").alias("task_type"), "target_id", "item_status", "action",
+        (F.col("item_id").eqNullSafe(F.col("old_id")) | (F.col("old_id").isNull() & (F.col("item_id") > top))).alias("newest"))
+
+
 @query("plan_clears_flags", f"""
 WITH {STALE} SELECT journal_id, detail_crawled AND journal_id NOT IN (SELECT journal_id FROM flagged WHERE outdated) AS detail_crawled,
   comments_crawled AND journal_id NOT IN (SELECT journal_id FROM flagged WHERE outdated) AS comments_crawled FROM entities""")
@@ -371,7 +393,7 @@ def reset_retry(spark, sf):
 WITH {B.ITEMS}, o AS (SELECT id FROM items WHERE status = 'failed' AND retry_count < max_retry ORDER BY created_at, id LIMIT 100)
 SELECT id, CASE WHEN id IN (SELECT id FROM o) THEN 'pending' ELSE status END AS status FROM items""")
 def reset_retry_oldest(spark, sf):
-    return R.reset_items(B.work_items(spark, sf), "retry_oldest").select("id", "status")
+    return R.reset_items(B.work_items(spark, sf), "retry_oldest", limit=100).select("id", "status")
 
 
 @query("reset_force", f"""

@@ -13,6 +13,7 @@ from harvestry.functions.documents import doc_field, merge_docs
 from harvestry.functions.text import first_integer, lenient_int
 from harvestry.operators.dedupe import first_per_key
 from harvestry.operators.scans import join_on
+from harvestry.session import cut_lineage
 
 
 class Replacement(NamedTuple):
@@ -140,19 +141,26 @@ def stale_flags(
 
 
 def staleness(
-    entities: DataFrame, children: DataFrame, now: Column, days: int = 90, cap: int = 50,
+    entities: DataFrame, children: DataFrame, now: Column, days: int = 90, cap: int | None = None,
     key: str = "journal_id", name: str = "name", **columns: str,
 ) -> DataFrame:
-    """Report of three lists, ``cap`` rows each in key order, with the true count of each list."""
-    flagged = stale_flags(entities, children, now, days, key, **columns)
+    """Report of three lists with the count of each; with ``cap`` its first rows in key order, ranked.
+
+    Without a cap nothing is ranked, so no list passes through one task.
+    """
+    # the flags are worked out once, for the lists and their counts
+    flagged = cut_lineage(stale_flags(entities, children, now, days, key, **columns))
     kinds = ("missing_info", "comment_mismatch", "outdated")
     reasons = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in kinds]))
     rows = flagged.select(
         key, name, "stored", "expected", "diff", "days_ago", F.explode(reasons).alias("reason")
     )
     totals = rows.groupBy("reason").agg(F.count(F.lit(1)).alias("reason_count"))
-    rank = F.row_number().over(Window.partitionBy("reason").orderBy(key))
-    listed = rows.withColumn("rank", rank).filter(F.col("rank") <= cap)
+    if cap is None:
+        listed = rows.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("reason").orderBy(key))
+        listed = rows.withColumn("rank", rank).filter(F.col("rank") <= cap)
     mismatch, old = F.col("reason") == "comment_mismatch", F.col("reason") == "outdated"
     return listed.join(F.broadcast(totals), "reason").withColumns({
         "expected": F.when(mismatch, F.col("expected")),

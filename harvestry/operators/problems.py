@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestry import rules
+from harvestry.operators.ids import next_ids
 from harvestry.operators.scans import ROWS_PER_CHUNK, join_on, running
 
 UPDATED = ("message", "expected_value", "actual_value")
@@ -35,7 +36,7 @@ def record_problems(table: DataFrame, new: DataFrame, now: Column, order: Sequen
     )
     is_new = F.col("_open").isNull()
     reported = F.col("_report").isNotNull()
-    fresh_id = F.xxhash64("_jid", "_code", now.cast("string"))
+    fresh_id = next_ids(table)
     values: dict[str, Column] = {
         "id": F.coalesce("id", fresh_id),
         "journal_id": F.coalesce("journal_id", "_jid"),
@@ -85,7 +86,7 @@ def apply_problem_events(
     has_report = F.coalesce(F.col("_reports") > 0, F.lit(False))
     closed = F.col("_closed").isNotNull()
     values: dict[str, Column] = {
-        "id": F.coalesce("id", F.xxhash64("_jid", "_code", F.col("_from").cast("string"))),
+        "id": F.coalesce("id", next_ids(table)),
         "journal_id": F.coalesce("journal_id", "_jid"),
         "problem_code": F.coalesce("problem_code", "_code"),
         "problem_type": F.coalesce("problem_type", "_type"),

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harvestry.operators.ids import next_ids
 from harvestry.operators.scans import ROWS_PER_CHUNK, Peak, join_on, running
 
 MAX_FAILS = 3
@@ -167,7 +168,7 @@ def upsert_endpoints(
     zero = F.lit(0).cast("long")
     note = F.lit(remark or None)
     values = {
-        "id": F.coalesce("id", F.xxhash64("ip", "port")),
+        "id": F.coalesce("id", next_ids(pool)),
         "protocol": F.coalesce("_protocol", "protocol"),
         "username": F.coalesce("_username", "username"),
         "secret": F.coalesce("_secret", "secret"),
@@ -185,9 +186,9 @@ def upsert_endpoints(
 
 
 def import_report(
-    ok: DataFrame, rejects: DataFrame, existing: DataFrame, order: str = "line_no", max_errors: int = 50
+    ok: DataFrame, rejects: DataFrame, existing: DataFrame, order: str = "line_no", max_errors: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Counts added, updated, skipped, failed, and the first ``max_errors`` rejected lines.
+    """Counts added, updated, skipped, failed, and the rejected lines, on request the first ``max_errors`` only.
 
     The first line of an endpoint not in the pool counts as added, any other as updated.
     """
@@ -204,8 +205,8 @@ def import_report(
     ).select(zero.alias("added"), zero.alias("updated"), "skipped", "failed")
     # one row each
     counts = good.unionByName(bad).agg(*[F.sum(c).alias(c) for c in ("added", "updated", "skipped", "failed")])
-    errors = rejects.filter(~F.col("skipped")).orderBy(order).limit(max_errors)
-    return counts, errors
+    errors = rejects.filter(~F.col("skipped")).orderBy(order)
+    return counts, errors if max_errors is None else errors.limit(max_errors)
 
 
 def resync_pool(
@@ -214,9 +215,12 @@ def resync_pool(
 ) -> DataFrame:
     """Take the source's active rows out of service and append one row per fresh node.
 
-    ``fresh`` holds ``node_name``, ``egress_ip`` (may be null) and ``ord``.  Ports end at
-    65535, so there are at most a few thousand fresh rows; numbering them takes one task.
+    ``fresh`` holds ``node_name``, ``egress_ip`` (may be null) and ``ord``. Ports end at 65535, so more nodes than
+    there are ports from ``base_port`` on are an error, and the numbering in one task stays small.
     """
+    ports = 65536 - base_port
+    if len(fresh.limit(ports + 1).select(F.lit(1)).collect()) > ports:
+        raise ValueError(f"there are only {ports} ports from {base_port} on")
     own = F.col("source").eqNullSafe(F.lit(source)) & F.col("is_active")
     retired = pool.withColumn("is_active", F.when(own, False).otherwise(F.col("is_active")))
     numbered = fresh.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
@@ -233,7 +237,7 @@ def resync_pool(
         "proxy_type": F.lit("direct"), "source": F.lit(source), "area": F.lit(area),
         "is_active": F.lit(True), "is_valid": F.lit(True), "success_count": zero, "fail_count": zero,
         "total_fail_count": zero, "remark": remark, "created_at": now,
-        "id": F.xxhash64(F.lit(source), "_i", now.cast("string")),
+        "id": next_ids(pool),
     }
     added = numbered.select(*[
         values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in pool.schema

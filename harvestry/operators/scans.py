@@ -1,13 +1,9 @@
 """Order-dependent operators that stay parallel when one key holds much of the table.
 
-A plain ``Window.partitionBy(key)`` sends a key to a single task.  Here keys with more
-than ``rows_per_chunk`` rows are cut into consecutive pieces along the ordering columns, the
-window runs per (key, piece), and what crosses a piece boundary (the last row, a running
-sum, a running peak) is carried over from a summary with one row per piece.  Keys below
-the limit form one piece and need no carry.
-
-The broadcasts are bounded by construction: there are at most ``rows / rows_per_chunk``
-hot keys and a few times as many pieces.
+A plain ``Window.partitionBy(key)`` sends a key to a single task. Here the rows are ranged by key and the
+full order (ties by a hash of the row), with bounds taken from quantiles, and written once; the
+window runs per key and range, and what crosses a bound (the last row, a running sum, a running peak) is carried over
+from a summary with one row per key and range. That is done at every size.
 """
 
 from __future__ import annotations
@@ -19,10 +15,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harvestry.session import cut_lineage
+
 ROWS_PER_CHUNK = 1_000_000
 
 CHUNK = "_chunk"
-HOT = "_hot"
+TIE = "_tie"
 
 
 def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -44,66 +42,26 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def order_number(df: DataFrame, name: str) -> Column:
-    """A number that grows with column ``name``; used only to cut pieces."""
-    kind = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(col).cast("double")
-    if isinstance(kind, T.TimestampNTZType):
-        day = F.unix_date(col.cast("date")).cast("double")
-        clock = F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-        return day * 86400 + clock
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col).cast("double")
-    if isinstance(kind, T.NumericType):
-        return col.cast("double")
-    raise TypeError(f"order column {name} must be a number, date or timestamp")
-
-
-def _share(at: Column, n: str, low: str, high: str, rows_per_chunk: int) -> Column:
-    """Which of the equal-width pieces between ``low`` and ``high`` a row falls into."""
-    pieces = F.ceil(F.col(n) / F.lit(rows_per_chunk))
-    width = F.greatest(F.col(high) - F.col(low), F.lit(1e-9))
-    return F.least(F.floor((at - F.col(low)) / width * pieces), pieces - 1)
-
-
-def cut_hot_keys(
+def cut_pieces(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
-    """Add ``_chunk`` (rises with the order within a key) and ``_hot``.
+    """Add ``_chunk``, which rises with (keys, order) and holds about ``rows_per_chunk`` rows at most, and ``_tie``.
 
-    Hot keys are cut along the first ordering column.  Pieces that are still too large,
-    because rows come in bursts, are cut again: along the same column, or along the second
-    one where the first is constant.  Without hot keys the second look reads nothing.
+    Written once, as bounds are drawn anew each time; a lost executor costs a reread. Only rows equal in every
+    column can't be told apart.
     """
-    at = order_number(df, order[0])
-    tie = order_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
-    spread = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-        .filter(F.col("_n") > rows_per_chunk)
-    )
-    rows = join_on(df, F.broadcast(spread), keys).withColumns({
-        HOT: F.col("_n").isNotNull(),
-        "_piece": F.coalesce(_share(at, "_n", "_lo", "_hi", rows_per_chunk), F.lit(0)).cast("long"),
-    }).drop("_n", "_lo", "_hi")
-    dense = (
-        rows.filter(HOT).groupBy(*keys, "_piece")
-        .agg(
-            F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"),
-            F.min(tie).alias("_tie_lo"), F.max(tie).alias("_tie_hi"),
-        )
-        .filter(F.col("_n") > 2 * rows_per_chunk)
-    )
-    again = F.when(F.col("_hi") > F.col("_lo"), _share(at, "_n", "_lo", "_hi", rows_per_chunk)).otherwise(
-        _share(tie, "_n", "_tie_lo", "_tie_hi", rows_per_chunk)
-    )
-    return (
-        join_on(rows, F.broadcast(dense), [*keys, "_piece"])
-        .withColumn(CHUNK, F.col("_piece") * 2**31 + F.coalesce(again, F.lit(0)).cast("long"))
-        .drop("_piece", "_n", "_lo", "_hi", "_tie_lo", "_tie_hi")
-    )
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(least, -(-df.count() // rows_per_chunk))
+    ranged = df.withColumn(TIE, F.xxhash64(*plain)).repartitionByRange(pieces, *keys, *order, TIE)
+    return cut_lineage(ranged.withColumn(CHUNK, F.spark_partition_id()))
+
+
+def _carried(summary: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summary rows of keys that lie in several ranges; there are fewer than twice as many as ranges."""
+    first, last = F.min(CHUNK), F.max(CHUNK)
+    spans = summary.groupBy(*keys).agg(first.alias("_from"), last.alias("_to")).filter("_from < _to").drop("_from", "_to")
+    return join_on(summary, spans.withColumn("_spans", F.lit(True)), keys).filter("_spans").drop("_spans")
 
 
 def with_previous(
@@ -115,19 +73,17 @@ def with_previous(
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Add ``out``: a struct of ``cols`` taken from the key's previous row (NULL on the first)."""
-    rows = cut_hot_keys(df, keys, order, rows_per_chunk)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    last = rows.filter(HOT).groupBy(*keys, CHUNK).agg(
-        F.max_by(F.struct(*cols), F.struct(*order)).alias("_last")
-    )
-    carry = last.select(
+    rows = cut_pieces(df, keys, order, rows_per_chunk)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order, TIE)
+    last = rows.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*cols), F.struct(*order, TIE)).alias("_last"))
+    carry = _carried(last, keys).select(
         *keys, CHUNK, F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry")
     )
     local = rows.withColumn(out, F.lag(F.struct(*cols)).over(inside))
     return (
-        join_on(local, F.broadcast(carry), [*keys, CHUNK])
+        join_on(local, carry, [*keys, CHUNK])
         .withColumn(out, F.coalesce(F.col(out), F.col("_carry")))
-        .drop("_carry", CHUNK, HOT)
+        .drop("_carry", CHUNK, TIE)
     )
 
 
@@ -150,10 +106,10 @@ def running(
 ) -> DataFrame:
     """Add inclusive running sums and running peaks per key."""
     peaks = dict(peaks or {})
-    rows = cut_hot_keys(df, keys, order, rows_per_chunk)
+    rows = cut_pieces(df, keys, order, rows_per_chunk)
     for name, step in sums.items():
         rows = rows.withColumn(f"_step_{name}", step)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order, TIE).rowsBetween(Window.unboundedPreceding, 0)
     local = rows
     for name in sums:
         local = local.withColumn(name, F.sum(f"_step_{name}").over(inside))
@@ -165,12 +121,12 @@ def running(
     for name in peaks:
         local = local.withColumn(name, F.max(f"_at_{name}").over(inside))
 
-    totals = local.filter(HOT).groupBy(*keys, CHUNK).agg(
+    totals = local.groupBy(*keys, CHUNK).agg(
         *[F.sum(f"_step_{n}").alias(f"_sum_{n}") for n in sums],
         *[F.max(f"_at_{n}").alias(f"_peak_{n}") for n in peaks],
     )
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals
+    carry = _carried(totals, keys)
     for name in sums:
         carry = carry.withColumn(f"_off_{name}", F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)))
     for name, peak in peaks.items():
@@ -180,7 +136,7 @@ def running(
     carry = carry.select(
         *keys, CHUNK, *[f"_off_{n}" for n in sums], *[f"_before_{n}" for n in peaks]
     )
-    result = join_on(local, F.broadcast(carry), [*keys, CHUNK])
+    result = join_on(local, carry, [*keys, CHUNK])
     for name in sums:
         result = result.withColumn(f"_off_{name}", F.coalesce(F.col(f"_off_{name}"), F.lit(0)))
     for name, peak in peaks.items():

@@ -166,12 +166,13 @@ def exhausted(items: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("completed_at").desc(), F.col("id").desc())
 
 
-def retryable(items: DataFrame, task_type: str | None = None, limit: int = 10) -> DataFrame:
+def retryable(items: DataFrame, task_type: str | None = None, limit: int | None = None) -> DataFrame:
     """Oldest failed items with retries left."""
     rows = items.filter((F.col("status") == "failed") & (F.col("retry_count") < F.col("max_retry")))
     if task_type:
         rows = rows.filter(F.col("task_type") == task_type)
-    return rows.orderBy("created_at", "id").limit(limit)
+    rows = rows.orderBy("created_at", "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def stale_leases(items: DataFrame, now: Column, timeout: int = 600) -> DataFrame:
@@ -208,9 +209,14 @@ def sort_entities(df: DataFrame, sort: str, order: str = "desc", cols: EntityCol
     return df.orderBy(*sort_columns(sort, order, cols))
 
 
-def page(df: DataFrame, number: int, size: int, max_size: int = 100) -> DataFrame:
-    """One page of a sorted frame; Spark keeps only the top rows, never a full sort."""
-    size = min(max(size, 1), max_size)
+def page(df: DataFrame, number: int, size: int, max_size: int | None = None) -> DataFrame:
+    """One page of a sorted frame; Spark keeps only the top rows, never a full sort.
+
+    A size above ``max_size``, if the caller sets one, is an error.
+    """
+    if max_size is not None and size > max_size:
+        raise ValueError(f"a page has at most {max_size} rows")
+    size = max(size, 1)
     return df.offset((max(number, 1) - 1) * size).limit(size)
 
 
@@ -246,7 +252,7 @@ def first_children(
     sends only ``size`` rows per map task.
     """
     place = F.row_number().over(Window.partitionBy(key).orderBy(*child_order(by, **columns)))
-    return children.withColumn("place", place.cast("int")).filter(F.col("place") <= min(size, 1000))
+    return children.withColumn("place", place.cast("int")).filter(F.col("place") <= size)
 
 
 def child_counts(children: DataFrame, key: str = "journal_id", out: str = "n_children") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry import rules
+from harvestry.operators.ids import next_ids
 from harvestry.operators.scans import join_on
 
 CLEARED = ("error_message", "worker_id", "locked_at", "started_at", "completed_at")
@@ -48,6 +49,11 @@ def plan(
         requests, latest.select("target_id", F.col("id").alias("item_id"), F.col("status").alias("item_status")),
         ["target_id"],
     )
+    if policy == "group_scan":  # any open item keeps it, not only the latest
+        busy = items.filter((F.col("task_type") == task_type) & F.col("status").isin("pending", "running"))
+        busy = busy.groupBy("target_id").agg(F.max("id").alias("_open_id"), F.max_by("status", "id").alias("_open_status"))
+        rows = join_on(rows, busy, ["target_id"]).withColumns({
+            "item_id": F.coalesce("_open_id", "item_id"), "item_status": F.coalesce("_open_status", "item_status")}).drop("_open_id", "_open_status")
     finished = F.lit(False) if done is None else F.coalesce(F.col(done), F.lit(False))
     redo = F.lit(refresh)
     if policy == "children":
@@ -145,7 +151,7 @@ def _reset(items: DataFrame, hit: Column, zero_retries: bool) -> DataFrame:
 
 
 def reset_items(
-    items: DataFrame, how: str, ids: DataFrame | None = None, limit: int = 100
+    items: DataFrame, how: str, ids: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
     """Work items after a bulk reset.
 
@@ -158,6 +164,8 @@ def reset_items(
     if how == "exhausted":
         return _reset(items, failed & (F.col("retry_count") >= F.col("max_retry")), zero_retries=True)
     if how == "retry_oldest":
+        if limit is None:
+            raise ValueError("retry_oldest needs a limit")
         chosen = items.filter(can_retry).orderBy("created_at", "id").limit(limit).select("id")
         chosen = F.broadcast(chosen)  # at most ``limit`` ids
     else:
@@ -186,7 +194,7 @@ def apply_plan(items: DataFrame, planned: DataFrame, task_type: str, now: Column
     rewritten = _reset(marked, F.col("_reset"), zero_retries=True).select(*items.columns)
     zero = F.lit(0).cast("long")
     values = {
-        "id": F.xxhash64(F.lit(task_type), "target_id", now.cast("string")), "task_type": F.lit(task_type),
+        "id": next_ids(items), "task_type": F.lit(task_type),
         "target_id": F.col("target_id"), "status": F.lit("pending"), "retry_count": zero,
         "max_retry": F.lit(3).cast("long"), "created_at": now, **fresh,
     }

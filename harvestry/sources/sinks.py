@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestry.functions.endpoints import endpoint_line
-from harvestry.operators.scans import join_on
+from harvestry.operators.scans import join_on, running
 
 BOM = "\ufeff"
 
@@ -22,7 +22,7 @@ NESTED_HEADER = {
     "journal_id": "期刊ID", "name": "期刊名称", "issn": "ISSN", "eissn": "E-ISSN",
     "impact_factor": "影响因子", "jcr_partition": "JCR分区", "cas_partition": "中科院分区",
     "review_speed": "审稿速度", "acceptance_rate": "录用比例", "n_children": "评论数量",
-    "children": "评论数据",
+    "part_no": "部分", "children": "评论数据",
 }
 CHILD_HEADER = {
     "comment_id": "评论ID", "journal_id": "期刊ID", "content": "评论内容", "author": "作者",
@@ -59,17 +59,16 @@ def nest_children(
     fields: Sequence[str] = NESTED_FIELDS, time: str = "comment_time",
     max_children_per_row: int = 10_000,
 ) -> DataFrame:
-    """Entities with ``n_children`` and a JSON list of their children ('' when there are none).
+    """Rows of (entity, part): ``n_children``, ``part_no`` from 0 and a JSON list of that part ('' without children).
 
-    An entity with more children than fit one cell gets several rows, each with a share of
-    the list (``part_no`` 0, 1, ...), so no cell and no task ever holds an unbounded list.
+    Children stand in the order of their id, within parts and across them; a part has ``max_children_per_row``
+    children, so no cell and no task ever holds an unbounded list.
     """
     counts = children.groupBy(key).agg(F.count(F.lit(1)).alias("n_children"))
-    share = F.ceil(F.col("n_children") / F.lit(max_children_per_row))
+    placed = running(children.select(key, child, *[f for f in fields if f not in (key, child)]), [key], [child], {"_place": F.lit(1)})
     values = [minute_text(f).alias(f) if f == time else F.col(f) for f in fields]
     lists = (
-        join_on(children, counts, [key], "inner")
-        .withColumn("part_no", F.pmod(F.xxhash64(child), share).cast("long"))
+        placed.withColumn("part_no", F.floor((F.col("_place") - 1) / max_children_per_row))
         .groupBy(key, "part_no")
         .agg(
             F.array_sort(F.collect_list(F.struct(F.col(child).alias("_by"), F.struct(*values).alias("item"))))

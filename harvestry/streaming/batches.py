@@ -1,7 +1,7 @@
 """Micro-batches over a versioned state table.
 
 Each micro-batch reads the state version of the batch before it, computes its results with
-the same distributed operators the batch jobs use, and writes ``state/batch_version=<batch id>`` and
+the same distributed operators the batch jobs use, keeps the last two state versions, and writes ``state/batch_version=<batch id>`` and
 ``<output>/batch_version=<batch id>``.  A replayed batch rewrites the same versions from the same
 inputs, so every result is stored exactly once, whichever executor or driver was lost.
 """
@@ -26,13 +26,18 @@ def start_batches(
 
     def advance(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = first_state if batch_id == 0 else spark.read.parquet(f"{folder}/state/batch_version={batch_id - 1}")
+        earlier = [v for v in finished_versions(spark, folder) if v < batch_id]
+        before = spark.read.parquet(f"{folder}/state/batch_version={earlier[-1]}") if earlier else first_state
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             state, outputs = step(before, batch)
             write_version(state, f"{folder}/state", batch_id)
             for name, rows in outputs.items():
                 write_version(rows, f"{folder}/{name}", batch_id)
+            # a replay starts from the version before; older ones are done with
+            for version in earlier[:-1]:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/batch_version={version}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         finally:
             batch.unpersist()
 
@@ -40,11 +45,18 @@ def start_batches(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def finished_versions(spark: SparkSession, folder: str) -> list[int]:
+    """Completely written state versions, ascending; by the marker that Spark's writer leaves last."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/state/batch_version=*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+
+
 def read_output(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """All rows an output received so far."""
     return spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").drop("batch_version")
 
 
-def read_state(spark: SparkSession, folder: str, query: StreamingQuery) -> DataFrame:
-    """The state after the last finished micro-batch of ``query``."""
-    return spark.read.parquet(f"{folder}/state/batch_version={query.lastProgress['batchId']}")
+def read_state(spark: SparkSession, folder: str, query: StreamingQuery | None = None) -> DataFrame:
+    """The state after the last finished micro-batch, also of a query that was started again without new data."""
+    return spark.read.parquet(f"{folder}/state/batch_version={finished_versions(spark, folder)[-1]}")

@@ -10,7 +10,7 @@ from harvestry.operators import history as H
 from harvestry.operators import resources as R
 from harvestry.operators.dedupe import first_per_either_key, first_per_key, first_per_observed
 from harvestry.operators.problems import apply_problem_events
-from harvestry.operators.scans import cut_hot_keys, with_previous
+from harvestry.operators.scans import cut_pieces, with_previous
 from harvestry.schemas import PROBLEMS
 
 
@@ -78,21 +78,45 @@ def test_clamped_counters(spark, per_chunk):
     assert got == want
 
 
-@pytest.mark.parametrize("make,per_chunk,most", [(hot_events, 2, 50), (tied_events, 20, 60)])
-def test_pieces_are_bounded_and_in_order(spark, make, per_chunk, most):
-    """A burst of 750 of 1500 rows in a thousandth of the time, and rows that all tie."""
+def massed_events(seed, n=2000):
+    """Half of a key's rows at one time, the others spread over a long time."""
+    rng = random.Random(seed)
+    return [(0, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=0 if i % 2 else rng.randrange(2000)), i, rng.random() < 0.5, rng.choice("abc")) for i in range(n)]
+
+
+def doubling_events(seed, n=1200):
+    """Times that grow as 2^i, in microseconds."""
+    rng = random.Random(seed)
+    return [(0, dt.datetime(2024, 1, 1) + dt.timedelta(microseconds=2 ** (i * 45 // n) + i), i, rng.random() < 0.5, rng.choice("abc")) for i in range(n)]
+
+
+@pytest.mark.parametrize("order", [["at", "id"], ["at"]])
+@pytest.mark.parametrize("make", [hot_events, tied_events, massed_events, doubling_events])
+def test_pieces_are_bounded_and_in_order(spark, make, order):
+    """Bursts, rows that all tie, a mass of ties among others, times that double; with one ordering column, too."""
     rows = make(8)
-    df = cut_hot_keys(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], rows_per_chunk=per_chunk)
-    pieces = {}
+    df = cut_pieces(spark.createDataFrame(rows, SCHEMA), ["k"], order, rows_per_chunk=50)
+    pieces, sizes = {}, {}
     for r in df.collect():
-        pieces.setdefault(r.k, {}).setdefault(r._chunk, []).append((r.at, r.id))
+        pieces.setdefault(r.k, {}).setdefault(r._chunk, []).append((r.at, r.id) if len(order) == 2 else r.at)
+        sizes[r._chunk] = sizes.get(r._chunk, 0) + 1
+    assert max(sizes.values()) <= 100
     for parts in pieces.values():
-        assert max(len(p) for p in parts.values()) <= most
         flat = [x for c in sorted(parts) for x in sorted(parts[c])]
         assert flat == sorted(flat)
     assert len(pieces[0]) > 10
 
 
+@pytest.mark.parametrize("make", [massed_events, doubling_events])
+def test_previous_of_odd_times(spark, make):
+    rows = make(4)
+    df = with_previous(spark.createDataFrame(rows, SCHEMA), ["k"], ["at", "id"], ["id"], rows_per_chunk=50)
+    ids = [r[2] for r in sorted(rows, key=lambda r: (r[1], r[2]))]
+    assert {r.id: r.previous and r.previous.id for r in df.collect()} == dict(zip(ids, [None, *ids]))
+    alone = with_previous(spark.createDataFrame(rows, SCHEMA), ["k"], ["at"], ["at"], rows_per_chunk=50).collect()
+    assert sorted((r.previous.at for r in alone if r.previous)) == sorted(r[1] for r in rows)[:-1]
+
+
 @pytest.mark.parametrize("per_chunk", [5, 10**6])
 @pytest.mark.parametrize("make", [hot_events, tied_events])
 def test_reset_counters(spark, per_chunk, make):
@@ -141,12 +165,11 @@ def test_first_per_key(spark):
     assert got == {(k, items[0][2]) for k, items in by_key(rows).items() if k is not None}
 
 
-@pytest.mark.parametrize("finish_rows", [0, 40])
-def test_two_key_greedy(spark, finish_rows):
+def test_two_key_greedy(spark):
     rng = random.Random(7)
     rows = [(i, rng.randrange(3), rng.randrange(40), rng.randrange(40)) for i in range(400)]
     # a chain in which every row only becomes free when the one before is dropped
-    rows += [(1000 + i, 9, 100 + i // 2, 200 + (i + 1) // 2) for i in range(12)]
+    rows += [(1000 + i, 9, 100 + i // 2, 200 + (i + 1) // 2) for i in range(301)]
     df = spark.createDataFrame(rows, "id long, g long, a long, b long")
     want, seen_a, seen_b = set(), set(), set()
     for i, g, a, b in rows:
@@ -154,7 +177,7 @@ def test_two_key_greedy(spark, finish_rows):
             want.add(i)
             seen_a.add((g, a))
             seen_b.add((g, b))
-    got = first_per_either_key(df, "a", "b", ["id"], within="g", finish_rows=finish_rows)
+    got = first_per_either_key(df, "a", "b", ["id"], within="g")
     assert {r.id for r in got.collect()} == want
 
 
