@@ -22,7 +22,7 @@ def _tables(spark, sf):
         F.when(error.isNull(), "completed").otherwise("failed").alias("status"), error.alias("error_message"),
         F.when(F.col("p_type") == "MEDIUM", F.lit('{"quality_reasons": ["detail_empty"]}')).alias("extra_data"),
         F.lit(3).cast("long").alias("retry_count"))
-    searched = part.filter("p_type = 'STANDARD' AND p_retailprice < 903").select(
+    searched = part.filter("p_type = 'STANDARD'").select(
         key.alias("candidate_id"), F.initcap("p_name").alias("candidate_name"), key.alias("ord"))
     listed = part.select(
         F.col("p_size").cast("long").alias("category_id"), key.alias("candidate_id"),
@@ -31,7 +31,7 @@ def _tables(spark, sf):
 
 
 RESOLVED = """stale AS (SELECT p_partkey AS id, p_name AS name, p_size AS g, p_type FROM part),
-c AS (SELECT p_partkey AS cid, p_name AS cname FROM part WHERE p_type = 'STANDARD' AND p_retailprice < 903),
+c AS (SELECT p_partkey AS cid, p_name AS cname FROM part WHERE p_type = 'STANDARD'),
 tried AS (SELECT *, p_type IN ('ECONOMY', 'PROMO') AS failed,
   (SELECT min(cid) FROM c WHERE cname = name AND cid <> id) AS by_name,
   (SELECT min(p.p_partkey) FROM part p WHERE p.p_name = name AND p.p_size = g AND p.p_partkey <> id) AS by_group,
@@ -74,13 +74,26 @@ def quality_failures(spark, sf):
 
 @query("apply_resolutions", f"""
 WITH {RESOLVED} SELECT p_partkey AS id, CASE WHEN r.status = 'updated' THEN 'pending' WHEN p_type IN ('ECONOMY', 'PROMO', 'SMALL') THEN 'failed' ELSE 'completed' END AS status,
-  CASE WHEN r.status = 'updated' AND new_id <> 0 THEN new_id ELSE p_partkey END AS fetch_id FROM part LEFT JOIN results r ON journal_id = p_partkey""")
+  CASE WHEN r.status = 'updated' AND new_id <> 0 THEN new_id ELSE p_partkey END AS fetch_id,
+  CASE WHEN r.status = 'updated' THEN '/detail/' || new_id ELSE 'old' END AS target_url, CASE WHEN r.status = 'updated' THEN method END AS method,
+  CASE WHEN r.status = 'updated' THEN CAST(p_size AS BIGINT) END AS category_id, CASE WHEN r.status = 'updated' THEN p_name END AS journal_name FROM part LEFT JOIN results r ON journal_id = p_partkey""")
 def apply_resolutions(spark, sf):
     from harvestry.functions.documents import effective_id
 
     tables = _tables(spark, sf)
     none = F.lit(None).cast("timestamp_ntz")
     items = tables[2].withColumns({
-        "worker_id": F.lit("w"), "locked_at": none, "started_at": none, "completed_at": none})
-    rows = V.apply_resolutions(items, V.resolve_cascade(*tables, ascii_only=True))
-    return rows.select("id", "status", effective_id("extra_data", "target_id").alias("fetch_id"))
+        "worker_id": F.lit("w"), "target_url": F.lit("old"), "locked_at": none, "started_at": none, "completed_at": none})
+    rows = V.apply_resolutions(items, V.resolve_cascade(*tables, ascii_only=True), url_format="/detail/%d")
+    told = {n: F.get_json_object("extra_data", f"$.{p}") for n, p in (
+        ("method", "journal_id_resolution.method"), ("category_id", "category_id"), ("journal_name", "journal_id_resolution.journal_name"))}
+    return rows.select("id", "status", effective_id("extra_data", "target_id").alias("fetch_id"), "target_url", told["method"].alias("method"),
+                       told["category_id"].cast("long").alias("category_id"), told["journal_name"].alias("journal_name"))
+
+
+@query("resolved_flags", f"""
+WITH {RESOLVED} SELECT p_partkey AS journal_id, r.status <> 'updated' AS detail_crawled FROM part JOIN results r ON journal_id = p_partkey""")
+def resolved_flags(spark, sf):
+    tables = _tables(spark, sf)
+    entities = tables[1].select("journal_id", F.lit(True).alias("detail_crawled"))
+    return V.clear_resolved(entities, V.resolve_cascade(*tables, ascii_only=True))

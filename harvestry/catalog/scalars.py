@@ -17,10 +17,10 @@ SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS in_t
   CASE WHEN o_orderstatus = 'F' THEN NULL ELSE floor(o_totalprice) END AS cleaned,
   CASE WHEN o_totalprice > 100000 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS lenient,
   CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS first_digits
-FROM orders WHERE o_totalprice <> floor(o_totalprice)""")
+FROM orders""")
 def numbers_in_text(spark, sf):
     price = F.col("o_totalprice")
-    rows = load(spark, sf, "orders").filter(price != F.floor(price))
+    rows = load(spark, sf, "orders")
     text = F.when(price > 100000, F.concat(F.lit("IF "), price.cast("decimal(12,2)"), F.lit(" (2025)"))).otherwise(
         F.concat(F.floor(price), F.lit(" points")))
     mark = F.when(F.col("o_orderstatus") == "F", F.lit(" -- ")).otherwise(F.concat(F.lit("about "), F.floor(price), F.lit("%")))
@@ -122,14 +122,14 @@ def clipped_texts(spark, sf):
 
 @query("canonical_fields", """
 SELECT o_orderkey, o_orderpriority AS issn, o_orderstatus AS eissn, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS impact_factor,
-  o_orderstatus AS publisher FROM orders WHERE o_totalprice <> floor(o_totalprice)""")
+  o_orderstatus AS publisher FROM orders""")
 def canonical_fields(spark, sf):
     price = F.col("o_totalprice")
     score = F.when(price > 100000, F.concat(F.lit("IF "), price.cast("decimal(12,2)"))).otherwise(F.lit("none"))
     labels = F.create_map(
         F.lit("2025最新IF"), score, F.lit("期刊ISSN"), F.col("o_orderpriority"), F.lit("E-ISSN"), F.col("o_orderstatus"),
         F.lit("出版商名称"), F.col("o_orderstatus"))
-    rows = load(spark, sf, "orders").filter(price != F.floor(price)).select("o_orderkey", D.canonical_fields(labels).alias("c"))
+    rows = load(spark, sf, "orders").select("o_orderkey", D.canonical_fields(labels).alias("c"))
     return rows.select("o_orderkey", F.col("c")["issn"].alias("issn"), F.col("c")["eissn"].alias("eissn"),
                        F.col("c")["impact_factor"].cast("double").alias("impact_factor"), F.col("c")["publisher"].alias("publisher"))
 

@@ -262,10 +262,10 @@ def export_nested(spark, sf):
 
 
 @query("export_entities", """
-SELECT p_partkey AS "\ufeffID", p_name AS "名称", p_retailprice AS "影响因子" FROM part WHERE p_size = 3""")
+SELECT p_partkey AS "\ufeffID", p_name AS "名称", p_retailprice AS "影响因子" FROM part""")
 def export_entities(spark, sf):
     header = {"p_partkey": "ID", "p_name": "名称", "p_retailprice": "影响因子"}
-    return sinks.export_rows(load(spark, sf, "part").filter("p_size = 3"), header)
+    return sinks.export_rows(load(spark, sf, "part"), header)
 
 
 @query("export_children", f"""

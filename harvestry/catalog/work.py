@@ -188,6 +188,7 @@ def error_history(spark, sf):
 @query("apply_failures", f"""
 WITH {B.ITEMS}, {FAILURES}, eff AS (
   SELECT id, arg_max(action, (ts, event_id)) AS action, arg_max(message, (ts, event_id)) AS message,
+    count(*) AS n, list(message ORDER BY ts DESC, event_id DESC)[2] AS before,
     count(*) FILTER (action <> 'release' AND retryable) AS retries, bool_or(action <> 'release' AND NOT retryable) AS stop
   FROM classified GROUP BY id)
 SELECT i.id,
@@ -195,14 +196,20 @@ SELECT i.id,
   CASE WHEN e.id IS NULL THEN retry_count WHEN stop THEN max_retry ELSE retry_count + retries END AS retry_count,
   CASE WHEN e.id IS NULL THEN error_message ELSE message END AS error_message,
   CASE WHEN e.id IS NULL THEN completed_at WHEN action = 'release' THEN completed_at ELSE {B.NOW} END AS completed_at,
-  e.id IS NOT NULL AND action <> 'release' AND NOT (action = 'resolve_detail_id' AND i.status = 'running') AS counted
+  e.id IS NOT NULL AND action <> 'release' AND NOT (action = 'resolve_detail_id' AND i.status = 'running') AS counted,
+  CASE WHEN e.id IS NOT NULL THEN message WHEN json_valid(i.extra_data) THEN json_extract_string(i.extra_data, '$.last_error.message') END AS last_message,
+  CASE WHEN e.id IS NULL THEN 0 ELSE least(n - 1, 10) END AS n_before,
+  CASE WHEN n > 1 THEN before END AS before_message
 FROM items i LEFT JOIN eff e USING (id)""")
 def apply_failures(spark, sf):
     items = B.work_items(spark, sf)
     solved = items.filter("status = 'running'").select("id")
     rows = E.apply_failures(
         items, E.classify(_failures(spark, sf)), B.latest_order(spark, sf), ["ts", "event_id"], solved)
-    return rows.select("id", "status", "retry_count", "error_message", "completed_at", "counted")
+    history = F.from_json(F.get_json_object("extra_data", "$.error_history"), "array<struct<message: string>>")
+    return rows.select(
+        "id", "status", "retry_count", "error_message", "completed_at", "counted", F.get_json_object("extra_data", "$.last_error.message").alias("last_message"),
+        F.coalesce(F.size(history), F.lit(0)).cast("long").alias("n_before"), F.element_at(history, -1)["message"].alias("before_message"))
 
 
 # --- plans ------------------------------------------------------------------------------------------

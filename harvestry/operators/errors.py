@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry import rules
+from harvestry.functions.documents import merge_docs
 from harvestry.operators.scans import join_on
 
 # families a failure report may carry: endpoint_unavailable, validation, count_mismatch,
@@ -63,6 +64,24 @@ def error_history(
     )
 
 
+def _recorded(errors: DataFrame, order: Sequence[str], now: Column, keep: int = rules.KEPT_ERRORS) -> DataFrame:
+    """Last error and the ones before it per item, as JSON texts."""
+    stamped = errors.withColumn("recorded_at", now.cast("string"))
+    told = error_history(stamped, "id", order, keep, ("code", "action", "message", "recorded_at"))
+    return told.select(
+        "id", F.to_json("last_error").alias("_error"), F.transform("error_history", lambda e: F.to_json(e)).alias("_errors"))
+
+
+def _with_errors(extra: Column, keep: int = rules.KEPT_ERRORS) -> Column:
+    """The item's document with ``last_error``, and what was last before at the end of ``error_history``."""
+    none = F.array().cast("array<string>")
+    old = F.coalesce(F.from_json(F.get_json_object(extra, "$.error_history"), "array<string>"), none)
+    told = F.array_compact(F.concat(old, F.array(F.get_json_object(extra, "$.last_error")), F.col("_errors")))
+    last = F.slice(told, F.greatest(F.size(told) - (keep - 1), F.lit(1)), F.lit(keep))
+    patch = F.concat(F.lit('{"last_error":'), F.col("_error"), F.lit(',"error_history":['), F.array_join(last, ","), F.lit("]}"))
+    return merge_docs(F.coalesce(extra, F.lit("{}")), patch)
+
+
 def apply_failures(
     items: DataFrame, errors: DataFrame, now: Column, order: Sequence[str], resolved_ids: DataFrame | None = None
 ) -> DataFrame:
@@ -82,6 +101,8 @@ def apply_failures(
     )
     rows = join_on(items, effect, ["id"])
     hit = F.col("_last").isNotNull()
+    if "extra_data" in items.columns:
+        rows = join_on(rows, _recorded(errors, order, now), ["id"])
     released = F.col("_last.action") == "release"
     solved = F.lit(False)
     if resolved_ids is not None:
@@ -98,6 +119,8 @@ def apply_failures(
         "locked_at": gone,
         "completed_at": F.when(released, F.col("completed_at")).otherwise(now),
     }
+    if "extra_data" in items.columns:
+        values["extra_data"] = _with_errors(F.col("extra_data"))
     return rows.select(
         *[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
           for c in items.columns],

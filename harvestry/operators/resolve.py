@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry import rules
+from harvestry.functions.documents import merge_docs
 from harvestry.functions.names import name_key
 from harvestry.operators.dedupe import first_per_key
 from harvestry.operators.scans import join_on
@@ -132,7 +133,7 @@ def resolve_cascade(
         F.col("_by_group").isNotNull(), "group_full_scan")
     none = F.array().cast("array<long>")
     return rows.select(
-        "journal_id", "name", status.alias("status"),
+        "journal_id", "name", "category_id", status.alias("status"),
         F.when(eligible, chosen).alias("new_id"),
         F.when(eligible, method).alias("method"),
         F.when(eligible, F.coalesce("candidates", none)).otherwise(none).alias("candidates"),
@@ -145,20 +146,26 @@ def resolve_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def apply_resolutions(items: DataFrame, results: DataFrame) -> DataFrame:
-    """Quality-failed detail items of updated ids back to pending, fetching the new id."""
-    from harvestry.functions.documents import merge_docs
+def apply_resolutions(items: DataFrame, results: DataFrame, now: Column | None = None, url_format: str | None = None) -> DataFrame:
+    """Quality-failed detail items of updated ids back to pending, fetching the new id.
 
+    The document gets the ids, the group and a record of the resolution with its method and the first candidates;
+    the target URL is ``url_format`` with the new id, if given. Running items are left alone.
+    """
     moved = results.filter(F.col("status") == "updated").select(
-        F.col("journal_id").cast("string").alias("target_id"), "new_id", "journal_id"
-    )
+        F.col("journal_id").cast("string").alias("target_id"), "new_id", "journal_id", "category_id",
+        F.to_json(F.struct(
+            F.col("journal_id").alias("old_journal_id"), F.col("new_id").alias("new_journal_id"), F.col("name").alias("journal_name"), "method",
+            (F.lit(None) if now is None else now).cast("string").alias("resolved_at"), F.slice("candidates", 1, MAX_KEPT).alias("candidates"))).alias("_record"))
     rows = join_on(items, moved, ["target_id"])
     hit = F.col("new_id").isNotNull() & F.coalesce(is_quality_failure(), F.lit(False))
-    patch = F.to_json(F.struct(
-        "journal_id", F.col("new_id").alias("fetch_journal_id"), F.col("new_id").alias("resolved_journal_id")
+    ids = F.to_json(F.struct(
+        "journal_id", "category_id", F.col("new_id").alias("fetch_journal_id"), F.col("new_id").alias("resolved_journal_id")
     ))
+    patch = F.concat(F.rtrim(ids, F.lit("}")), F.lit(',"journal_id_resolution":'), F.col("_record"), F.lit("}"))
     rows = rows.withColumn("_hit", hit)
-    values = {
+    values = {} if url_format is None else {"target_url": F.format_string(url_format, F.col("new_id"))}
+    values |= {
         "extra_data": merge_docs("extra_data", patch), "status": F.lit("pending"),
         "retry_count": F.lit(0).cast("long"), "error_message": F.lit(None), "worker_id": F.lit(None),
         "locked_at": F.lit(None), "started_at": F.lit(None), "completed_at": F.lit(None),
@@ -167,3 +174,9 @@ def apply_resolutions(items: DataFrame, results: DataFrame) -> DataFrame:
         F.when(F.col("_hit"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c)
         for c in items.columns
     ])
+
+
+def clear_resolved(entities: DataFrame, results: DataFrame, key: str = "journal_id", done: str = "detail_crawled") -> DataFrame:
+    """Entities whose id was re-resolved have their detail to fetch again."""
+    moved = results.filter(F.col("status") == "updated").select(key).distinct().withColumn("_moved", F.lit(True))
+    return join_on(entities, moved, [key]).withColumn(done, F.col(done) & F.col("_moved").isNull()).drop("_moved")

@@ -187,6 +187,7 @@ PLAN_POLICIES = {
 }
 
 PAGE_SIZE = 10
+KEPT_ERRORS = 10
 
 # --- fixed values: problem messages ---------------------------------------------------------------
 MISMATCH_MESSAGE = "评论集合不完整，保留旧评论数据: expected=%d, actual=%d, pages=%d"
