@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from harvestry.catalog import bindings as B
 from harvestry.catalog.registry import query
 from harvestry.operators import history as H
 from harvestry.operators.scans import with_previous
@@ -67,3 +68,19 @@ def previous_events(spark, sf):
     rows = with_previous(load(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["event_id", "value"])
     return rows.select(
         "event_id", F.col("previous.event_id").alias("previous_id"), F.col("previous.value").alias("previous_value"))
+
+
+@query("entity_metrics", """
+WITH m AS (SELECT c_custkey AS journal_id, '{"acceptance_rate": null, "cas_partition": "' || c_nationkey || '", "cas_warning": null, "citescore": null, "comment_count": '
+  || CASE WHEN c_acctbal >= 500 THEN '"' || CAST(floor(c_acctbal / 500) AS BIGINT) || '"' ELSE 'null' END
+  || ', "comment_pages": null, "crawled_comment_count": null, "eissn": null, "impact_factor": "' || CAST(CAST(c_acctbal AS DECIMAL(10, 4)) AS VARCHAR)
+  || '", "impact_factor_realtime": null, "issn": "' || c_name || '", "jcr_partition": "' || c_mktsegment || '", "review_speed": null, "self_citation_rate": null}' AS metrics FROM customer)
+SELECT journal_id, metrics, sha256(metrics) AS metric_hash FROM m""")
+def entity_metrics(spark, sf):
+    """All fourteen fields, from the columns an entity has and from its document."""
+    more = load(spark, sf, "customer").select(
+        F.col("c_custkey").alias("journal_id"), F.col("c_name").alias("issn"), F.col("c_acctbal").alias("impact_factor"),
+        F.lit(None).cast("decimal(10,4)").alias("impact_factor_realtime"),
+        F.col("c_mktsegment").alias("jcr_partition"), F.col("c_nationkey").alias("cas_partition"))
+    seen = H.observations(B.entities(spark, sf).join(more, "journal_id"), ["journal_id"])
+    return H.metric_records(seen, ["journal_id"], []).select("journal_id", "metrics", "metric_hash")

@@ -112,6 +112,18 @@ def live_sessions(spark, sf):
     return jobs.live_sessions(load(spark, sf, "events"), "user_id", "ts", timeout=7200)
 
 
+@query("liveness_events", """
+WITH b AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 7200 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM b),
+x AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 7200 SECOND AS z FROM s GROUP BY user_id, n)
+SELECT user_id, 'online' AS event, a AS at FROM x
+UNION ALL SELECT user_id, 'offline', z FROM x WHERE z <= (SELECT max(ts) FROM events)""")
+def liveness_events(spark, sf):
+    beats = load(spark, sf, "events")
+    now = beats.agg(F.max("ts").alias("ts")).scalar()
+    return jobs.period_events(jobs.live_sessions(beats, "user_id", "ts", timeout=7200), now, "user_id")
+
+
 def _problem_events(events):
     kind = F.col("event_type")
     return events.select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestry import rules
-from harvestry.functions.documents import canonical_json, record_hash
+from harvestry.functions.documents import canonical_json, doc_field, record_hash
 from harvestry.functions.text import metric_text
 from harvestry.operators.dedupe import first_per_key
 from harvestry.operators.scans import ROWS_PER_CHUNK, join_on, with_previous
@@ -17,6 +17,16 @@ from harvestry.operators.scans import ROWS_PER_CHUNK, join_on, with_previous
 SCORES = ("impact_factor", "impact_factor_realtime")
 
 
+def observations(entities: DataFrame, keep: Sequence[str], doc: str = "detail_data") -> DataFrame:
+    """The metric fields of entity rows: columns, NULL where an entity has none, and the child counters of the document."""
+    def field(name: str):
+        if name in rules.METRIC_COUNTERS:
+            return doc_field(doc, name)
+        return F.col(name) if name in entities.columns else F.lit(None).cast("string")
+
+    return entities.select(*keep, *[field(f).alias(f) for f in rules.METRIC_FIELDS])
+
+
 def metric_records(
     obs: DataFrame, keys: Sequence[str], order: Sequence[str],
     fields: Sequence[str] = rules.METRIC_FIELDS, decimals: Sequence[str] = SCORES,

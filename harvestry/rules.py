@@ -69,6 +69,8 @@ METRIC_FIELDS = (
     "acceptance_rate", "comment_count", "comment_pages", "crawled_comment_count",
 )
 
+METRIC_COUNTERS = ("comment_count", "comment_pages", "crawled_comment_count")
+
 # --- fixed values: label rules, tried in order, first match per label ---------------------
 # "compat" keeps the order in which a plain ISSN rule also catches E-ISSN labels;
 # "fixed" puts the specific rules first.

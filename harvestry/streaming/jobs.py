@@ -70,6 +70,14 @@ def live_sessions(beats: DataFrame, key: str = "worker_id", at: str = "ts", time
     ).select(key, "online_at", "last_heartbeat", (F.col("last_heartbeat") + span).alias("offline_at"), "beats")
 
 
+def period_events(periods: DataFrame, now: Column | None = None, key: str = "worker_id") -> DataFrame:
+    """``online`` and ``offline`` events of periods (batch or stream); with ``now`` only what has happened by then."""
+    happened = F.array(
+        F.struct(F.lit("online").alias("event"), F.col("online_at").alias("at")), F.struct(F.lit("offline").alias("event"), F.col("offline_at").alias("at")))
+    events = periods.select(key, F.explode(happened).alias("e")).select(key, "e.event", "e.at")
+    return events if now is None else events.filter(F.col("at") <= now)
+
+
 def stream_liveness(
     beats: DataFrame, folder: str, key: str = "worker_id", at: str = "ts", timeout: int = 120,
     late_by: str = "1 minute",
