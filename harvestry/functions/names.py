@@ -17,9 +17,12 @@ def _unicode_name_key(names: pd.Series) -> pd.Series:
 def name_key(c: Column | str, ascii_only: bool = False) -> Column:
     """Trim, NFKC, casefold, letters and digits only.
 
-    ``ascii_only`` promises plain ASCII names and keeps the expression in the JVM.
+    ASCII names are keyed in the JVM and reach Python as nulls; ``ascii_only`` promises that there are no others
+    and leaves Python out of the plan.
     """
     c = F.col(c) if isinstance(c, str) else c
+    plain = F.coalesce(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "")), F.lit(""))
     if ascii_only:
-        return F.coalesce(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "")), F.lit(""))
-    return _unicode_name_key(c)
+        return plain
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _unicode_name_key(F.when(other, c))).otherwise(plain)

@@ -8,13 +8,7 @@ from pyspark.sql import functions as F
 from harvestry.functions import documents as docs
 from harvestry.functions.text import clean_number
 from harvestry.operators.scans import join_on
-
-# column -> document field; these are overwritten even by a missing field
-OVERWRITTEN = {
-    "eissn": "E-ISSN", "self_citation_rate": "self_citation_rate", "jcr_partition": "jcr_partition",
-    "cas_partition": "cas_partition", "cas_warning": "cas_warning", "citescore": "citescore",
-    "review_speed": "review_speed", "acceptance_rate": "acceptance_rate",
-}
+from harvestry.rules import OVERWRITTEN
 
 
 def merge_detail(entities: DataFrame, details: DataFrame, key: str = "journal_id", doc: str = "detail_data") -> DataFrame:

@@ -130,6 +130,13 @@ ENTITIES = (
     (r"&(?:quot|#34);", '"'), (r"&(?:apos|#39|#[xX]27);", "'"), (r"&(?:amp|#38);", "&"),
 )
 
+# --- fixed values: entity columns overwritten from a document, even by a missing field ----------
+OVERWRITTEN = {
+    "eissn": "E-ISSN", "self_citation_rate": "self_citation_rate", "jcr_partition": "jcr_partition",
+    "cas_partition": "cas_partition", "cas_warning": "cas_warning", "citescore": "citescore",
+    "review_speed": "review_speed", "acceptance_rate": "acceptance_rate",
+}
+
 # --- fixed values: child fragments ----------------------------------------------------------
 ANONYMOUS = "匿名"
 NO_RATING = "暂无评分"

@@ -344,3 +344,36 @@ def test_page_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>\n1</p>")
     rows = page_files(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0].html == "<p>\n1</p>" and rows[0].url.endswith("a.html")
+
+
+def test_node_keys(spark):
+    from harvestry.operators.dedupe import node_keys
+
+    rows = [(" A　", "SS", "Host.Example ", 443.0, '{"name": "A"}'), ("A", "ss ", "host.example", 443.0, None), (" ", None, "h", 1.0, '{"b": 1, "name": "x", "a": "y"}'),
+            ("C", "ss", "h", None, '{"a": "y", "b": 1}'), ("D", "ss", "h", -1.0, "broken")]
+    got = node_keys(spark.createDataFrame(rows, "name string, type string, server string, port double, config string")).collect()
+    assert [r.name_key for r in got] == ["A", "A", None, "C", "D"]
+    assert got[0].endpoint_key == got[1].endpoint_key == "ss|host.example|443"
+    assert got[2].endpoint_key == got[3].endpoint_key == '{"a":"y","b":"1"}' and got[4].endpoint_key == "{}"
+
+
+def test_failures_are_kept_in_the_item(spark):
+    old = json.dumps({"error_history": [{"message": f"m{i}"} for i in range(9)], "last_error": {"message": "p"}, "kept": 1})
+    items = spark.createDataFrame([(1, "running", 0, 3, old), (2, "running", 0, 3, None), (3, "running", 1, 3, "{}")],
+                                  "id long, status string, retry_count long, max_retry long, extra_data string").withColumns({
+        c: F.lit(None).cast(t) for c, t in (("error_message", "string"), ("worker_id", "string"), ("started_at", "timestamp_ntz"),
+                                            ("locked_at", "timestamp_ntz"), ("completed_at", "timestamp_ntz"))})
+    told = spark.createDataFrame([(1, "e1", 1), (1, "e2", 2), (2, "x", 1)], "id long, message string, n int").withColumns({
+        "code": F.lit("parse_error"), "action": F.lit("fail_retry"), "retryable": F.lit(True)})
+    got = {r.id: r for r in E.apply_failures(items, told, now(), ["n"]).collect()}
+    one = json.loads(got[1].extra_data)
+    assert one["last_error"]["message"] == "e2" and one["kept"] == 1
+    assert [e["message"] for e in one["error_history"]] == [*[f"m{i}" for i in range(1, 9)], "p", "e1"]
+    two = json.loads(got[2].extra_data)
+    assert two["last_error"]["code"] == "parse_error" and two["error_history"] == [] and got[3].extra_data == "{}"
+
+
+def test_pages_above_a_limit_are_an_error(spark):
+    assert S.page(spark.range(300).orderBy("id"), 2, 120).count() == 120
+    with pytest.raises(ValueError):
+        S.page(spark.range(3), 1, 120, max_size=100)
