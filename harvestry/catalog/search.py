@@ -9,6 +9,7 @@ from harvestry.catalog.registry import query
 from harvestry.functions.text import trigram_similarity
 from harvestry.operators import resources, search as S
 from harvestry.plans import refresh
+from harvestry.session import work_folder
 from harvestry.sources import sinks
 from harvestry.sources.tables import load
 
@@ -268,6 +269,26 @@ def export_entities(spark, sf):
     return sinks.export_rows(load(spark, sf, "part"), header)
 
 
+@query("export_json", """
+SELECT p_partkey, p_name, CASE WHEN p_size > 25 THEN p_retailprice END AS p_retailprice FROM part""")
+def export_json(spark, sf):
+    """Written and read back; nulls are written."""
+    rows = load(spark, sf, "part").select("p_partkey", "p_name", F.when(F.col("p_size") > 25, F.col("p_retailprice")).alias("p_retailprice"))
+    folder = work_folder(spark, "json")
+    sinks.export_json(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
+@query("export_endpoint_files", f"""
+WITH {B.ENDPOINTS} SELECT ip || ':' || port || CASE WHEN username <> '' AND secret <> '' THEN ':' || username || ':' || secret ELSE '' END AS value
+FROM endpoints WHERE is_active""")
+def export_endpoint_files(spark, sf):
+    """Written and read back."""
+    folder = work_folder(spark, "endpoints")
+    sinks.export_endpoints(B.endpoints(spark, sf), folder)
+    return spark.read.text(folder)
+
+
 @query("export_children", f"""
 WITH {B.CHILDREN} SELECT comment_id, journal_id, content, author, rating, submit_experience,
   strftime(comment_time, '%Y-%m-%d %H:%M') AS comment_time, strftime(crawled_at, '%Y-%m-%d %H:%M') AS crawled_at FROM children""")
