@@ -40,6 +40,8 @@ GROUP_KEYS = 4_000_000
 LISTED = 32
 #: Rows of one block where larger groups are compared.
 BLOCK = 1024
+#: Rows of crowded keys that are compared in one task.
+TASK_ROWS = 200_000
 SMALL = 64
 _RATIO = 4 / 3
 _LEVELS = 12
@@ -357,8 +359,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             compare(pa.Table.from_batches([*rest, batch.slice(0, whole)]).combine_chunks())
             rest = []
         rest.append(batch.slice(whole))
-        if sum(map(len, found)) > 1_000_000:
-            yield from pairs()
+        if sum(map(len, found)) > 2_000_000:
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
+            if len(found[0]) > 1_000_000:
+                yield from pairs()
     if rest:
         compare(pa.Table.from_batches(rest).combine_chunks())
     yield from pairs()
@@ -415,13 +419,17 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "id", F.coalesce("component", "id").alias("component"), (F.col("crowded") >= F.col("margin")).alias("open"))
     crowd = crowd.join(written(state, "crowd-state"), "id")
     open_keys = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bool_or("open").alias("any"))
-    open_keys = open_keys.filter("x < y and any").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    crowd = written(crowd.join(open_keys, "key"), "crowd")
+    open_keys = written(open_keys.filter("x < y and any").select("key", "x", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "crowded")
+    # keys of one smallest component share most documents: in one task, up to a size, each of their pairs comes up once
+    tasks_of = open_keys.groupBy("x").agg(F.ceil(F.sum("c") / TASK_ROWS).cast("int").alias("tasks"))
+    dealt = open_keys.join(tasks_of, "x").select("key", "blocks", F.xxhash64("x", F.pmod(F.hash("key"), "tasks")).alias("deal"))
+    crowd = written(crowd.join(dealt, "key"), "crowd")
     if crowd.count():
         near = crowd.join(with_id.select("id", "n", "sketch").distinct(), "id").withColumn("own", F.pmod(F.hash("id"), "blocks"))
         near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        near = near.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "open", "sketch")
-        near = near.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        near = near.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "open", "sketch",
+                           F.when(F.col("blocks") > 1, F.xxhash64("deal", "key", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("deal")).alias("deal"))
+        near = near.repartition("deal").sortWithinPartitions("key", "i", "j").drop("deal")
         pairs = near.mapInArrow(_blocks, "a long, b long").distinct()
         links = links.union(verified(written(pairs, "crowd-pairs")))
         groups_of = components(links.union(same))
