@@ -40,8 +40,8 @@ GROUP_KEYS = 4_000_000
 LISTED = 32
 #: Rows of one block where larger groups are compared.
 BLOCK = 1024
-#: Rows of crowded keys that are compared in one task.
-TASK_ROWS = 200_000
+#: Rows of crowded keys that are compared in one task, about.
+TASK_ROWS = 400_000
 SMALL = 64
 _RATIO = 4 / 3
 _LEVELS = 12
@@ -321,6 +321,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     rest: list[pa.RecordBatch] = []
     found: list[np.ndarray] = []
+    kept = [0]  # pairs after the last time that repeated ones were dropped
 
     def compare(table: pa.Table) -> None:
         ids, n, comp, side, open_ = (table.column(c).to_numpy() for c in ("id", "n", "component", "side", "open"))
@@ -344,14 +345,18 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     near = np.bitwise_count(bits[p - lo] ^ bits[q - lo]).sum(1, dtype=np.int64) <= (n[p] + n[q]) // 7
                     if near.any():
                         found.append(np.stack([np.maximum(ids[p], ids[q])[near], np.minimum(ids[p], ids[q])[near]], 1))
+                if sum(map(len, found)) > 2 * kept[0] + 300_000:
+                    found[:] = [np.unique(np.concatenate(found), axis=0)]
+                    kept[0] = len(found[0])
 
     def pairs() -> Iterator[pa.RecordBatch]:
         if found:
             both = np.unique(np.concatenate(found), axis=0)
             found.clear()
+            kept[0] = 0
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
-    for batch in batches:
+    for batch in (b.slice(at, 2 * BLOCK) for b in batches for at in range(0, b.num_rows, 2 * BLOCK)):
         keys = [batch.column(c).to_numpy() for c in ("key", "i", "j")]
         ends = np.flatnonzero(np.any([k != k[-1] for k in keys], 0)) if batch.num_rows else []
         whole = int(ends[-1]) + 1 if len(ends) else 0  # the last group may go on in the next batch
@@ -359,10 +364,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             compare(pa.Table.from_batches([*rest, batch.slice(0, whole)]).combine_chunks())
             rest = []
         rest.append(batch.slice(whole))
-        if sum(map(len, found)) > 2_000_000:
-            found[:] = [np.unique(np.concatenate(found), axis=0)]
-            if len(found[0]) > 1_000_000:
-                yield from pairs()
+        if kept[0] > 1_000_000:
+            yield from pairs()
     if rest:
         compare(pa.Table.from_batches(rest).combine_chunks())
     yield from pairs()
@@ -420,15 +423,15 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     crowd = crowd.join(written(state, "crowd-state"), "id")
     open_keys = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bool_or("open").alias("any"))
     open_keys = written(open_keys.filter("x < y and any").select("key", "x", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "crowded")
-    # keys of one smallest component share most documents: in one task, up to a size, each of their pairs comes up once
-    tasks_of = open_keys.groupBy("x").agg(F.ceil(F.sum("c") / TASK_ROWS).cast("int").alias("tasks"))
-    dealt = open_keys.join(tasks_of, "x").select("key", "blocks", F.xxhash64("x", F.pmod(F.hash("key"), "tasks")).alias("deal"))
+    # keys of one smallest component share most documents, so they go to one task: there each of their pairs comes up once
+    deals = pieces(open_keys.agg(F.sum(F.col("c") * F.col("blocks"))).first()[0] or 0, TASK_ROWS)
+    dealt = open_keys.select("key", "blocks", F.pmod(F.xxhash64("x"), F.lit(deals)).alias("deal"))
     crowd = written(crowd.join(dealt, "key"), "crowd")
     if crowd.count():
         near = crowd.join(with_id.select("id", "n", "sketch").distinct(), "id").withColumn("own", F.pmod(F.hash("id"), "blocks"))
         near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         near = near.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "component", "open", "sketch",
-                           F.when(F.col("blocks") > 1, F.xxhash64("deal", "key", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("deal")).alias("deal"))
+                           F.when(F.col("blocks") > 1, F.xxhash64("deal", "blocks", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("deal")).alias("deal"))
         near = near.repartition("deal").sortWithinPartitions("key", "i", "j").drop("deal")
         pairs = near.mapInArrow(_blocks, "a long, b long").distinct()
         links = links.union(verified(written(pairs, "crowd-pairs")))
