@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestry.llm.store import only_ids, written
-from harvestry.llm.words import chunks
+from harvestry.llm.words import CHUNK_ROWS, chunks
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
@@ -130,7 +130,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", rows=CHUNK_ROWS):
                 x = features(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "lang", "x"])
 
@@ -161,7 +161,7 @@ def identify(
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", rows=CHUNK_ROWS):
                 langs, scores = predict(model, features(part.column("_text")))
                 letters = part.column("_letters")
                 langs = pc.if_else(letters, pa.array(langs, pa.string()), UNKNOWN)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harvestry.llm.store import only_ids, written
-from harvestry.llm.words import Words, chunks
+from harvestry.llm.words import CHUNK_ROWS, Words, chunks
 
 DIMENSIONS = 2048
 #: Documents that the scorer is fitted on, at most: those with the smallest hash of their id.
@@ -191,7 +191,7 @@ def score_quality(
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", rows=CHUNK_ROWS):
                 words = Words(part.column("text"))
                 m = measure(words)
                 x = shapes(words, m)
@@ -206,7 +206,7 @@ def score_quality(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", rows=CHUNK_ROWS):
                 words = Words(part.column("_text"))
                 found = 1 / (1 + np.exp(-np.clip((shapes(words, measure(words)) @ weights).astype(np.float64), -30, 30)))
                 found = np.where(words.counts > 0, found, 0.0)

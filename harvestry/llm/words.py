@@ -37,14 +37,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most ``limit`` bytes of text each, or one row."""
+#: Rows handled at once where each becomes a dense vector of thousands of numbers.
+CHUNK_ROWS = 512
+
+
+def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``limit`` bytes of text and ``rows`` rows each, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < batch.num_rows:
         before = int(ends[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + limit, "right"))))
         yield batch.slice(start, stop - start)
         start = stop
 
