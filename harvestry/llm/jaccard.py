@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from harvestry.llm.components import components
 from harvestry.llm.store import default_parallelism, only_ids, pieces, written
@@ -41,7 +40,7 @@ LISTED = 32
 #: Rows of one block where larger groups are compared.
 BLOCK = 1024
 #: Rows of crowded keys that are compared in one task, about.
-TASK_ROWS = 400_000
+TASK_ROWS = 250_000
 SMALL = 64
 _RATIO = 4 / 3
 _LEVELS = 12
@@ -423,9 +422,12 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     crowd = crowd.join(written(state, "crowd-state"), "id")
     open_keys = crowd.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c"), F.bool_or("open").alias("any"))
     open_keys = written(open_keys.filter("x < y and any").select("key", "x", "c", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "crowded")
-    # keys of one smallest component share most documents, so they go to one task: there each of their pairs comes up once
-    deals = pieces(open_keys.agg(F.sum(F.col("c") * F.col("blocks"))).first()[0] or 0, TASK_ROWS)
-    dealt = open_keys.select("key", "blocks", F.pmod(F.xxhash64("x"), F.lit(deals)).alias("deal"))
+    # keys of one smallest component share most documents; in one task, up to a size, each of their pairs comes up once
+    rows = F.sum(F.col("c") * F.col("blocks"))
+    deals = pieces(open_keys.agg(rows).first()[0] or 0, TASK_ROWS)
+    parts = open_keys.groupBy("x").agg(F.ceil(rows / TASK_ROWS).cast("int").alias("parts"))
+    deal = F.pmod(F.xxhash64("x", F.pmod(F.hash("key"), "parts")), F.lit(deals))
+    dealt = open_keys.join(parts, "x").select("key", "blocks", deal.alias("deal"))
     crowd = written(crowd.join(dealt, "key"), "crowd")
     if crowd.count():
         near = crowd.join(with_id.select("id", "n", "sketch").distinct(), "id").withColumn("own", F.pmod(F.hash("id"), "blocks"))
