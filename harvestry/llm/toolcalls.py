@@ -107,22 +107,23 @@ def _chains(calls: DataFrame) -> DataFrame:
     """
     known = calls.select(F.col("conv_id").alias("k"), F.col("call_id").alias("anc"))
     linked = calls.join(known, (F.col("conv_id") == F.col("k")) & (F.col("after") == F.col("anc")), "left")
-    # m: latest turn among the links from here on up to, not including, anc
-    state = written(linked.select("conv_id", "call_id", "turn", "done", "anc", F.lit(None).cast("long").alias("m"), F.lit(0).cast("long").alias("depth")), "chains")
-    start = state.select("conv_id", "call_id", "done", "anc")
-    # hop: what following the pointer of a call adds
-    hop = written(start.select("conv_id", "call_id", F.col("done").alias("m"), F.lit(1).cast("long").alias("depth"), "anc"), "hops")
-    for _ in range(max(1, state.count()).bit_length() + 1):
-        if not state.filter("anc is not null").limit(1).count():
+    linked = written(linked.select("conv_id", "call_id", "turn", "done", "anc"), "chains")
+    # of a call and those that it hangs on, up to but without anc: the latest turn, and how many there are
+    hop = written(linked.select("conv_id", "call_id", F.col("done").alias("m"), F.lit(1).cast("long").alias("n"), "anc"), "hops")
+    for _ in range(linked.count().bit_length() + 1):
+        active = hop.filter("anc is not null")
+        if not active.limit(1).count():
             break
-        up = hop.select(F.col("conv_id").alias("k"), F.col("call_id").alias("at"), F.col("m").alias("m2"), F.col("depth").alias("d2"), F.col("anc").alias("anc2"))
-        on = (F.col("conv_id") == F.col("k")) & (F.col("anc") == F.col("at"))
-        further = [F.greatest("m", "m2").alias("m"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.col("anc2").alias("anc")]
-        state, hop = (
-            written(state.join(up, on, "left").select("conv_id", "call_id", "turn", "done", *further), "chains"),
-            written(hop.join(up, on, "left").select("conv_id", "call_id", *further), "hops"))
-    return state.select(
-        "conv_id", "call_id", F.greatest("turn", "m").alias("order_turn"), "depth", F.col("anc").isNotNull().alias("circular"))
+        up = hop.select(F.col("conv_id").alias("k"), F.col("call_id").alias("at"), F.col("m").alias("m2"), F.col("n").alias("n2"), F.col("anc").alias("anc2"))
+        further = active.join(up, (F.col("conv_id") == F.col("k")) & (F.col("anc") == F.col("at"))).select(
+            "conv_id", "call_id", F.greatest("m", "m2").alias("m"), (F.col("n") + F.col("n2")).alias("n"), F.col("anc2").alias("anc"))
+        hop = written(hop.filter("anc is null").union(further), "hops")
+    # still on the way after so many rounds: it goes round in a circle
+    own = hop.select("conv_id", "call_id", F.col("anc").isNotNull().alias("circular"))
+    before = hop.select(F.col("conv_id").alias("k"), F.col("call_id").alias("at"), "m", "n")
+    placed = linked.join(before, (F.col("conv_id") == F.col("k")) & (F.col("anc") == F.col("at")), "left")
+    placed = placed.select("conv_id", "call_id", F.greatest("turn", "m").alias("order_turn"), F.coalesce("n", F.lit(0).cast("long")).alias("depth"))
+    return placed.join(own, ["conv_id", "call_id"])
 
 
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
