@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestry.llm.components import components
-from harvestry.llm.store import default_parallelism, only_ids, pieces, written
+from harvestry.llm.store import default_parallelism, only_ids, pieces, release, written
 from harvestry.llm.words import Words, chunks, mix
 
 SHINGLE = 5
@@ -389,6 +389,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _sketch_words(k_of_band, groups, length), "grp int, ids binary, sizes binary, counts binary, keys binary")
     found = written(sent.repartition(max(tasks, groups // 2), "grp").mapInArrow(_pigeonholes(LISTED), "key long, a long, b long"), "pigeonholes")
 
+    del sent
+    release(spark)  # the keys are the largest shuffle
+
     whole = with_id.groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep"))
     member = with_id.join(whole, ["n", "fp1", "fp2"]).select("id", "rep")
     side = with_id.select("id", "n", "fp1", "fp2", "sketch")

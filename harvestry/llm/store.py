@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now: it acts when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Rows of ``df`` whose ``on`` is in ``ids``: a broadcast while the counted set is small, else a shuffled semi-join."""
     if ids.count() <= BROADCAST_IDS:
