@@ -1,11 +1,12 @@
 """Substring deduplication by prefix-partitioned suffix trees.
 
 Every word position starts a suffix. A suffix is coded by the path it takes in a suffix tree cut at
-the window length: three edge labels (words 1-4, 5-8 and the rest) of 24, 20 and 20 bits. Sorted codes
-are the leaves of the tree in order, and equal codes share the deep internal node that spells a whole
-window, i.e. a repeat. Variable-length code prefixes split the suffixes into groups of bounded size:
-a prefix whose group is too large is extended until its parts fit. Each group is one subtree, built
-in one task by sorting.
+the window length: three edge labels (words 1-4, 5-8 and the rest) of 24, 20 and 20 bits. Variable-length
+code prefixes split the suffixes into groups of bounded size: a prefix whose group is too large is
+extended until its parts fit. Each group is one subtree, built in one task by sorting.
+
+The path code says only which group a suffix is in: its labels are short, so windows that share their first
+words would often get equal codes. Two windows of a group are equal if a 64-bit hash of all their words is.
 
 A window that occurs in a document with a smaller id is removed from the later one. Within a batch
 only the first document of a window is sent on, so a passage in a third of all documents reaches its
@@ -51,13 +52,15 @@ def codes_of(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return code, at, rows
 
 
-def _distinct(code: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, code), by row and then code."""
-    order = np.lexsort((code, rows))
-    code, rows = code[order], rows[order]
-    new = np.ones(len(code), bool)
-    new[1:] = (code[1:] != code[:-1]) | (rows[1:] != rows[:-1])
-    return code[new], rows[new]
+def _distinct(whole: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (step, hash of the window), by step and then hash, and which of them each input is."""
+    order = np.lexsort((whole, step))
+    whole, step = whole[order], step[order]
+    new = np.ones(len(whole), bool)
+    new[1:] = (whole[1:] != whole[:-1]) | (step[1:] != step[:-1])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return whole[new], step[new], back
 
 
 def prefix_groups(texts: DataFrame, window: int, group_suffixes: int) -> tuple[np.ndarray, int]:
@@ -108,25 +111,25 @@ def prefix_groups(texts: DataFrame, window: int, group_suffixes: int) -> tuple[n
 
 
 def _suffixes(bounds: np.ndarray, window: int):
-    """Per batch and group: the distinct suffix codes that no smaller document of the batch has."""
+    """Per batch and group: the distinct window hashes that no smaller document of the batch has."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch.sort_by("id"), "text"):
                 ids, hashes = (part.column(c).to_numpy() for c in ("id", "text_hash"))
-                code, _, rows = codes_of(Words(part.column("text")), window)
-                code, rows = _distinct(code, rows)
+                words = Words(part.column("text"))
+                code, at, rows = codes_of(words, window)
                 if not len(code):
                     continue
-                order = np.argsort(code, kind="stable")  # within a code by id, as rows are
-                same = np.zeros(len(code), bool)
-                same[1:] = code[order][1:] == code[order][:-1]
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(code))))
-                later = np.zeros(len(code), bool)
+                whole, step, _ = _distinct(words.runs(window)[at], np.searchsorted(bounds, code, "right") - 1 + rows * len(bounds))
+                rows, group = np.divmod(step, len(bounds))
+                order = np.lexsort((whole, group))  # within a window by id, as rows are
+                same = np.zeros(len(whole), bool)
+                same[1:] = (whole[order][1:] == whole[order][:-1]) & (group[order][1:] == group[order][:-1])
+                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(whole))))
+                later = np.zeros(len(whole), bool)
                 later[order] = ids[rows[order]] > ids[rows[order[lead]]]
-                group = np.searchsorted(bounds, code, "right") - 1
-                step = group + rows * len(bounds)  # grows: codes are sorted within a row
-                by_group = np.lexsort((np.arange(len(code)), group))
+                by_group = np.argsort(group, kind="stable")
                 cuts = np.flatnonzero(np.diff(group[by_group], prepend=-1))
                 out = []
                 for mine in np.split(by_group, cuts[1:]):
@@ -134,8 +137,8 @@ def _suffixes(bounds: np.ndarray, window: int):
                     docs = rows[mine[starts]]
                     out.append((int(group[mine[0]]), ids[docs].tobytes(), hashes[docs].tobytes(),
                                 np.diff(starts, append=len(mine)).astype(np.int32).tobytes(),
-                                np.packbits(later[mine]).tobytes(), code[mine[~later[mine]]].tobytes()))
-                names = ["grp", "ids", "hashes", "counts", "later", "codes"]
+                                np.packbits(later[mine]).tobytes(), whole[mine[~later[mine]]].tobytes()))
+                names = ["grp", "ids", "hashes", "counts", "later", "windows"]
                 kinds = [pa.int32()] + [pa.binary()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -148,24 +151,24 @@ def _subtrees(buckets: int):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list] = {}
         for batch in batches:  # a task may get several groups
-            for g, *raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "ids", "hashes", "counts", "later", "codes"))):
+            for g, *raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "ids", "hashes", "counts", "later", "windows"))):
                 parts.setdefault(g, []).append(raw)
         for g in list(parts):
-            ids, hashes, counts, later, codes = [], [], [], [], []
+            ids, hashes, counts, later, windows = [], [], [], [], []
             for raw in parts.pop(g):
                 ids.append(np.frombuffer(raw[0], np.int64))
                 hashes.append(np.frombuffer(raw[1], np.int32))
                 counts.append(np.frombuffer(raw[2], np.int32))
                 later.append(np.unpackbits(np.frombuffer(raw[3], np.uint8), count=int(counts[-1].sum())).view(bool))
-                codes.append(np.frombuffer(raw[4], np.uint64))
-            ids, hashes, counts, later, codes = (np.concatenate(x) for x in (ids, hashes, counts, later, codes))
+                windows.append(np.frombuffer(raw[4], np.uint64))
+            ids, hashes, counts, later, windows = (np.concatenate(x) for x in (ids, hashes, counts, later, windows))
             owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[~later]
-            order = np.argsort(codes, kind="stable")
-            codes, owner_id = codes[order], ids[owner[order]]
-            starts = np.flatnonzero(np.diff(codes, prepend=~codes[:1]))
+            order = np.argsort(windows, kind="stable")
+            windows, owner_id = windows[order], ids[owner[order]]
+            starts = np.flatnonzero(np.diff(windows, prepend=~windows[:1]))
             least = np.minimum.reduceat(owner_id, starts) if len(starts) else owner_id
-            sent = np.zeros(len(codes), bool)
-            sent[order] = owner_id > np.repeat(least, np.diff(starts, append=len(codes)))
+            sent = np.zeros(len(windows), bool)
+            sent[order] = owner_id > np.repeat(least, np.diff(starts, append=len(windows)))
             marks = later.copy()
             marks[~later] = sent
             ends = np.cumsum(counts)
@@ -205,17 +208,17 @@ def _keep(bounds: np.ndarray, window: int, text_col: str, schema: pa.Schema, new
     def kept_of(part: pa.RecordBatch, marks: dict) -> dict:
         words = Words(part.column(text_col))
         code, at, rows = codes_of(words, window)
+        whole, group = words.runs(window)[at] if len(at) else code, np.searchsorted(bounds, code, "right") - 1
         ids, hashes = part.column("_suffix_id").to_pylist(), part.column("_suffix_hash").to_pylist()
         covered = np.zeros(len(words.hashes) + 1, np.int64)
         cut = np.searchsorted(rows, np.arange(part.num_rows + 1))
         for d, key in enumerate(zip(ids, hashes)):
             if key not in marks:
                 continue
-            own, back = np.unique(code[cut[d] : cut[d + 1]], return_inverse=True)
-            group = np.searchsorted(bounds, own, "right") - 1
+            own, groups, back = _distinct(whole[cut[d] : cut[d + 1]], group[cut[d] : cut[d + 1]])
             gone = np.zeros(len(own), bool)
             for g, bits in marks[key]:
-                lo, hi = np.searchsorted(group, [g, g + 1])
+                lo, hi = np.searchsorted(groups, [g, g + 1])
                 gone[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).view(bool)
             starts = at[cut[d] : cut[d + 1]][gone[back]]
             covered[starts] += 1
@@ -260,7 +263,7 @@ def dedup_substrings(
     bounds, size = prefix_groups(texts, window, group_suffixes)
     buckets = pieces(size, BUCKET_BYTES)
     tasks = max(min(len(bounds), default_parallelism(docs.sparkSession)), len(bounds) // 4)
-    sent = texts.mapInArrow(_suffixes(bounds, window), "grp int, ids binary, hashes binary, counts binary, later binary, codes binary")
+    sent = texts.mapInArrow(_suffixes(bounds, window), "grp int, ids binary, hashes binary, counts binary, later binary, windows binary")
     marks = sent.repartition(tasks, "grp").mapInArrow(
         _subtrees(buckets), "_bucket int, grp int, ids binary, hashes binary, counts binary, bits binary")
     carried = [c for c in docs.columns if c not in new]

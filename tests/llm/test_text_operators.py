@@ -68,6 +68,14 @@ def test_substrings_of_a_long_text_and_of_nothing(spark):
     assert substrings.dedup_substrings(docs(spark, [])).count() == 0
 
 
+def test_windows_that_share_their_first_words_stay_apart(spark):
+    # 18 million pairs of windows that differ in the last five words only
+    same = prose(2, 8, 10_000)
+    rows = [(i, f"{same} {prose(50 + i, 5, 100_000)}") for i in range(6000)] + [(9000, f"{same} {prose(55, 5, 100_000)}")]
+    out = substrings.dedup_substrings(docs(spark, rows)).filter("n_removed > 0")
+    assert [(r.doc_id, r.n_removed) for r in out.collect()] == [(9000, 13)]
+
+
 def groups_by_hand(rows):
     sets = [(i, shingles(t)) for i, t in rows]
     root = {i: i for i, _ in rows if i is not None}
