@@ -11,8 +11,9 @@ shingle as a part. So no link is lost.
 
 Candidates are filtered by a second parity sketch, of single bits, whose Hamming distance is a lower bound of
 the symmetric difference, and then verified on all shingles. Equal sets are linked through their
-fingerprint. Where more than ``LISTED`` documents share a key they are first compared only with the one
-of them that stands under most such keys. A linked pair has more equal parts than one, by a number that is known for each
+fingerprint. Where more than ``LISTED`` documents share a key, or so many of one batch that it sends on only the
+first, they are first compared only with the one of them that stands under most such keys; all documents of
+such a key are entries of it, those of other batches, too. A linked pair has more equal parts than one, by a number that is known for each
 document; if more of a document's keys are crowded than that, and it is not connected to the others
 of the key after the first comparison, they are compared in blocks, in which only pairs that pass the bit
 sketch leave the task.
@@ -150,7 +151,10 @@ def _keys(h: np.ndarray, rows: np.ndarray, band: np.ndarray, k_of_band: np.ndarr
 
 
 def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
-    """Keys of each batch, gathered per group; documents of one set, and large groups of a batch, send the first."""
+    """Keys of each batch, gathered per group; documents of one set, and large groups of a batch, send the first.
+
+    ``more`` tells by a bit per key where a batch has more documents than it sends to the group.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,31 +190,32 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
                     least = row[np.repeat(starts, size)]
                     a, b = ids[row[local]], ids[least[local]]
                     spread = int(ids[0]) % 1009
-                    yield _blobs([-1 - spread], [a], [b], [np.ones(0, np.int32)], [key[local]])
+                    yield _blobs([-1 - spread], [a], [b], [np.ones(0, np.int32)], [key[local]], [np.ones(0, bool)])
                     # the first of the batch is an entry of the group, too
                     heads = head & crowded
-                    yield _blobs([-1 - spread], [ids[row[heads]]], [ids[row[heads]]], [np.ones(0, np.int32)], [key[heads]])
-                key, row = key[~local], row[~local]
+                    yield _blobs([-1 - spread], [ids[row[heads]]], [ids[row[heads]]], [np.ones(0, np.int32)], [key[heads]], [np.ones(0, bool)])
+                key, row, more = key[~local], row[~local], crowded[~local]
                 group = ((key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
                 order = np.lexsort((row, group))
-                key, row, group = key[order], row[order], group[order]
+                key, row, group, more = key[order], row[order], group[order], more[order]
                 cuts = np.flatnonzero(np.diff(group, prepend=-1))
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 for lo, hi in zip(cuts, np.append(cuts[1:], len(group))):
                     docs = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
                     own_rows = row[lo:hi][docs]
-                    for column, value in zip(out, (int(group[lo]), ids[own_rows], n[own_rows], np.diff(docs, append=hi - lo).astype(np.int32), key[lo:hi])):
+                    for column, value in zip(out, (int(group[lo]), ids[own_rows], n[own_rows], np.diff(docs, append=hi - lo).astype(np.int32), key[lo:hi], more[lo:hi])):
                         column.append(value)
                 yield _blobs(*out)
 
     return send
 
 
-def _blobs(groups, ids, sizes, counts, keys) -> pa.RecordBatch:
+def _blobs(groups, ids, sizes, counts, keys, more) -> pa.RecordBatch:
     raw = lambda xs, kind: pa.array([np.ascontiguousarray(x, kind).tobytes() for x in xs], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(groups, pa.int32()), raw(ids, np.int64), raw(sizes, np.int64), raw(counts, np.int32), raw(keys, np.uint64)],
-        ["grp", "ids", "sizes", "counts", "keys"])
+        [pa.array(groups, pa.int32()), raw(ids, np.int64), raw(sizes, np.int64), raw(counts, np.int32), raw(keys, np.uint64),
+         pa.array([np.packbits(m).tobytes() for m in more], pa.binary())],
+        ["grp", "ids", "sizes", "counts", "keys", "more"])
 
 
 def _found(key, a, b) -> Iterator[pa.RecordBatch]:
@@ -227,20 +232,24 @@ def _pigeonholes(listed: int):
         parts: dict[int, list] = {}
         for batch in batches:
             for row in zip(*batch.to_pydict().values()):
-                g, ids, sizes, counts, keys = row[0], *(np.frombuffer(x, t) for x, t in zip(row[1:], (np.int64, np.int64, np.int32, np.uint64)))
+                g, ids, sizes, counts, keys = row[0], *(np.frombuffer(x, t) for x, t in zip(row[1:5], (np.int64, np.int64, np.int32, np.uint64)))
                 if g < 0:
                     apart = ids != sizes
                     yield from _found(None, np.maximum(ids, sizes)[apart], np.minimum(ids, sizes)[apart])
                     yield from _found(keys, ids, ids)
                 else:
-                    parts.setdefault(g, []).append((ids, sizes, counts, keys))
+                    parts.setdefault(g, []).append((ids, sizes, counts, keys, np.unpackbits(np.frombuffer(row[5], np.uint8), count=len(keys)).view(bool)))
         for g in list(parts):
-            ids, sizes, counts, keys = (np.concatenate(x) for x in zip(*parts.pop(g)))
+            ids, sizes, counts, keys, more = (np.concatenate(x) for x in zip(*parts.pop(g)))
             owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
             starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
             size = np.diff(starts, append=len(keys))
+            # a batch has kept documents of these back: the pairs with those are left to the blocks
+            held = np.zeros(0, bool) if not len(starts) else np.logical_or.reduceat(more[order], starts)
+            entry = np.repeat(held & (size > 1) & (size <= listed), size)
+            yield from _found(keys[entry], ids[owner[entry]], ids[owner[entry]])
             left, right = [], []
             for c in np.unique(size[(size > 1) & (size <= listed)]):
                 table = owner[starts[size == c][:, None] + np.arange(c)]
@@ -386,7 +395,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tasks = default_parallelism(spark)
     groups = pieces(sum(total for _, total in needs.values()), GROUP_KEYS, tasks)
     sent = texts.filter("id is not null and text is not null").mapInArrow(
-        _sketch_words(k_of_band, groups, length), "grp int, ids binary, sizes binary, counts binary, keys binary")
+        _sketch_words(k_of_band, groups, length), "grp int, ids binary, sizes binary, counts binary, keys binary, more binary")
     found = written(sent.repartition(max(tasks, groups // 2), "grp").mapInArrow(_pigeonholes(LISTED), "key long, a long, b long"), "pigeonholes")
 
     del sent

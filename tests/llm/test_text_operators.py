@@ -110,6 +110,18 @@ def test_jaccard_groups_equal_a_loop(spark, monkeypatch, listed):
     assert sorted(((r.id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == groups_by_hand(rows)
 
 
+def test_jaccard_links_a_document_that_its_batch_kept_back(spark):
+    p, q, s, u = prose(1, 30, 9000), prose(2, 30, 9000), prose(3, 50, 9000), prose(4, 50, 9000)
+    one = [(0, f"{p} {q}")]
+    one += [(10 + i, f"{p} {s} {prose(20 + i, 8, 9000)}") for i in range(9)] + [(30 + i, f"{q} {u} {prose(40 + i, 8, 9000)}") for i in range(9)]
+    other = [(99, f"{p.rsplit(' ', 1)[0]} edited {q}")]  # has only P and Q in common with 0, which leads neither in its batch
+    frame = docs(spark, one).coalesce(1).union(docs(spark, other))
+    assert frame.rdd.glom().map(len).filter(lambda n: n > 1).collect() == [len(one)]  # one batch, and another
+    got = sorted((tuple(r) for r in jaccard.jaccard_groups(frame).collect()), key=repr)
+    assert got == groups_by_hand(one + other)
+    assert (99, len(shingles(other[0][1])), 0) in got
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_groups(docs(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_groups(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
