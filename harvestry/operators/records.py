@@ -19,8 +19,6 @@ from harvestry.functions.text import field_label, squeeze
 from harvestry.operators.scans import join_on
 from harvestry.session import cut_lineage
 
-#: Tables in tables are read to this depth.
-MAX_DEPTH = 4
 _UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>"
 _HIDDEN = r"""(?is)<(\w+)\b[^>]*\bstyle\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)[^"']*["'][^>]*>.*?</\1\s*>"""
 _CLICKABLE = r"""(?is)^<(?:a|button)\b|^<\w[^>]*\s(?:href|onclick|onmousedown|onmouseup)\s*=|^<\w[^>]*cursor\s*:\s*pointer"""
@@ -46,7 +44,8 @@ def _entry(name: Column, value: Column) -> Column:
     return F.struct(name.alias("name"), value.alias("value"))
 
 
-def _tokens(pages: DataFrame, key: list[str], html: str, scope_id: str) -> DataFrame:
+def _tokens(pages: DataFrame, key: list[str], html: str, scope_id: str) -> tuple[DataFrame, int]:
+    """The tokens in tables, and how deep tables stand in tables in these pages."""
     seen = F.regexp_replace(F.regexp_replace(html, _UNSEEN, ""), _HIDDEN, "")
     scope = F.regexp_extract(seen, rf"""(?is)(<\w+[^>]*\bid\s*=\s*["']?{scope_id}["'\s>].*)$""", 1)
     text = F.when(scope != "", scope).otherwise(seen)
@@ -55,6 +54,7 @@ def _tokens(pages: DataFrame, key: list[str], html: str, scope_id: str) -> DataF
     run = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("tag") == "table", 1).when(F.col("tag") == "/table", -1).otherwise(0)
     tokens = tokens.withColumn("depth", F.sum(step).over(run) + (F.col("tag") == "/table").cast("int"))
+    levels = max(int(tokens.agg(F.max("depth")).first()[0] or 0), 2)
     # a clickable element ends with the next end tag of its kind
     opened = F.last(F.when(F.col("token").rlike(_CLICKABLE), F.struct("pos", "tag")), True).over(run)
     tokens = tokens.withColumn("_open", opened)
@@ -63,15 +63,16 @@ def _tokens(pages: DataFrame, key: list[str], html: str, scope_id: str) -> DataF
 
     def last_of(*tags: str) -> Column:
         """Place of the last such tag at each depth."""
-        places = [F.last(F.when(F.col("tag").isin(*tags) & (F.col("depth") == k), F.col("pos")), True).over(run) for k in range(1, MAX_DEPTH + 1)]
+        places = [F.last(F.when(F.col("tag").isin(*tags) & (F.col("depth") == k), F.col("pos")), True).over(run) for k in range(1, levels + 1)]
         return F.array(*places)
 
     tokens = tokens.withColumns({"tables": last_of("table"), "rows": last_of("tr"), "cells": last_of("td", "th"), "ends": last_of("/td", "/th", "/tr")})
     at = F.col("depth").cast("int") - 1
-    return tokens.filter(F.col("depth").between(1, MAX_DEPTH)).withColumns({
+    tokens = tokens.filter(F.col("depth") >= 1).withColumns({
         "t": F.get("tables", at), "r": F.get("rows", at), "c": F.get("cells", at), "outer": F.get("cells", at - 1),
         "inside": F.coalesce(F.get("ends", at) < F.get("cells", at), F.lit(True)),
     })
+    return tokens, levels
 
 
 def _cells(tokens: DataFrame, key: list[str]) -> DataFrame:
@@ -90,16 +91,16 @@ def _cells(tokens: DataFrame, key: list[str]) -> DataFrame:
     return cells.withColumn("text", F.coalesce(F.nullif(joined(False), F.lit("")), joined(True))).drop("parts")
 
 
-def _table_values(tokens: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
+def _table_values(tokens: DataFrame, cells: DataFrame, key: list[str], levels: int) -> DataFrame:
     """Each inner table as JSON (``value``), with the cell around it (``outer``)."""
     opened = tokens.filter("tag = 'table'").select(*key, "depth", "t", "outer")
-    values = None
-    for depth in range(MAX_DEPTH, 1, -1):
+    values = level = None
+    for depth in range(levels, 1, -1):
         own = cells.filter(F.col("depth") == depth)
-        if values is None:
+        if level is None:
             own = own.withColumn("value", _json(F.col("text")))
         else:
-            own = join_on(own, _per_cell(values.filter(F.col("depth") == depth + 1), key).withColumnRenamed("outer", "c"), [*key, "c"])
+            own = join_on(own, _per_cell(level, key).withColumnRenamed("outer", "c"), [*key, "c"])
             one = F.when(F.size("inner") == 1, F.get("inner", F.lit(0))).otherwise(_list(F.col("inner")))
             own = own.withColumn("value", F.when(F.size("inner") > 0, one).otherwise(_json(F.col("text")))).drop("inner")
         rows = own.groupBy(*key, "t", "r").agg(F.sort_array(F.collect_list(F.struct("c", "head", "text", "value"))).alias("cells"))
@@ -120,7 +121,8 @@ def _table_values(tokens: DataFrame, cells: DataFrame, key: list[str]) -> DataFr
         wide = (F.size(head) > 2) | F.exists(head, lambda c: c["head"])
         value = F.when(F.col("rows").isNull(), "{}").when(wide, _list(F.filter(listed, lambda o: o != "{}"))).otherwise(
             _object(F.filter(F.transform("rows", pair), lambda e: e.isNotNull())))
-        level = tables.select(*key, "depth", "t", "outer", value.alias("value"))
+        # written, so that the plan does not grow with the depth
+        level = cut_lineage(tables.select(*key, "depth", "t", "outer", value.alias("value")))
         values = level if values is None else values.union(level)
     return values
 
@@ -148,7 +150,8 @@ def kv_records(
     for marker in required:
         maybe = maybe & F.contains(inline_text(F.col(html)), F.lit(marker))
     # read once: cells, tables and texts all start from the tokens
-    tokens = cut_lineage(_tokens(marked.filter(maybe).select("_page", html).dropDuplicates(["_page"]), key, html, scope_id))
+    tokens, levels = _tokens(marked.filter(maybe).select("_page", html).dropDuplicates(["_page"]), key, html, scope_id)
+    tokens = cut_lineage(tokens)
     cells = cut_lineage(_cells(tokens, key))
     # the text of a table is also that of the tables around it
     texts = tokens.filter(~F.startswith("token", F.lit("<"))).select(*key, "pos", "token", F.explode(F.slice("tables", F.lit(1), F.col("depth").cast("int"))).alias("t"))
@@ -161,7 +164,7 @@ def kv_records(
     main = join_on(whole.filter(fits), rows_in, [*key, "t"]).groupBy(*key).agg(F.max_by("t", F.struct(score, -F.col("t"))).alias("t"))
 
     own = cells.join(main, [*key, "t"]).filter(~F.col("head"))
-    inner = _per_cell(_table_values(tokens, cells, key), key).withColumnRenamed("outer", "c")
+    inner = _per_cell(_table_values(tokens, cells, key, levels), key).withColumnRenamed("outer", "c")
     own = join_on(own, inner, [*key, "c"])
     rows = own.groupBy(*key, "r").agg(F.sort_array(F.collect_list(F.struct("c", "text", "inner"))).alias("cells"))
     value = F.get("cells", F.lit(1))

@@ -78,6 +78,16 @@ def test_the_table_with_more_markers_wins(spark):
     assert dict(row.fields) == {"A": "right", "B": "opt"}
 
 
+def test_records_at_any_depth(spark):
+    inner, want = "<table><tr><td>k</td><td>last</td></tr></table>", {"k": "last"}
+    for i in range(5):
+        inner, want = f"<table><tr><td>k{i}</td><td>{inner}</td></tr></table>", {f"k{i}": want}
+    main = f"<table><tr><td>A</td><td>a</td></tr><tr><td>B</td><td>b</td></tr><tr><td>deep</td><td>{inner}</td></tr></table>"
+    page = "<table><tr><td>" * 5 + main + "</td></tr></table>" * 5
+    row = kv_records(pages(spark, page), required=("A", "B"), optional=(), scope_id="none").first()
+    assert json.loads(row.doc) == {"A": "a", "B": "b", "deep": {"text": "", "tables": [want]}} and row.n_fields == 3
+
+
 def test_canonical_names_of_a_record(spark):
     html = "<table><tr><td>期刊名字</td><td>N</td></tr><tr><td>期刊ISSN</td><td>0000-0001</td></tr><tr><td>最新影响因子</td><td>up to 7.25!</td></tr></table>"
     fields = kv_records(pages(spark, html)).select(canonical_fields("fields").alias("f")).first().f
