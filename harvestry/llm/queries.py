@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.session import work_folder
-from harvestry.llm import decontaminate, jaccard, langid, neighbours, packing, quality, sharding, substrings, toolcalls, warc
+from harvestry.llm import centroids, decontaminate, jaccard, langid, neighbours, packing, quality, sharding, slack, substrings, toolcalls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +85,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs).withColumnRenamed("id", "doc_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long")).withColumnRenamed("id", "vec_id")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+    listed = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(listed, 256).alias("centroid_sha256"))
+
+
+def op13_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return slack.pack_windows(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -95,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "op8_tool_calls": op8_tool_calls,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_slack_packing": op13_slack_packing,
 }
 
 #: Words of every text, unchanged, with their place from 0.
@@ -108,6 +128,17 @@ shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM shingled)"""
 
+#: Round r assigns by the centroids c{r} (a{r}: nearest by distance and number); c{r + 1} are floors of exact means.
+_ROUNDS = ",\n".join(
+    f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, min_by(c, d * 64 + c) AS cluster, min(d) AS distance
+  FROM (SELECT vec_id, c, sum((v - m) * (v - m)) AS d FROM vals JOIN c{r} USING (j) GROUP BY vec_id, c) GROUP BY vec_id)"""
+    + (f""",
+c{r + 1} AS MATERIALIZED (
+  SELECT c, j, CASE WHEN n IS NULL THEN m ELSE (t - ((t % n) + n) % n) // n END AS m
+  FROM c{r} LEFT JOIN (SELECT cluster AS c, j, sum(v) AS t, count(*) AS n FROM a{r} JOIN vals USING (vec_id) GROUP BY ALL) USING (c, j))""" if r < 5 else "")
+    for r in range(6))
+
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": f"""
 WITH {_WORDS},
@@ -177,6 +208,20 @@ f AS (SELECT t, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY t)
 SELECT page_id, n AS payload_bytes, sha256(p.t) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM p LEFT JOIN f ON f.t = p.t""",
+    "op12_centroid_clustering": f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding::DOUBLE[], lambda c: c IS NOT NULL AND isfinite(c))) = 64),
+vals AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS j, unnest(x) AS v FROM kept),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(range(64)) AS j, unnest(x) AS m FROM (
+    SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('2:' || vec_id) AS h, x FROM kept WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT 40))),
+{_ROUNDS},
+inertias AS (SELECT cluster, sum(distance) AS cluster_inertia FROM a5 GROUP BY cluster),
+texts AS (SELECT c, sha256(string_agg(m::VARCHAR, ',' ORDER BY j)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance, cluster_inertia::BIGINT AS cluster_inertia,
+       (SELECT sum(distance) FROM a5)::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN inertias USING (cluster) JOIN texts ON c = cluster""",
     "op8_tool_calls": """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 u AS (SELECT *, 'call-' || conv_id || '-' || turn AS call_id FROM t WHERE role = 'user'),
