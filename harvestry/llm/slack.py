@@ -15,6 +15,7 @@ length from counts per task and length, and a piece finds its window by length a
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, deque
@@ -32,18 +33,22 @@ from harvestry.llm.words import chunks
 
 #: Ids of one window.
 CAPACITY = 4096
-#: Bytes of text tokenised at once, and words whose ids a task remembers.
+#: Bytes of text tokenised at once, and words beyond which a task forgets their ids.
 TEXT_BYTES = 8 << 20
 KNOWN_WORDS = 300_000
+#: Words that are one stretch of letters and perhaps one of marks, and how many of these are tokenised as one text.
+PLAIN, TOGETHER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)"), 100
+#: How tokens at the end of a stretch are written in a vocabulary that marks word ends.
+WORD_END = "</w>"
 #: Pieces of one length that a rank can tell apart.
 _RANKS = 40
 
 
 class TextIds:
-    """Token ids of whole texts. Each distinct word of a batch is tokenised once.
+    """Token ids of whole texts. Where the tokenizer drops white space, each distinct word of a batch is tokenised once.
 
-    The tokenizer drops white space and none of its steps reaches across it, so the ids of a text are those of its
-    words in turn; tests compare them with the tokenizer's own.
+    No step of such a tokenizer reaches across white space, so the ids of a text are those of its words in turn; tests
+    compare them with the tokenizer's own. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,27 +56,58 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+        both = self._encode(["one two.", "one", "two.", "\tone\n\n two. "])
+        self.by_word = both[0] == both[1] + both[2] == both[3] and self.ends[both[0]].sum() == 3
+        self._forget()
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        # many words in one text cost less than a text each; where one ends is seen by its tokens
+        plain, odd, stretches = [], [], []
+        for w in words:
+            if found := PLAIN.fullmatch(w):
+                plain.append(w)
+                stretches.append(2 if found[1] else 1)
+            else:
+                odd.append(w)
+        texts = [" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
+        joined = np.array([i for ids in self._encode(texts) for i in ids], np.uint32)
+        ends = np.flatnonzero(self.ends[joined])[np.cumsum(np.array(stretches, np.int64)) - 1]
+        single = self._encode(odd)
+        self.place.update(zip(plain + odd, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.ids = np.concatenate([self.ids, joined, np.array([i for ids in single for i in ids], np.uint32)])
+        self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=-1), np.array([len(ids) for ids in single], np.int64)])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end among them."""
+        if not self.by_word:
+            found = self._encode(pc.fill_null(texts, "").to_pylist())
+            return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0, *map(len, found)])
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         found = lists.flatten().dictionary_encode()
         words = found.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        ids_of = {w: np.array(e.ids, np.uint32).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        raw = [ids_of[w] if w in ids_of else self.known[w] for w in words]
-        if len(self.known) < KNOWN_WORDS:
-            self.known |= {w: x for w, x in ids_of.items() if len(w) <= 40}
-        sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
-        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(raw), np.uint32)
-        codes = found.indices.to_numpy()
-        each = sizes[codes]
+        if len(self.place) > KNOWN_WORDS:
+            self._forget()
+        new = [w for w in words if w not in self.place]
+        if new:
+            self._learn(new)
+        word = np.fromiter((self.place[w] for w in words), np.int64, len(words))[found.indices.to_numpy()]
+        starts = np.cumsum(self.sizes) - self.sizes
+        each = self.sizes[word]
         ends = np.cumsum(each)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(starts[codes] - (ends - each), each)
+        at = np.arange(total) + np.repeat(starts[word] - (ends - each), each)
         cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return ids[at], cuts
+        return self.ids[at], cuts
 
 
 def best_filling(window: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
@@ -285,7 +321,7 @@ def pack_windows(
     plan = Plan(counts, capacity)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = pieces.join(base.hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     placed = written(ranked.mapInArrow(_place(plan.rows, capacity), _PLACED), "placed")
     out = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     # few pieces are cut; the ids of those are looked at again

@@ -234,8 +234,19 @@ def test_ids_are_the_tokenizers_own(spark):
     tokenizer, ids_of = Tokenizer.from_file(WORDS), slack.TextIds(WORDS)
     import pyarrow as pa
 
-    odd = ["", " ", "a\x0bb\x0cc\x85d e f", "It's I'LL don't", "é ́x ö", "ΣΑΣ ΟΔΟΣ. İstanbul ẞ", "x<|endoftext|>y <|startoftext|>", "漢字かな交じり文", "\x1c\x1d\x1e\x1f", "\U0001f600️ a‍b", prose(1, 50), "1234 5x6"]
+    assert ids_of.by_word
+    odd = ["a.b a.. it. İx ÷× Ÿ ßß! naïve, ÀÉ;", "", " ", "a\x0bb\x0cc\x85d e f", "It's I'LL don't", "é ́x ö", "ΣΑΣ ΟΔΟΣ. İstanbul ẞ", "x<|endoftext|>y <|startoftext|>", "漢字かな交じり文", "\x1c\x1d\x1e\x1f", "\U0001f600️ a‍b", prose(1, 50), "1234 5x6"]
     frame = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for texts in (odd, odd[::-1] + frame, [None, *odd]):
         ids, cuts = ids_of(pa.array(texts, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_of_a_tokenizer_that_keeps_white_space():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, ids_of = Tokenizer.from_file(path), slack.TextIds(path)
+    assert not ids_of.by_word
+    ids, cuts = ids_of(pa.array(["one  two", None, "three"]))
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ("one  two", "", "three")]
