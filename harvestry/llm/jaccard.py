@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 
 from harvestry.llm.components import components
 from harvestry.llm.store import default_parallelism, only_ids, pieces, release, written
-from harvestry.llm.words import Words, chunks, mix
+from harvestry.llm.words import SENT_BYTES, Words, chunks, mix
 
 SHINGLE = 5
-#: Keys of one group of the join (16 bytes each with the sort).
-GROUP_KEYS = 4_000_000
+#: Keys of one group of the join (16 bytes each with the sort), and the bytes of a key that are sent: within a group the
+#: others are known but for its width. Keys that these don't tell apart only add candidates, which are verified.
+GROUP_KEYS, KEY_BYTES = 4_000_000, 5
 #: Documents that share a key, up to which all pairs are listed at once.
 LISTED = 32
 #: Rows of one block where larger groups are compared.
@@ -43,6 +44,8 @@ BLOCK = 1024
 #: Rows of crowded keys that are compared in one task, about.
 TASK_ROWS = 250_000
 SMALL = 64
+_KEY_BITS = np.uint64(8 * KEY_BYTES)
+_LOW = (np.uint64(1) << _KEY_BITS) - np.uint64(1)
 _RATIO = 4 / 3
 _LEVELS = 12
 
@@ -158,7 +161,7 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.sort_by("id"), "text"):
+            for part in chunks(batch.sort_by("id"), "text", SENT_BYTES):
                 ids = part.column("id").to_numpy()
                 h, rows = shingles_of(part.column("text"), length)
                 n = np.bincount(rows, minlength=len(ids))
@@ -175,6 +178,7 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
                 lower = (band > 0)[rows]
                 below = _keys(h[lower], rows[lower], np.maximum(band - 1, 0), k_of_band)
                 key, row = np.concatenate([own[0], below[0]]), np.concatenate([own[1], below[1]])
+                key = (((key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)) << _KEY_BITS) | (key & _LOW)
                 order = np.argsort(key, kind="stable")
                 key, row = key[order], row[order]
                 starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
@@ -195,7 +199,7 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
                     heads = head & crowded
                     yield _blobs([-1 - spread], [ids[row[heads]]], [ids[row[heads]]], [np.ones(0, np.int32)], [key[heads]], [np.ones(0, bool)])
                 key, row, more = key[~local], row[~local], crowded[~local]
-                group = ((key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+                group = (key >> _KEY_BITS).astype(np.int64)
                 order = np.lexsort((row, group))
                 key, row, group, more = key[order], row[order], group[order], more[order]
                 cuts = np.flatnonzero(np.diff(group, prepend=-1))
@@ -211,9 +215,12 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
 
 
 def _blobs(groups, ids, sizes, counts, keys, more) -> pa.RecordBatch:
+    """Groups below 0 are no groups of the join: they hold pairs of ids in ``ids`` and ``sizes``, and whole keys."""
     raw = lambda xs, kind: pa.array([np.ascontiguousarray(x, kind).tobytes() for x in xs], pa.binary())
+    paired = bool(groups) and groups[0] < 0
+    sent = [np.ascontiguousarray(k, "<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if paired else KEY_BYTES].tobytes() for k in keys]
     return pa.RecordBatch.from_arrays(
-        [pa.array(groups, pa.int32()), raw(ids, np.int64), raw(sizes, np.int64), raw(counts, np.int32), raw(keys, np.uint64),
+        [pa.array(groups, pa.int32()), raw(ids, np.int64), raw(sizes, np.int64 if paired else np.int32), raw(counts, np.int32), pa.array(sent, pa.binary()),
          pa.array([np.packbits(m).tobytes() for m in more], pa.binary())],
         ["grp", "ids", "sizes", "counts", "keys", "more"])
 
@@ -229,52 +236,64 @@ def _pigeonholes(listed: int):
     """Pairs of documents that share a key (key null), and the entries of crowded keys (b null)."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:
-            for row in zip(*batch.to_pydict().values()):
-                g, ids, sizes, counts, keys = row[0], *(np.frombuffer(x, t) for x, t in zip(row[1:5], (np.int64, np.int64, np.int32, np.uint64)))
-                if g < 0:
-                    apart = ids != sizes
-                    yield from _found(None, np.maximum(ids, sizes)[apart], np.minimum(ids, sizes)[apart])
-                    yield from _found(keys, ids, ids)
-                else:
-                    parts.setdefault(g, []).append((ids, sizes, counts, keys, np.unpackbits(np.frombuffer(row[5], np.uint8), count=len(keys)).view(bool)))
-        for g in list(parts):
-            ids, sizes, counts, keys, more = (np.concatenate(x) for x in zip(*parts.pop(g)))
-            owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-            order = np.argsort(keys, kind="stable")
-            keys, owner = keys[order], owner[order]
-            starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
-            size = np.diff(starts, append=len(keys))
-            # a batch has kept documents of these back: the pairs with those are left to the blocks
-            held = np.zeros(0, bool) if not len(starts) else np.logical_or.reduceat(more[order], starts)
-            entry = np.repeat(held & (size > 1) & (size <= listed), size)
-            yield from _found(keys[entry], ids[owner[entry]], ids[owner[entry]])
-            left, right = [], []
-            for c in np.unique(size[(size > 1) & (size <= listed)]):
-                table = owner[starts[size == c][:, None] + np.arange(c)]
-                i, j = np.triu_indices(c, 1)
-                for lo in range(0, len(table), max(1, 2_000_000 // len(i))):
-                    some = table[lo : lo + max(1, 2_000_000 // len(i))]
-                    a, b = some[:, i].ravel(), some[:, j].ravel()
-                    near = (3 * np.maximum(sizes[a], sizes[b]) <= 4 * np.minimum(sizes[a], sizes[b])) & (ids[a] != ids[b])
-                    both = np.unique(np.stack([np.maximum(ids[a], ids[b])[near], np.minimum(ids[a], ids[b])[near]], 1), axis=0)
-                    left.append(both[:, 0])
-                    right.append(both[:, 1])
-            crowded = np.repeat(size > listed, size)
-            busy = np.bincount(owner[crowded], minlength=len(ids))
-            # one document may have several rows here, one per batch
-            busy = np.bincount(np.unique(ids, return_inverse=True)[1], busy)[np.unique(ids, return_inverse=True)[1]]
-            for s, c in zip(starts[size > listed], size[size > listed]):
-                mine = ids[owner[s : s + c]]
-                yield from _found(np.full(c, keys[s]), mine, mine)
-                hub = mine[np.lexsort((mine, -busy[owner[s : s + c]]))[0]]
-                others = mine[mine != hub]
-                left.append(np.maximum(others, hub))
-                right.append(np.minimum(others, hub))
-            if left:
-                both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-                yield from _found(None, both[:, 0], both[:, 1])
+        parts, current = [], None
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in zip(*batch.slice(at, 64).to_pydict().values()))
+        for g, ids, sizes, counts, keys, more in rows:
+            if g < 0:
+                a, b, keys = (np.frombuffer(x, t) for x, t in zip((ids, sizes, keys), (np.int64, np.int64, np.uint64)))
+                apart = a != b
+                yield from _found(None, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+                yield from _found(keys, a, a)
+                continue
+            if parts and g != current:  # groups come one after the other
+                yield from of_group(parts)
+                parts = []
+            low = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+            low[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+            low = low.view("<u8").ravel()
+            parts.append((*(np.frombuffer(x, t) for x, t in zip((ids, sizes, counts), (np.int64, np.int32, np.int32))), low | np.uint64(g) << _KEY_BITS,
+                          np.unpackbits(np.frombuffer(more, np.uint8), count=len(low)).view(bool)))
+            current = g
+        if parts:
+            yield from of_group(parts)
+
+    def of_group(parts: list) -> Iterator[pa.RecordBatch]:
+        ids, sizes, counts, keys, more = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+        size = np.diff(starts, append=len(keys))
+        # a batch has kept documents of these back: the pairs with those are left to the blocks
+        held = np.zeros(0, bool) if not len(starts) else np.logical_or.reduceat(more[order], starts)
+        entry = np.repeat(held & (size > 1) & (size <= listed), size)
+        yield from _found(keys[entry], ids[owner[entry]], ids[owner[entry]])
+        left, right = [], []
+        for c in np.unique(size[(size > 1) & (size <= listed)]):
+            table = owner[starts[size == c][:, None] + np.arange(c)]
+            i, j = np.triu_indices(c, 1)
+            for lo in range(0, len(table), max(1, 2_000_000 // len(i))):
+                some = table[lo : lo + max(1, 2_000_000 // len(i))]
+                a, b = some[:, i].ravel(), some[:, j].ravel()
+                near = (3 * np.maximum(sizes[a], sizes[b]) <= 4 * np.minimum(sizes[a], sizes[b])) & (ids[a] != ids[b])
+                both = np.unique(np.stack([np.maximum(ids[a], ids[b])[near], np.minimum(ids[a], ids[b])[near]], 1), axis=0)
+                left.append(both[:, 0])
+                right.append(both[:, 1])
+        crowded = np.repeat(size > listed, size)
+        busy = np.bincount(owner[crowded], minlength=len(ids))
+        # one document may have several rows here, one per batch
+        busy = np.bincount(np.unique(ids, return_inverse=True)[1], busy)[np.unique(ids, return_inverse=True)[1]]
+        for s, c in zip(starts[size > listed], size[size > listed]):
+            mine = ids[owner[s : s + c]]
+            yield from _found(np.full(c, keys[s]), mine, mine)
+            hub = mine[np.lexsort((mine, -busy[owner[s : s + c]]))[0]]
+            others = mine[mine != hub]
+            left.append(np.maximum(others, hub))
+            right.append(np.minimum(others, hub))
+        if left:
+            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+            yield from _found(None, both[:, 0], both[:, 1])
 
     return join
 
@@ -396,7 +415,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = pieces(sum(total for _, total in needs.values()), GROUP_KEYS, tasks)
     sent = texts.filter("id is not null and text is not null").mapInArrow(
         _sketch_words(k_of_band, groups, length), "grp int, ids binary, sizes binary, counts binary, keys binary, more binary")
-    found = written(sent.repartition(max(tasks, groups // 2), "grp").mapInArrow(_pigeonholes(LISTED), "key long, a long, b long"), "pigeonholes")
+    found = written(sent.repartition(max(tasks, groups // 2), "grp").sortWithinPartitions("grp").mapInArrow(_pigeonholes(LISTED), "key long, a long, b long"), "pigeonholes")
 
     del sent
     release(spark)  # the keys are the largest shuffle

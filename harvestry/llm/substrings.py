@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from harvestry.llm.store import default_parallelism, pieces
-from harvestry.llm.words import Words, chunks, mix
+from harvestry.llm.words import SENT_BYTES, Words, chunks, mix
 
 WINDOW = 13
 #: Suffixes of one group (8 bytes each, some 150 MB with the arrays of the sort).
@@ -115,7 +115,7 @@ def _suffixes(bounds: np.ndarray, window: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.sort_by("id"), "text"):
+            for part in chunks(batch.sort_by("id"), "text", SENT_BYTES):
                 ids, hashes = (part.column(c).to_numpy() for c in ("id", "text_hash"))
                 words = Words(part.column("text"))
                 code, at, rows = codes_of(words, window)
@@ -149,40 +149,47 @@ def _subtrees(buckets: int):
     """Marks per document and group: which of its distinct windows a smaller document has. Gathered by bucket of documents."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
-        for batch in batches:  # a task may get several groups
-            for g, *raw in zip(*(batch.column(c).to_pylist() for c in ("grp", "ids", "hashes", "counts", "later", "windows"))):
-                parts.setdefault(g, []).append(raw)
-        for g in list(parts):
-            ids, hashes, counts, later, windows = [], [], [], [], []
-            for raw in parts.pop(g):
-                ids.append(np.frombuffer(raw[0], np.int64))
-                hashes.append(np.frombuffer(raw[1], np.int32))
-                counts.append(np.frombuffer(raw[2], np.int32))
-                later.append(np.unpackbits(np.frombuffer(raw[3], np.uint8), count=int(counts[-1].sum())).view(bool))
-                windows.append(np.frombuffer(raw[4], np.uint64))
-            ids, hashes, counts, later, windows = (np.concatenate(x) for x in (ids, hashes, counts, later, windows))
-            owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[~later]
-            order = np.argsort(windows, kind="stable")
-            windows, owner_id = windows[order], ids[owner[order]]
-            starts = np.flatnonzero(np.diff(windows, prepend=~windows[:1]))
-            least = np.minimum.reduceat(owner_id, starts) if len(starts) else owner_id
-            sent = np.zeros(len(windows), bool)
-            sent[order] = owner_id > np.repeat(least, np.diff(starts, append=len(windows)))
-            marks = later.copy()
-            marks[~later] = sent
-            ends = np.cumsum(counts)
-            which = np.flatnonzero(np.add.reduceat(marks, ends - counts)) if len(ends) else ends
-            bucket = hashes[which] % buckets
-            which = which[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
-            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for some in np.split(which, cuts[1:]) if len(which) else []:
-                bits = b"".join(np.packbits(marks[ends[i] - counts[i] : ends[i]]).tobytes() for i in some)
-                raw = (ids[some], hashes[some], counts[some])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(hashes[some[0]]) % buckets], pa.int32()), pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw),
-                     pa.array([bits], pa.binary())], ["_bucket", "grp", "ids", "hashes", "counts", "bits"])
+        parts, current = [], None
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in zip(*batch.slice(at, 64).to_pydict().values()))
+        for g, *raw in rows:
+            if parts and g != current:  # groups come one after the other
+                yield from of_group(current, parts)
+                parts = []
+            parts.append(raw)
+            current = g
+        if parts:
+            yield from of_group(current, parts)
+
+    def of_group(g: int, parts: list) -> Iterator[pa.RecordBatch]:
+        ids, hashes, counts, later, windows = [], [], [], [], []
+        for raw in parts:
+            ids.append(np.frombuffer(raw[0], np.int64))
+            hashes.append(np.frombuffer(raw[1], np.int32))
+            counts.append(np.frombuffer(raw[2], np.int32))
+            later.append(np.unpackbits(np.frombuffer(raw[3], np.uint8), count=int(counts[-1].sum())).view(bool))
+            windows.append(np.frombuffer(raw[4], np.uint64))
+        ids, hashes, counts, later, windows = (np.concatenate(x) for x in (ids, hashes, counts, later, windows))
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[~later]
+        order = np.argsort(windows, kind="stable")
+        windows, owner_id = windows[order], ids[owner[order]]
+        starts = np.flatnonzero(np.diff(windows, prepend=~windows[:1]))
+        least = np.minimum.reduceat(owner_id, starts) if len(starts) else owner_id
+        sent = np.zeros(len(windows), bool)
+        sent[order] = owner_id > np.repeat(least, np.diff(starts, append=len(windows)))
+        marks = later.copy()
+        marks[~later] = sent
+        ends = np.cumsum(counts)
+        which = np.flatnonzero(np.add.reduceat(marks, ends - counts)) if len(ends) else ends
+        bucket = hashes[which] % buckets
+        which = which[np.argsort(bucket, kind="stable")]
+        bucket = np.sort(bucket)
+        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        for some in np.split(which, cuts[1:]) if len(which) else []:
+            bits = b"".join(np.packbits(marks[ends[i] - counts[i] : ends[i]]).tobytes() for i in some)
+            raw = (ids[some], hashes[some], counts[some])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(hashes[some[0]]) % buckets], pa.int32()), pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw),
+                 pa.array([bits], pa.binary())], ["_bucket", "grp", "ids", "hashes", "counts", "bits"])
 
     return mark
 
@@ -264,7 +271,7 @@ def dedup_substrings(
     buckets = pieces(size, BUCKET_BYTES)
     tasks = max(min(len(bounds), default_parallelism(docs.sparkSession)), len(bounds) // 4)
     sent = texts.mapInArrow(_suffixes(bounds, window), "grp int, ids binary, hashes binary, counts binary, later binary, windows binary")
-    marks = sent.repartition(tasks, "grp").mapInArrow(
+    marks = sent.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(
         _subtrees(buckets), "_bucket int, grp int, ids binary, hashes binary, counts binary, bits binary")
     carried = [c for c in docs.columns if c not in new]
     rows = docs.select(

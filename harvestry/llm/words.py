@@ -13,7 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
+#: The same where what a chunk sends shrinks with the repeats in it.
+SENT_BYTES = 3 << 20
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _STEP = 0x9E3779B97F4A7C15 | 3
@@ -81,10 +83,12 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_byte_values()[data] * powers(_STEP, len(data)), dtype=np.uint64, out=sums[1:])
-        back = powers(pow(_STEP, -1, 2**64), len(data) + 1)
+        sums[1:] = _byte_values()[data]
+        sums[1:] *= powers(_STEP, len(data))
+        np.cumsum(sums, out=sums)
         length = (self.ends - self.starts).astype(np.uint64)
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * back[self.starts] + length * _MIX_2)
+        sums = sums[self.ends] - sums[self.starts]
+        self.hashes = mix(sums * powers(pow(_STEP, -1, 2**64), len(data) + 1)[self.starts] + length * _MIX_2)
 
     def runs(self, length: int, skip: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each word + ``skip``; only meaningful where they lie in one row."""
