@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestry.llm.store import written
+from harvestry.llm.store import small, written
 
 SHARDS = 24
 #: First ranges of each shard; their splitters are literals of one expression.
@@ -118,7 +118,8 @@ def shard_documents(
     ranged = _ranged(rows, max(total, 1), shards, range_rows)
     # each holds over 1 / (shards * WHOLE_GROUP) of the bytes: at most so many keys
     heavy = F.broadcast(rows.groupBy("key").agg(F.sum("size").alias("held")).filter(F.col("held") * (shards * WHOLE_GROUP) > total).select("key", F.lit(True).alias("heavy")))
-    sums = ranged.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    sums = ranged.groupBy("rng").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
+    sums = written(sums.withColumn("next", F.lead("lo").over(Window.orderBy("rng"))), "range-sums")
     earlier = Window.orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     starts = sums.select("rng", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"))
     inside = Window.partitionBy("rng").orderBy("key", "row", "size")
@@ -126,7 +127,12 @@ def shard_documents(
     placed = placed.withColumn("nth", F.row_number().over(inside) - 1).join(starts, "rng")
     placed = placed.withColumn("first", F.col("bytes_before") + F.col("running")).withColumn("rank", F.col("rows_before") + F.col("nth"))
     placed = placed.withColumn("group_first", F.min("first").over(Window.partitionBy("rng", "key"))).join(heavy, "key", "left")
-    place = F.when(F.col("heavy"), F.col("first")).otherwise(F.col("group_first"))
+    # a group that goes on in the next range starts behind all smaller keys of the first range that holds it
+    open_ranges = small(sums.filter("hi = next").select("rng", "hi"), "open-ranges")
+    behind = ranged.join(open_ranges, "rng").groupBy("rng", "hi").agg(F.sum(F.when(F.col("key") < F.col("hi"), F.col("size")).otherwise(0)).alias("below"))
+    spans = behind.join(starts, "rng").groupBy(F.col("hi").alias("key")).agg(F.min(F.col("bytes_before") + F.col("below")).alias("span_first"))
+    placed = placed.join(small(spans, "open-groups"), "key", "left")
+    place = F.when(F.col("heavy"), F.col("first")).otherwise(F.coalesce("span_first", "group_first"))
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(place * shards / F.lit(max(total, 1)))).cast("int"))
     placed = written(placed.select("id", "size", "text_crc32", "shard", "rank"), "places")
     heads = F.broadcast(placed.groupBy("shard").agg(F.min("rank").alias("head")))  # one row per shard

@@ -239,7 +239,7 @@ def test_shards_equal_a_loop(spark):
     texts = corpus(13, 300)
     rows = list(enumerate(texts)) + [(1000 + i, texts[2]) for i in range(400)] + [(None, texts[9]), (None, None), (4, texts[4])]
     frame = docs(spark, rows).withColumn("shard", F.lit("clash"))
-    for limit in (2_000_000, 20):
+    for limit in (2_000_000, 20, 2):
         got = sharding.shard_documents(frame, range_rows=limit)
         assert sorted((tuple(r) for r in got.collect()), key=repr) == shards_by_hand(rows, 24)
     sizes = [r["b"] for r in got.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
@@ -247,6 +247,13 @@ def test_shards_equal_a_loop(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def test_groups_that_lie_in_several_ranges_stay_whole(spark):
+    texts = [prose(i, 20 + i % 50) for i in range(600)]
+    rows = [(10 * i + k, t) for i, t in enumerate(texts) for k in range(1 + i % 4)]
+    got = [sorted((tuple(r) for r in sharding.shard_documents(docs(spark, rows), range_rows=n).collect()), key=repr) for n in (2_000_000, 2)]
+    assert got[0] == got[1] == shards_by_hand(rows, 24)
+
+
 def test_sharding_runs_no_python(spark):
     plan = sharding.shard_documents(docs(spark, [(1, "a"), (2, "b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
