@@ -75,11 +75,11 @@ def detail_pages(spark, sf):
 <section ID='yxyz_content' class="body"><table><tbody>
 <tr><th colspan=2>记录</th></tr>
 <tr><td>出版商\u3000：</td><td><button>%s</button></td></tr>
-<tr><td>期刊ISSN</td><td><!-- 1 -->%08d&nbsp;<i style="color:red; display : none">(old)</i></td></tr>
-<tr><td>JCR</td><td>by year<table><tr><td>year</td><td>2024</td></tr><tr><td>group:</td><td>%s</td></tr></table></td><td>more</td></tr>
+<tr><td>期刊ISSN</td><td title="a>b"><!-- <td>1</td> -->%08d&nbsp;<div style="color:red; display : none">(old)<div>er</div>st</div></td></tr>
+<tr><td>JCR</td><td>by year<table><tr><td>year</td><td>2024</td></tr><tr><td>group:</td><td>%s</td></tr></table><div><table><tr><td>not</td><td>direct</td></tr></table></div></td><td>more</td></tr>
 <tr><td>2025最新IF</td><td>IF&nbsp;%.2f</td></tr>
 <tr><td>期刊名字 :</td><td>%s<script>var t = "<td>";</script></td></tr><tr><td>note</td></tr>
-</tbody></table></section>""",
+</tbody></table></section><table><tr><td>期刊名字</td><td>期刊ISSN 基本信息 出版商 出版国家 JCR</td></tr><tr><td>behind</td><td>the scope</td></tr></table>""",
         "c_mktsegment", "c_custkey", "c_nationkey", F.abs("c_acctbal"), "c_name")
     plain = F.concat(F.lit("<table><tr><td>期刊名字</td><td>"), "c_name", F.lit("</td></tr></table>"))
     return load(spark, sf, "customer").select(

@@ -23,6 +23,12 @@ class Replacement(NamedTuple):
     resolves: DataFrame
 
 
+def _complete(protect_empty: bool) -> Column:
+    """Whether as many children are there as expected; a count of zero or less asks for none."""
+    enough = F.col("crawled_count") >= F.col("total_count")
+    return enough & (F.col("total_count") > 0) if protect_empty else enough
+
+
 def replace_if_complete(
     old: DataFrame, incoming: DataFrame, expected: DataFrame, key: str = "journal_id",
     child: str = "comment_id", order: Sequence[str] = ("position_no",), protect_empty: bool = False,
@@ -42,9 +48,7 @@ def replace_if_complete(
         key, total.alias("total_count"), pages.alias("total_pages"),
         F.coalesce("crawled_count", F.lit(0)).cast("long").alias("crawled_count"),
     )
-    nothing_due = F.lit(False) if protect_empty else F.col("total_count") == 0
-    enough = (F.col("crawled_count") >= F.col("total_count")) & (F.col("total_count") > 0)
-    report = report.withColumn("complete", nothing_due | enough)
+    report = report.withColumn("complete", _complete(protect_empty))
     complete = report.filter("complete").select(key)
     children = old.join(complete, key, "left_anti").unionByName(
         kept.join(complete, key, "left_semi").select(*old.columns)
@@ -69,7 +73,7 @@ class Harvested(NamedTuple):
 
 def apply_harvests(
     old: DataFrame, rows: DataFrame, key: str = "journal_id", harvest: str = "harvest",
-    child: str = "comment_id", order: Sequence[str] = ("position_no",),
+    child: str = "comment_id", order: Sequence[str] = ("position_no",), protect_empty: bool = False,
 ) -> Harvested:
     """Replacement for rows of several harvests (numbered upwards) of the same entities.
 
@@ -85,8 +89,7 @@ def apply_harvests(
         F.max(lenient_int("total_count")).alias("total_count"), F.max(lenient_int("total_pages")).alias("total_pages"))
     report = join_on(expected, counts, unit).withColumn(
         "crawled_count", F.coalesce("crawled_count", F.lit(0)).cast("long"))
-    report = report.withColumn(
-        "complete", (F.col("total_count") == 0) | (F.col("crawled_count") >= F.col("total_count")))
+    report = report.withColumn("complete", _complete(protect_empty))
     latest = report.filter("complete").groupBy(key).agg(F.max(harvest).alias(harvest))
     children = old.join(latest, key, "left_anti").unionByName(
         kept.join(latest, unit, "left_semi").select(*old.columns))

@@ -96,10 +96,11 @@ def first_per_either_key(
     """Keep a row unless its ``key_a`` or its ``key_b`` was taken by an earlier kept row; rows without a key go.
 
     Rounds: a row that is first among the survivors for both of its keys is certainly kept; rows sharing a key
-    with a kept row are certainly dropped. A round that settles less than a twentieth of its rows follows the
+    with a kept row are certainly dropped. Rows without a scope are a scope of their own. A round that settles less than a twentieth of its rows follows the
     chains of rows that block each other to their ends, so long ones take few rounds.
     """
-    scope = F.lit(0) if within is None else F.col(within)
+    # in a struct a NULL scope equals itself
+    scope = F.struct(F.lit(0) if within is None else F.col(within))
     rows = df.dropna(subset=[key_a, key_b]).withColumns({
         "_scope": scope, "_a": F.col(key_a), "_b": F.col(key_b), "_o": F.struct(*order, key_a, key_b),
     })

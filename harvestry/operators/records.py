@@ -1,9 +1,13 @@
-"""Label/value records from the tables of detail pages, over rows of tokens.
+"""Label/value records from the tables of detail pages, by intervals of elements.
 
-A page becomes its tags and texts in order. Running counts per page say how deep in tables a token stands,
-and the last opened table, row and cell of each depth say where. Texts are gathered per cell, cells per row, rows
-per table, and inner tables become the values of their cells, from the deepest level up. The
-groups are cells, tables and pages; none grows with the number of pages.
+A page becomes its tags and texts in order; quoted attributes and comments are single tokens. Each start tag is
+paired with the end tag of its level among the tags of its name, which gives an interval per element. Running
+sums over the starts and ends of hidden, clickable and all elements tell what stands around a token, so that
+whether a text is hidden within its cell, clickable, or a table stands directly in its cell are comparisons of two sums.
+
+All that is done in partitions of whole pages after one shuffle: texts are gathered per cell, cells per row, rows per table
+and tables per page, and a fold over the tables of a page, the innermost first, puts them into their cells. None of the
+groups grows with the number of pages.
 """
 
 from __future__ import annotations
@@ -15,25 +19,34 @@ from pyspark.sql import functions as F
 
 from harvestry import rules
 from harvestry.functions.markup import inline_text, unescape
-from harvestry.functions.text import field_label, squeeze
-from harvestry.operators.scans import join_on
-from harvestry.session import cut_lineage
+from harvestry.functions.text import field_label, let, squeeze
 
 _UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>"
-_HIDDEN = r"""(?is)<(\w+)\b[^>]*\bstyle\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)[^"']*["'][^>]*>.*?</\1\s*>"""
-_CLICKABLE = r"""(?is)^<(?:a|button)\b|^<\w[^>]*\s(?:href|onclick|onmousedown|onmouseup)\s*=|^<\w[^>]*cursor\s*:\s*pointer"""
+_TOKEN = r"""(?s)</?[A-Za-z](?:"[^"]*+"|'[^']*+'|[^'">]++)*+>|<[^<>]*>|<|[^<]+"""
+_ATTRIBUTES = r"""(?is)\s%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_CLICKABLE = r"""(?is)\s(?:href|onclick|onmousedown|onmouseup)\s*=\s*["']?[^\s"'>]"""
+#: Elements without an end tag.
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
 def _json(text: Column) -> Column:
     """A text as a JSON string."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return let(F.to_json(F.array(text)), lambda listed: F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+def _last(entries: Column) -> Column:
+    """Of entries of equal names the last one."""
+
+    def of(entries: Column) -> Column:
+        names = F.transform(entries, lambda e: e["name"])
+        return let(names, lambda names: F.filter(entries, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), e["name"])))
+
+    return let(entries, of)
 
 
 def _object(entries: Column) -> Column:
     """(name, value as JSON) entries as a JSON object; of equal names the last one counts."""
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["name"] == e["name"]))
-    return F.concat(F.lit("{"), F.array_join(F.transform(last, lambda e: F.concat(_json(e["name"]), F.lit(": "), e["value"])), ", "), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(_last(entries), lambda e: F.concat(_json(e["name"]), F.lit(": "), e["value"])), ", "), F.lit("}"))
 
 
 def _list(values: Column) -> Column:
@@ -44,92 +57,134 @@ def _entry(name: Column, value: Column) -> Column:
     return F.struct(name.alias("name"), value.alias("value"))
 
 
-def _tokens(pages: DataFrame, key: list[str], html: str, scope_id: str) -> tuple[DataFrame, int]:
-    """The tokens in tables, and how deep tables stand in tables in these pages."""
-    seen = F.regexp_replace(F.regexp_replace(html, _UNSEEN, ""), _HIDDEN, "")
-    scope = F.regexp_extract(seen, rf"""(?is)(<\w+[^>]*\bid\s*=\s*["']?{scope_id}["'\s>].*)$""", 1)
-    text = F.when(scope != "", scope).otherwise(seen)
-    tokens = pages.select(*key, F.posexplode(F.regexp_extract_all(text, F.lit(r"<[^>]*>|[^<]+"), F.lit(0))).alias("pos", "token"))
-    tokens = tokens.withColumn("tag", F.lower(F.regexp_extract("token", r"^<\s*(/?\w+)", 1)))
-    run = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(F.col("tag") == "table", 1).when(F.col("tag") == "/table", -1).otherwise(0)
-    tokens = tokens.withColumn("depth", F.sum(step).over(run) + (F.col("tag") == "/table").cast("int"))
-    levels = max(int(tokens.agg(F.max("depth")).first()[0] or 0), 2)
-    # a clickable element ends with the next end tag of its kind
-    opened = F.last(F.when(F.col("token").rlike(_CLICKABLE), F.struct("pos", "tag")), True).over(run)
-    tokens = tokens.withColumn("_open", opened)
-    closed = F.last(F.when(F.col("tag") == F.concat(F.lit("/"), F.col("_open.tag")), F.col("pos")), True).over(run)
-    tokens = tokens.withColumn("linked", F.col("_open").isNotNull() & (F.coalesce(closed, F.lit(-1)) < F.col("_open.pos")))
-
-    def last_of(*tags: str) -> Column:
-        """Place of the last such tag at each depth."""
-        places = [F.last(F.when(F.col("tag").isin(*tags) & (F.col("depth") == k), F.col("pos")), True).over(run) for k in range(1, levels + 1)]
-        return F.array(*places)
-
-    tokens = tokens.withColumns({"tables": last_of("table"), "rows": last_of("tr"), "cells": last_of("td", "th"), "ends": last_of("/td", "/th", "/tr")})
-    at = F.col("depth").cast("int") - 1
-    tokens = tokens.filter(F.col("depth") >= 1).withColumns({
-        "t": F.get("tables", at), "r": F.get("rows", at), "c": F.get("cells", at), "outer": F.get("cells", at - 1),
-        "inside": F.coalesce(F.get("ends", at) < F.get("cells", at), F.lit(True)),
-    })
-    return tokens, levels
-
-
-def _cells(tokens: DataFrame, key: list[str]) -> DataFrame:
-    """Cells with their text: that outside of links, or else that of the links."""
-    is_text = ~F.startswith(F.col("token"), F.lit("<"))
-    opens = F.col("tag").isin("td", "th")
-    inside = tokens.filter((F.col("r") > F.col("t")) & (F.col("c") >= F.col("r")) & (opens | (is_text & F.col("inside"))))
-    part = F.when(is_text, F.struct("pos", "linked", squeeze(unescape(F.col("token"))).alias("text")))
-    cells = inside.groupBy(*key, "depth", "t", "r", "c").agg(
-        F.max(F.col("tag") == "th").alias("head"), F.sort_array(F.collect_list(part)).alias("parts"))
+def _attribute(token: Column, name: str) -> Column:
+    """Value of an attribute in a start tag, NULL without it."""
+    # most tags have none, and a plain search costs less than the pattern
+    held = F.length(token) > len(name) + 3
+    return F.when(held & F.contains(F.lower(token), F.lit(name)), F.concat(*(F.regexp_extract(token, _ATTRIBUTES % name, i) for i in (1, 2, 3))))
+
+
+def _tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """Tags and texts with the end of each element and the sums of what is open around them; partitioned by page."""
+    text = F.regexp_replace(html, _UNSEEN, "")
+    tokens = pages.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+    name = F.when(F.startswith(F.col("token"), F.lit("<")), F.lower(F.regexp_extract("token", r"^</?\s*([A-Za-z][\w:-]*)", 1))).otherwise("")
+    ends = F.startswith(F.col("token"), F.lit("</"))
+    tokens = tokens.withColumn("tag", name)
+    tokens = tokens.withColumn("kind", F.when((F.col("tag") == "") | F.col("tag").isin(*_VOID), 0).when(ends, -1).otherwise(1))
+    starts = F.col("kind") == 1
+    tokens = tokens.withColumn("style", F.when(starts, F.lower(F.replace(_attribute(F.col("token"), "style"), F.lit(" "), F.lit("")))))
+
+    def styled(part: str) -> Column:
+        return F.coalesce(F.contains("style", F.lit(part)), F.lit(False))
+
+    tokens = tokens.withColumns({
+        "hidden": styled("display:none") | styled("visibility:hidden"),
+        "clickable": F.when(starts, F.col("tag").isin("a", "button") | F.when(F.contains("token", F.lit("=")), F.col("token").rlike(_CLICKABLE)).otherwise(False) | styled("cursor:pointer")).otherwise(False),
+        "named": F.when(F.col("kind") != 0, F.col("tag"))}).drop("style")
+    by_name = Window.partitionBy(key, "named").orderBy("pos")
+    tokens = tokens.withColumn("level", F.sum("kind").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) + (F.col("kind") == -1).cast("int"))
+    # at one level of one name starts and ends alternate, but for tags that were never closed
+    pair = Window.partitionBy(key, "named", "level").orderBy("pos")
+    after, before = F.lead(F.struct("pos", "kind")).over(pair), F.lag(F.struct("kind", "hidden", "clickable")).over(pair)
+    tokens = tokens.withColumns({"_after": after, "_before": before})
+    closed, closes = starts & (F.col("_after.kind") == -1), (F.col("kind") == -1) & (F.col("_before.kind") == 1)
+    tokens = tokens.withColumns({
+        "close": F.when(closed, F.col("_after.pos")),
+        "step": F.when(closed, 1).when(closes, -1).otherwise(0),
+        "hides": F.when(closed & F.col("hidden"), 1).when(closes & F.col("_before.hidden"), -1).otherwise(0),
+        "clicks": F.when(closed & F.col("clickable"), 1).when(closes & F.col("_before.clickable"), -1).otherwise(0)})
+    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    tables = F.when(F.col("tag") == "table", F.col("step")).otherwise(0)
+    return tokens.withColumns({
+        "open": F.sum("step").over(run), "hiding": F.sum("hides").over(run), "clicking": F.sum("clicks").over(run), "depth": F.sum(tables).over(run),
+    }).drop("_after", "_before", "named", "level", "hides", "clicks", "hidden", "clickable")
+
+
+def _placed(tokens: DataFrame, key: str, scope_id: str) -> DataFrame:
+    """Tokens in tables with their table, row and cell, the cell around each table, and whether the scope holds them."""
+    run = Window.partitionBy(key, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    starts, ends = F.col("kind") == 1, F.col("kind") == -1
+    table = starts & (F.col("tag") == "table") & F.col("close").isNotNull()
+    cell = F.struct("pos", "open", "hiding", "clicking", (F.col("tag") == "th").alias("head"))
+    tokens = tokens.withColumns({
+        "table": F.last(F.when(table, F.struct("pos", "close")), True).over(run),
+        "r": F.last(F.when(starts & (F.col("tag") == "tr"), F.col("pos")), True).over(run),
+        "cell": F.last(F.when(starts & F.col("tag").isin("td", "th"), cell), True).over(run),
+        "ended": F.last(F.when(ends & F.col("tag").isin("td", "th", "tr"), F.col("pos")), True).over(run)})
+    in_row = F.col("r") > F.col("table.pos")
+    in_cell = in_row & (F.col("cell.pos") > F.col("r")) & (F.coalesce(F.col("ended"), F.lit(-1)) < F.col("cell.pos"))
+    tokens = tokens.withColumns({"r": F.when(in_row, F.col("r")), "cell": F.when(in_cell, F.col("cell"))})
+    page = Window.partitionBy(key).orderBy("pos")
+    around = F.lag(F.struct("cell", "open", "depth")).over(page)
+    scope = F.min(F.when(starts & (_attribute(F.col("token"), "id") == scope_id), F.struct("pos", F.coalesce("close", F.lit(2**31 - 1)).alias("close")))).over(Window.partitionBy(key))
+    tokens = tokens.withColumns({"_around": around, "_scope": scope})
+    return tokens.filter("depth > 0").withColumns({
+        "outer": F.when(table & (F.col("_around.open") == F.col("_around.cell.open")), F.col("_around.cell.pos")),
+        "in_scope": F.col("_scope").isNull() | F.col("table.pos").between(F.col("_scope.pos"), F.col("_scope.close"))})
+
+
+def _tables(tokens: DataFrame, key: str) -> DataFrame:
+    """One row per page: its tables with their rows and cells (``tables``) and all texts in them (``raw``)."""
+    is_text = (F.col("kind") == 0) & (F.col("tag") == "") & (~F.startswith(F.col("token"), F.lit("<")) | (F.col("token") == "<"))
+    shown = is_text & F.col("cell").isNotNull() & (F.col("hiding") == F.col("cell.hiding"))
+    part = F.when(shown, F.struct("pos", (F.col("clicking") > F.col("cell.clicking")).alias("linked"), squeeze(unescape(F.col("token"))).alias("text")))
+    cells = tokens.groupBy(key, F.col("table.pos").alias("t"), "r", F.col("cell.pos").alias("c")).agg(
+        F.max("depth").alias("depth"), F.max("table.close").alias("close"), F.max("outer").alias("outer"), F.max("in_scope").alias("in_scope"),
+        F.max("cell.head").alias("head"), F.sort_array(F.collect_list(part)).alias("parts"), F.collect_list(F.when(is_text, F.struct("pos", "token"))).alias("raw"))
 
     def joined(linked: bool) -> Column:
         chosen = F.filter("parts", lambda p: (p["linked"] == linked) & (p["text"] != ""))
         return F.array_join(F.transform(chosen, lambda p: p["text"]), " ")
 
-    return cells.withColumn("text", F.coalesce(F.nullif(joined(False), F.lit("")), joined(True))).drop("parts")
-
-
-def _table_values(tokens: DataFrame, cells: DataFrame, key: list[str], levels: int) -> DataFrame:
-    """Each inner table as JSON (``value``), with the cell around it (``outer``)."""
-    opened = tokens.filter("tag = 'table'").select(*key, "depth", "t", "outer")
-    values = level = None
-    for depth in range(levels, 1, -1):
-        own = cells.filter(F.col("depth") == depth)
-        if level is None:
-            own = own.withColumn("value", _json(F.col("text")))
-        else:
-            own = join_on(own, _per_cell(level, key).withColumnRenamed("outer", "c"), [*key, "c"])
-            one = F.when(F.size("inner") == 1, F.get("inner", F.lit(0))).otherwise(_list(F.col("inner")))
-            own = own.withColumn("value", F.when(F.size("inner") > 0, one).otherwise(_json(F.col("text")))).drop("inner")
-        rows = own.groupBy(*key, "t", "r").agg(F.sort_array(F.collect_list(F.struct("c", "head", "text", "value"))).alias("cells"))
-        tables = rows.groupBy(*key, "t").agg(F.sort_array(F.collect_list(F.struct("r", "cells"))).alias("rows"))
-        tables = join_on(opened.filter(F.col("depth") == depth), tables, [*key, "t"])
-        head = F.get("rows", F.lit(0))["cells"]
-        names = F.transform(head, lambda c, i: F.when(c["text"] == "", F.concat(F.lit("col_"), i)).otherwise(c["text"]))
-        listed = F.transform(F.slice("rows", F.lit(2), F.greatest(F.size("rows"), F.lit(1))), lambda row: _object(F.transform(
-            row["cells"], lambda c, i: _entry(F.coalesce(F.get(names, i), F.concat(F.lit("col_"), i)), c["value"]))))
-
-        def pair(row: Column, i: Column) -> Column:
-            first, second = F.get(row["cells"], F.lit(0)), F.get(row["cells"], F.lit(1))
-            label = field_label(first["text"])
-            alone = F.when(i == 0, "_title").otherwise(F.concat(F.lit("_row_"), i))
-            return F.when(second.isNotNull() & (label != ""), _entry(label, second["value"])).when(
-                second.isNull() & (first["text"] != ""), _entry(alone, _json(first["text"])))
+    # the text outside of links, or else that of the links
+    cells = cells.withColumn("text", F.coalesce(F.nullif(joined(False), F.lit("")), joined(True)))
+    about = [F.max(c).alias(c) for c in ("depth", "close", "outer", "in_scope")]
+    raw = F.flatten(F.collect_list("raw")).alias("raw")
+    rows = cells.groupBy(key, "t", "r").agg(*about, raw, F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "head", "text")))).alias("cells"))
+    tables = rows.groupBy(key, "t").agg(*about, raw, F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "cells")))).alias("rows"))
+    return tables.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("rank"), "t", "close", "outer", "in_scope", "rows"))).alias("tables"), F.sort_array(raw).alias("raw"))
+
+
+def _inner(inner: Column, cell: Column) -> Column:
+    """Values of the tables that stand directly in a cell."""
+    return F.coalesce(F.try_element_at(inner, cell["c"]), F.array().cast("array<string>"))
 
+
+def _table_value(table: Column, inner: Column) -> Column:
+    """A table as JSON; ``inner`` has those of its cells."""
+
+    def value(cell: Column) -> Column:
+        return let(_inner(inner, cell), lambda held: F.when(F.size(held) == 1, F.get(held, F.lit(0))).when(
+            F.size(held) > 1, _list(held)).otherwise(_json(cell["text"])))
+
+    def listed(rows: Column) -> Column:
+        names = F.transform(F.get(rows, F.lit(0))["cells"], lambda c, i: F.when(c["text"] == "", F.concat(F.lit("col_"), i)).otherwise(c["text"]))
+        objects = let(names, lambda names: F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1))), lambda row: _object(F.transform(
+            row["cells"], lambda c, i: _entry(F.coalesce(F.get(names, i), F.concat(F.lit("col_"), i)), value(c))))))
+        return _list(F.filter(objects, lambda o: o != "{}"))
+
+    def pair(row: Column, i: Column) -> Column:
+        first, second = F.get(row["cells"], F.lit(0)), F.get(row["cells"], F.lit(1))
+        alone = F.when(i == 0, "_title").otherwise(F.concat(F.lit("_row_"), i))
+        labelled = let(field_label(first["text"]), lambda label: F.when(label != "", _entry(label, value(second))))
+        return F.when(second.isNotNull(), labelled).when(first["text"] != "", _entry(alone, _json(first["text"])))
+
+    def of(rows: Column) -> Column:
+        head = F.get(rows, F.lit(0))["cells"]
         wide = (F.size(head) > 2) | F.exists(head, lambda c: c["head"])
-        value = F.when(F.col("rows").isNull(), "{}").when(wide, _list(F.filter(listed, lambda o: o != "{}"))).otherwise(
-            _object(F.filter(F.transform("rows", pair), lambda e: e.isNotNull())))
-        # written, so that the plan does not grow with the depth
-        level = cut_lineage(tables.select(*key, "depth", "t", "outer", value.alias("value")))
-        values = level if values is None else values.union(level)
-    return values
+        return F.when(F.size(rows) == 0, "{}").when(wide, listed(rows)).otherwise(_object(F.filter(F.transform(rows, pair), lambda e: e.isNotNull())))
+
+    return let(table["rows"], of)
 
 
-def _per_cell(values: DataFrame, key: list[str]) -> DataFrame:
-    inner = F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda v: v["value"])
-    return values.groupBy(*key, "outer").agg(inner.alias("inner"))
+def _put(inner: Column, table: Column) -> Column:
+    """Adds the value of a table to those of the cell around it."""
+    outer = table["outer"]
+    held = F.coalesce(F.try_element_at(inner, outer), F.array().cast("array<string>"))
+    more = F.map_from_entries(F.array(F.struct(outer, F.array_append(held, _table_value(table, inner)))))
+    return F.when(outer.isNull(), inner).otherwise(F.map_concat(F.map_filter(inner, lambda k, v: k != outer), more))
 
 
 def kv_records(
@@ -143,42 +198,54 @@ def kv_records(
     text) ready for ``canonical_fields``; ``n_fields`` is 0 when the page has no main table. Equal rows are read once.
     """
     keep = [c for c in pages.columns if c != html]
-    key = ["_page"]
-    marked = pages.withColumn("_page", F.sha2(F.coalesce(html, F.lit("")), 256))
+    key = "_page"
+    marked = pages.withColumn(key, F.sha2(F.coalesce(html, F.lit("")), 256))
     # only pages with all the texts can have a main table
     maybe = F.lit(True)
     for marker in required:
         maybe = maybe & F.contains(inline_text(F.col(html)), F.lit(marker))
-    # read once: cells, tables and texts all start from the tokens
-    tokens, levels = _tokens(marked.filter(maybe).select("_page", html).dropDuplicates(["_page"]), key, html, scope_id)
-    tokens = cut_lineage(tokens)
-    cells = cut_lineage(_cells(tokens, key))
-    # the text of a table is also that of the tables around it
-    texts = tokens.filter(~F.startswith("token", F.lit("<"))).select(*key, "pos", "token", F.explode(F.slice("tables", F.lit(1), F.col("depth").cast("int"))).alias("t"))
-    whole = texts.groupBy(*key, "t").agg(squeeze(unescape(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]), ""))).alias("all"))
-    rows_in = tokens.filter("tag = 'tr'").groupBy(*key, "t").agg(F.count("*").alias("n"))
-    fits = F.lit(True)
-    for marker in required:
-        fits = fits & F.contains("all", F.lit(marker))
-    score = F.coalesce("n", F.lit(0)) + sum((F.contains("all", F.lit(m)).cast("long") * 10 for m in optional), F.lit(0))
-    main = join_on(whole.filter(fits), rows_in, [*key, "t"]).groupBy(*key).agg(F.max_by("t", F.struct(score, -F.col("t"))).alias("t"))
-
-    own = cells.join(main, [*key, "t"]).filter(~F.col("head"))
-    inner = _per_cell(_table_values(tokens, cells, key, levels), key).withColumnRenamed("outer", "c")
-    own = join_on(own, inner, [*key, "c"])
-    rows = own.groupBy(*key, "r").agg(F.sort_array(F.collect_list(F.struct("c", "text", "inner"))).alias("cells"))
-    value = F.get("cells", F.lit(1))
-    nested = _object(F.array(_entry(F.lit("text"), _json(value["text"])), _entry(F.lit("tables"), _list(value["inner"]))))
-    has_inner = F.coalesce(F.size(value["inner"]) > 0, F.lit(False))
-    pairs = rows.filter(F.size("cells") >= 2).select(
-        *key, "r", field_label(F.get("cells", F.lit(0))["text"]).alias("label"), F.when(has_inner, nested).otherwise(value["text"]).alias("text"), has_inner.alias("nested"))
-    # of equal labels the last one counts
-    pairs = pairs.filter("label <> '' and text <> ''").groupBy(*key, "label").agg(F.max(F.struct("r", "text", "nested")).alias("v"))
-    records = pairs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("v.r").alias("r"), "label", F.col("v.text").alias("text"), F.col("v.nested").alias("nested")))).alias("e"))
-    records = records.select(
-        *key,
-        _object(F.transform("e", lambda x: _entry(x["label"], F.when(x["nested"], x["text"]).otherwise(_json(x["text"]))))).alias("doc"),
-        F.map_from_entries(F.transform("e", lambda x: F.struct(x["label"], x["text"]))).alias("fields"))
-    return join_on(marked, records, key).select(
+    # the one shuffle; a number of its own, as a page is a lot of work for its bytes
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = marked.filter(maybe).select(key, html).repartition(tasks, key).dropDuplicates([key])
+    found = _tables(_placed(_tokens(wanted, key, html), key, scope_id), key)
+
+    def score(table: Column) -> Column:
+        """Order of the tables that may be the main one; NULL for others. A table's text is all that lies between its tags."""
+        inside = F.filter("raw", lambda p: (p["pos"] > table["t"]) & (p["pos"] < table["close"]))
+        text = squeeze(unescape(F.array_join(F.transform(inside, lambda p: p["token"]), "")))
+
+        def of(text: Column) -> Column:
+            fits, points = table["in_scope"], F.size(table["rows"])
+            for marker in required:
+                fits = fits & F.contains(text, F.lit(marker))
+            for marker in optional:
+                points = points + F.contains(text, F.lit(marker)).cast("int") * 10
+            return F.when(fits, F.struct(points.alias("points"), (-table["t"]).alias("place")))
+
+        return let(text, of)
+
+    def record(row: Column, inner: Column) -> Column:
+        cells = F.filter(row["cells"], lambda c: ~c["head"])
+
+        def of(cell: Column, held: Column, label: Column) -> Column:
+            nested = _object(F.array(_entry(F.lit("text"), _json(cell["text"])), _entry(F.lit("tables"), _list(held))))
+            return F.struct(label.alias("name"), F.when(F.size(held) > 0, nested).otherwise(cell["text"]).alias("text"), (F.size(held) > 0).alias("nested"))
+
+        return let(cells, lambda cells: F.when(F.size(cells) > 1, let(
+            F.struct(F.get(cells, F.lit(1)).alias("cell"), _inner(inner, F.get(cells, F.lit(1))).alias("held"), field_label(F.get(cells, F.lit(0))["text"]).alias("label")),
+            lambda x: of(x["cell"], x["held"], x["label"]))))
+
+    def entries(main: Column, inner: Column) -> Column:
+        rows = F.get(F.filter("tables", lambda t: t["t"] == main), F.lit(0))["rows"]
+        return _last(F.filter(F.transform(rows, lambda row: record(row, inner)), lambda e: e.isNotNull() & (e["name"] != "") & (e["text"] != "")))
+
+    # in `let`, as the optimizer would put columns of their own into the lambdas, to be made again for each row
+    main = F.array_max(F.filter(F.transform("tables", score), lambda x: x.isNotNull()))["place"]
+    values = F.aggregate("tables", F.create_map().cast("map<int,array<string>>"), _put)
+    read = let(main, lambda place: F.when(place.isNotNull(), let(values, lambda inner: entries(-place, inner))))
+    records = found.select(key, read.alias("e")).select(
+        key, _object(F.transform("e", lambda x: _entry(x["name"], F.when(x["nested"], x["text"]).otherwise(_json(x["text"]))))).alias("doc"),
+        F.map_from_entries(F.transform("e", lambda x: F.struct(x["name"], x["text"]))).alias("fields"))
+    return marked.join(records, key, "left").select(
         *keep, F.coalesce("doc", F.lit("{}")).alias("doc"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"),
         F.coalesce(F.size(F.map_keys("fields")), F.lit(0)).cast("long").alias("n_fields"))

@@ -88,6 +88,31 @@ def test_records_at_any_depth(spark):
     assert json.loads(row.doc) == {"A": "a", "B": "b", "deep": {"text": "", "tables": [want]}} and row.n_fields == 3
 
 
+def test_elements_are_intervals(spark):
+    def one(html, **kw):
+        return json.loads(kv_records(pages(spark, html), **({"required": ("A", "B"), "optional": ("opt",), "scope_id": "s"} | kw)).first().doc)
+
+    rows = "<tr><td>A</td><td>{}</td></tr><tr><td>B</td><td>b</td></tr>"
+    table = "<table>" + rows + "</table>"
+    # a hidden element ends with its own end tag; void elements and stray ends open and close nothing
+    assert one(table.format('x<div style="display:none">h1<div>h2</div>h3<br></div>y</i>')) == {"A": "x y", "B": "b"}
+    assert one(table.format('<p style="visibility: hidden">no</p>z')) == {"A": "z", "B": "b"}
+    # a richer table behind the scope doesn't count; without the scope it does
+    rich = "<table>" + "<tr><td>A</td><td>far</td></tr>" * 3 + "<tr><td>B</td><td>opt</td></tr></table>"
+    assert one(f"<div id=s><div></div>{table.format('near')}</div>{rich}") == {"A": "near", "B": "b"}
+    assert one(f"<div><div></div>{table.format('near')}</div>{rich}") == {"A": "far", "B": "opt"}
+    # quoted attributes and comments hold what they like; a lone bracket is text
+    assert one("<TABLE class='>'>" + rows.format("""<b title="a>b" data-x='</td>'>t</b><!-- <td>no</td> > -->1 < 2""") + "</TABLE>") == {"A": "t 1 < 2", "B": "b"}
+    # only tables that stand directly in the cell are its values; the text of others is no text of the cell
+    assert one(table.format("<div><table><tr><td>k</td><td>v</td></tr></table></div>seen")) == {"A": "seen", "B": "b"}
+    assert one(table.format("<div></div><table><tr><td>k</td><td>v</td></tr></table>")) == {"A": {"text": "", "tables": [{"k": "v"}]}, "B": "b"}
+    # what is clickable ends with its own element
+    assert one(table.format("<span onclick='f()'>no <span>no</span> no</span>yes")) == {"A": "yes", "B": "b"}
+    assert one("<a href=/x>" + table.format("in a link") + "</a>") == {"A": "in a link", "B": "b"}
+    # cells and rows without end tags
+    assert one("<table><tr><td>A<td>a<tr><td>B<td>b</table>") == {"A": "a", "B": "b"}
+
+
 def test_canonical_names_of_a_record(spark):
     html = "<table><tr><td>期刊名字</td><td>N</td></tr><tr><td>期刊ISSN</td><td>0000-0001</td></tr><tr><td>最新影响因子</td><td>up to 7.25!</td></tr></table>"
     fields = kv_records(pages(spark, html)).select(canonical_fields("fields").alias("f")).first().f
