@@ -140,7 +140,8 @@ WITH {FOUND}, {PROBLEMS}, j AS (
     coalesce(p.problem_type, f.problem_type) AS problem_type, f.journal_id IS NOT NULL AS hit, f.message AS fm, p.message AS pm,
     f.actual_value AS fa, p.actual_value AS pa, coalesce(p.resolved, 0) AS resolved, p.created_at, p.updated_at
   FROM problems p FULL JOIN found f ON p.journal_id = f.journal_id AND p.problem_code = f.problem_code AND p.resolved = 0)
-SELECT journal_id, problem_code, problem_type, CASE WHEN hit THEN fm ELSE pm END AS message,
+SELECT coalesce(id, (SELECT greatest(max(id), 0) FROM problems) + row_number() OVER (PARTITION BY id IS NULL ORDER BY journal_id, problem_code)) AS id,
+  journal_id, problem_code, problem_type, CASE WHEN hit THEN fm ELSE pm END AS message,
   CASE WHEN hit THEN fa ELSE pa END AS actual_value, resolved,
   coalesce(created_at, {B.NOW}) AS created_at, CASE WHEN hit THEN {B.NOW} ELSE updated_at END AS updated_at, id IS NULL AS added FROM j""")
 def problems_recorded(spark, sf):
@@ -149,7 +150,7 @@ def problems_recorded(spark, sf):
     rows = P.record_problems(table, found, B.latest_order(spark, sf))
     known = table.select("id", F.lit(True).alias("_k"))
     return rows.join(known, "id", "left").select(
-        "journal_id", "problem_code", "problem_type", "message", "actual_value", "resolved", "created_at", "updated_at",
+        "id", "journal_id", "problem_code", "problem_type", "message", "actual_value", "resolved", "created_at", "updated_at",
         F.col("_k").isNull().alias("added"))
 
 

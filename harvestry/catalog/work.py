@@ -348,9 +348,10 @@ def plan_applied(spark, sf):
 
 
 @query("plan_twice", f"""
-WITH {B.ENTITIES}, {B.ITEMS}, latest AS (SELECT target_id, arg_max(status, id) AS s FROM items WHERE task_type = 'detail' GROUP BY 1)
+WITH {B.ENTITIES}, {B.ITEMS}, latest AS (SELECT target_id, arg_max(status, id) AS s, max(id) AS old_id FROM items WHERE task_type = 'detail' GROUP BY 1)
 SELECT 'detail' AS task_type, CAST(journal_id AS VARCHAR) AS target_id, CASE WHEN s = 'running' THEN 'running' ELSE 'pending' END AS item_status,
-  CASE WHEN s = 'running' THEN 'keep' ELSE 'reset' END AS action, true AS newest
+  CASE WHEN s = 'running' THEN 'keep' ELSE 'reset' END AS action,
+  coalesce(old_id, (SELECT max(id) FROM items) + row_number() OVER (PARTITION BY old_id IS NULL ORDER BY CAST(journal_id AS VARCHAR))) AS item_id
 FROM entities LEFT JOIN latest ON target_id = CAST(journal_id AS VARCHAR)""")
 def plan_twice(spark, sf):
     """Plan, apply, and plan again: created items are known the second time, and ids are above all before."""
@@ -358,12 +359,7 @@ def plan_twice(spark, sf):
     targets = R.targets_all(B.entities(spark, sf))
     once = R.apply_plan(items, R.plan(targets, items, "detail_force", "detail"), "detail", B.latest_order(spark, sf))
     again = R.plan(targets, cut_lineage(once), "detail_force", "detail")
-    top = items.agg(F.max("id").alias("top")).scalar()
-    known = items.filter("task_type = 'detail'").groupBy("target_id").agg(F.max("id").alias("old_id"))
-    rows = again.join(known, "target_id", "left")
-    return rows.select(
-        F.lit("detail").alias("task_type"), "target_id", "item_status", "action",
-        (F.col("item_id").eqNullSafe(F.col("old_id")) | (F.col("old_id").isNull() & (F.col("item_id") > top))).alias("newest"))
+    return again.select(F.lit("detail").alias("task_type"), "target_id", "item_status", "action", "item_id")
 
 
 @query("plan_clears_flags", f"""

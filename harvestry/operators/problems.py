@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestry import rules
-from harvestry.operators.ids import next_ids
+from harvestry.operators.ids import with_new_ids
 from harvestry.operators.scans import ROWS_PER_CHUNK, join_on, running
 
 UPDATED = ("message", "expected_value", "actual_value")
@@ -18,7 +18,8 @@ def record_problems(table: DataFrame, new: DataFrame, now: Column, order: Sequen
     """Upsert on the open (journal_id, problem_code); resolved rows stay as they are.
 
     Within the batch the last report gives the values and the first one the type; an
-    already open problem keeps its type.  ``order`` ranks the reports of the batch.
+    already open problem keeps its type.  ``order`` ranks the reports of the batch. New problems are
+    numbered by entity and code, behind the highest id.
     """
     rank = F.struct(*order) if order else F.struct(F.lit(0))
     reports = new.groupBy("journal_id", "problem_code").agg(
@@ -36,9 +37,7 @@ def record_problems(table: DataFrame, new: DataFrame, now: Column, order: Sequen
     )
     is_new = F.col("_open").isNull()
     reported = F.col("_report").isNotNull()
-    fresh_id = next_ids(table)
     values: dict[str, Column] = {
-        "id": F.coalesce("id", fresh_id),
         "journal_id": F.coalesce("journal_id", "_jid"),
         "problem_code": F.coalesce("problem_code", "_code"),
         "problem_type": F.coalesce("problem_type", "_type"),
@@ -47,7 +46,8 @@ def record_problems(table: DataFrame, new: DataFrame, now: Column, order: Sequen
         "updated_at": F.when(reported, now).otherwise(F.col("updated_at")),
         **{c: F.when(reported, F.col(f"_report.{c}")).otherwise(F.col(c)) for c in UPDATED},
     }
-    return both.select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
+    merged = both.select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
+    return with_new_ids(merged, table, F.col("id").isNull(), ["journal_id", "problem_code"])
 
 
 def apply_problem_events(
@@ -86,7 +86,6 @@ def apply_problem_events(
     has_report = F.coalesce(F.col("_reports") > 0, F.lit(False))
     closed = F.col("_closed").isNotNull()
     values: dict[str, Column] = {
-        "id": F.coalesce("id", next_ids(table)),
         "journal_id": F.coalesce("journal_id", "_jid"),
         "problem_code": F.coalesce("problem_code", "_code"),
         "problem_type": F.coalesce("problem_type", "_type"),
@@ -96,7 +95,8 @@ def apply_problem_events(
         "updated_at": F.when(has_report, F.col("_to")).otherwise(F.col("updated_at")),
         **{c: F.when(has_report, F.col(f"_report.{c}")).otherwise(F.col(c)) for c in UPDATED},
     }
-    return both.filter(~is_new | has_report).select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
+    merged = both.filter(~is_new | has_report).select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
+    return with_new_ids(merged, table, F.col("id").isNull(), [*keys, "created_at"])
 
 
 def _stamp(table: DataFrame, hit: Column, now: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestry.operators.ids import next_ids
+from harvestry.operators.ids import top_id, with_new_ids
 from harvestry.operators.scans import ROWS_PER_CHUNK, Peak, join_on, running
 
 MAX_FAILS = 3
@@ -150,7 +150,8 @@ def upsert_endpoints(
     """Pool with imported endpoints merged on (ip, port) and ``is_new`` marking added rows.
 
     Existing rows are revived: active, valid, no failures, new protocol, source and type;
-    user, secret and remark are kept when the import has none.
+    user, secret and remark are kept when the import has none. Added rows are numbered by ip and port,
+    behind the highest id.
     """
     rank = F.struct(*order)
 
@@ -168,7 +169,6 @@ def upsert_endpoints(
     zero = F.lit(0).cast("long")
     note = F.lit(remark or None)
     values = {
-        "id": F.coalesce("id", next_ids(pool)),
         "protocol": F.coalesce("_protocol", "protocol"),
         "username": F.coalesce("_username", "username"),
         "secret": F.coalesce("_secret", "secret"),
@@ -182,7 +182,8 @@ def upsert_endpoints(
         "total_fail_count": F.coalesce("total_fail_count", zero),
         "created_at": F.when(is_new, now).otherwise(F.col("created_at")),
     }
-    return both.select(*[values.get(c, F.col(c)).alias(c) for c in pool.columns], is_new.alias("is_new"))
+    merged = both.select(*[values.get(c, F.col(c)).alias(c) for c in pool.columns], is_new.alias("is_new"))
+    return with_new_ids(merged, pool, F.col("is_new"), ["ip", "port"])
 
 
 def import_report(
@@ -237,7 +238,7 @@ def resync_pool(
         "proxy_type": F.lit("direct"), "source": F.lit(source), "area": F.lit(area),
         "is_active": F.lit(True), "is_valid": F.lit(True), "success_count": zero, "fail_count": zero,
         "total_fail_count": zero, "remark": remark, "created_at": now,
-        "id": next_ids(pool),
+        "id": top_id(pool) + 1 + F.col("_i"),
     }
     added = numbered.select(*[
         values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in pool.schema

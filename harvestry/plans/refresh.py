@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harvestry import rules
-from harvestry.operators.ids import next_ids
+from harvestry.operators.ids import with_new_ids
 from harvestry.operators.scans import join_on
 
 CLEARED = ("error_message", "worker_id", "locked_at", "started_at", "completed_at")
@@ -181,7 +181,8 @@ def apply_plan(items: DataFrame, planned: DataFrame, task_type: str, now: Column
     """Work items after a plan: reset ones pending again, created ones appended as pending.
 
     ``planned`` comes from ``plan``; optional columns target_url and extra_data of the
-    targets go into created items, and into kept and reset ones as well.
+    targets go into created items, and into kept and reset ones as well. Created items are numbered by target_id,
+    behind the highest id.
     """
     fresh = {c: F.col(c) for c in ("target_url", "extra_data") if c in planned.columns}
     known = planned.filter(F.col("action").isin("keep", "reset")).select(
@@ -194,14 +195,14 @@ def apply_plan(items: DataFrame, planned: DataFrame, task_type: str, now: Column
     rewritten = _reset(marked, F.col("_reset"), zero_retries=True).select(*items.columns)
     zero = F.lit(0).cast("long")
     values = {
-        "id": next_ids(items), "task_type": F.lit(task_type),
+        "id": F.lit(None), "task_type": F.lit(task_type),
         "target_id": F.col("target_id"), "status": F.lit("pending"), "retry_count": zero,
         "max_retry": F.lit(3).cast("long"), "created_at": now, **fresh,
     }
     created = planned.filter(F.col("action") == "create").select(*[
         values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in items.schema
     ])
-    return rewritten.unionByName(created)
+    return rewritten.unionByName(with_new_ids(created, items, F.lit(True), ["target_id"]))
 
 
 def clear_done(

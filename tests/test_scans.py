@@ -217,3 +217,43 @@ def test_problem_events_equal_the_loop(spark, per_chunk):
                     r.created_at, r.updated_at) for r in got), key=repr)
     assert have == want
     assert len({r.id for r in got}) == len(got)
+
+
+def test_new_ids_are_dense_and_the_same_for_any_partitions(spark):
+    from harvestry.operators.ids import with_new_ids
+
+    rows = [(None if i % 3 else i, i % 7, f"t{i}") for i in range(500)] + [(None, 3, "again")] * 200
+    table = spark.createDataFrame([(900,), (None,)], "id long")
+    want = None
+    for parts, limit in ((3, 1_000_000), (211, 20)):
+        frame = spark.createDataFrame(rows, "id long, k int, name string").repartition(parts)
+        got = with_new_ids(frame, table, F.col("id").isNull(), ["k", "name"], rows_per_chunk=limit).collect()
+        assert sorted(r.id for r in got if r.id > 900) == list(range(901, 901 + sum(r[0] is None for r in rows)))
+        fresh = [(r.k, r.name) for r in sorted(got, key=lambda r: r.id) if r.id > 900]
+        assert fresh == sorted(fresh) and {r.name for r in got if r.id <= 900} == {f"t{i}" for i in range(0, 500, 3)}
+        assert want in (None, sorted(got, key=str))
+        want = sorted(got, key=str)
+    none = with_new_ids(spark.createDataFrame([], "id long, k int"), spark.createDataFrame([], "id long"), F.lit(True), ["k"])
+    assert none.count() == 0
+
+
+def test_rows_without_a_scope_are_a_scope(spark):
+    from harvestry.operators.dedupe import first_per_either_key
+
+    rows = [(1, "a", "x", None), (2, "a", "y", None), (3, "a", "z", "s"), (4, "b", "x", None), (5, "b", "w", "s"), (6, "c", "w", "s")]
+    frame = spark.createDataFrame(rows, "n int, a string, b string, within string")
+    got = first_per_either_key(frame, "a", "b", ["n"], "within").collect()
+    assert sorted(r.n for r in got) == [1, 3, 5]
+
+
+def test_a_count_below_zero_asks_for_no_children(spark):
+    from harvestry.operators.children import apply_harvests, replace_if_complete
+
+    old = spark.createDataFrame([(1, "o", 1), (2, "o", 1)], "journal_id long, comment_id string, position_no int")
+    expected = spark.createDataFrame([(1, "-1", "0"), (2, "0", "0")], "journal_id long, total_count string, total_pages string")
+    none = old.limit(0)
+    assert replace_if_complete(old, none, expected).children.count() == 0
+    assert {r.journal_id for r in replace_if_complete(old, none, expected, protect_empty=True).children.collect()} == {1, 2}
+    harvests = expected.selectExpr("journal_id", "1 harvest", "total_count", "total_pages", "cast(null as string) comment_id", "cast(null as int) position_no")
+    assert apply_harvests(old, harvests).children.count() == 0
+    assert {r.journal_id for r in apply_harvests(old, harvests, protect_empty=True).children.collect()} == {1, 2}
