@@ -41,6 +41,8 @@ GROUP_KEYS, KEY_BYTES = 4_000_000, 5
 LISTED = 32
 #: Rows of one block where larger groups are compared.
 BLOCK = 1024
+#: Pairs listed at once, and bytes of bit sketches compared at once.
+PAIRS, SKETCH_BYTES = 400_000, 16 << 20
 #: Rows of crowded keys that are compared in one task, about.
 TASK_ROWS = 250_000
 SMALL = 64
@@ -273,8 +275,8 @@ def _pigeonholes(listed: int):
         for c in np.unique(size[(size > 1) & (size <= listed)]):
             table = owner[starts[size == c][:, None] + np.arange(c)]
             i, j = np.triu_indices(c, 1)
-            for lo in range(0, len(table), max(1, 2_000_000 // len(i))):
-                some = table[lo : lo + max(1, 2_000_000 // len(i))]
+            for lo in range(0, len(table), max(1, PAIRS // len(i))):
+                some = table[lo : lo + max(1, PAIRS // len(i))]
                 a, b = some[:, i].ravel(), some[:, j].ravel()
                 near = (3 * np.maximum(sizes[a], sizes[b]) <= 4 * np.minimum(sizes[a], sizes[b])) & (ids[a] != ids[b])
                 both = np.unique(np.stack([np.maximum(ids[a], ids[b])[near], np.minimum(ids[a], ids[b])[near]], 1), axis=0)
@@ -308,7 +310,7 @@ def fold(sketch: np.ndarray, width: int) -> np.ndarray:
 
 def _hamming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose bit sketches allow the similarity."""
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
         keep = []
         for x, y, limit in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), (na + nb) // 7):
@@ -367,8 +369,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits = (comp[x] != comp[y]) & (open_[x] | open_[y]) & (3 * np.maximum(n[x], n[y]) <= 4 * np.minimum(n[x], n[y]))
                 a, b = np.nonzero(fits)
                 a, b = part[a], right[b]
-                for at in range(0, len(a), 20_000):
-                    p, q = a[at : at + 20_000], b[at : at + 20_000]
+                step = max(64, SKETCH_BYTES // (8 * bits.shape[1]))
+                for at in range(0, len(a), step):
+                    p, q = a[at : at + step], b[at : at + step]
                     near = np.bitwise_count(bits[p - lo] ^ bits[q - lo]).sum(1, dtype=np.int64) <= (n[p] + n[q]) // 7
                     if near.any():
                         found.append(np.stack([np.maximum(ids[p], ids[q])[near], np.minimum(ids[p], ids[q])[near]], 1))
