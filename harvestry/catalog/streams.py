@@ -13,18 +13,11 @@ from harvestry.streaming import jobs
 from harvestry.streaming.batches import read_output, read_state
 
 
-#: Input files and finished runs of this application.
-_MADE: dict[tuple, str] = {}
-
-
-def _once(spark, purpose, sf, make):
-    """The folder that ``make`` filled; made once per application and table folder."""
-    key = (spark.sparkContext.applicationId, purpose, sf)
-    if key not in _MADE:
-        folder = work_folder(spark, purpose)
-        make(folder)
-        _MADE[key] = folder
-    return _MADE[key]
+def _made(spark, purpose, make):
+    """A new folder that ``make`` filled: every call writes its files and runs its stream again."""
+    folder = work_folder(spark, purpose)
+    make(folder)
+    return folder
 
 
 def event_stream(spark, sf):
@@ -39,7 +32,7 @@ def event_stream(spark, sf):
             part = part if b is None else part.filter(clock <= b)
             part.coalesce(1).write.mode("append").parquet(folder)  # a file per micro-batch is what is shown here
 
-    folder = _once(spark, "event-files", sf, split)
+    folder = _made(spark, "event-files", split)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -60,7 +53,7 @@ def _history(spark, sf):
     obs = event_stream(spark, sf).select(
         F.col("user_id").alias("journal_id"), F.col("ts").alias("seen_at"), F.col("event_id").alias("seq"),
         F.col("event_type").alias("kind"), F.when(F.col("value") > 20, F.col("value")).alias("score"))
-    return _once(spark, "history", sf, lambda folder: _finished(
+    return _made(spark, "history", lambda folder: _finished(
         jobs.stream_history(obs, folder, ["journal_id"], ["seen_at", "seq"], ["kind", "score"], ["score"])))
 
 
