@@ -9,6 +9,8 @@ from harvestry.catalog.registry import query
 from harvestry.operators import entities as N
 from harvestry.operators import listing as L
 from harvestry.operators import stats
+from harvestry.session import work_folder
+from harvestry.sources import buckets as K
 from harvestry.sources.sinks import replace_keys, upsert
 from harvestry.sources.tables import load
 
@@ -235,3 +237,21 @@ def replaced(spark, sf):
     old = rows.filter("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey")
     new = rows.filter("o_orderstatus = 'F' AND o_totalprice > 400000").select("o_custkey", "o_orderkey")
     return replace_keys(old, new, ["o_custkey"])
+
+
+@query("upsert_version", """
+WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+b AS (SELECT o_custkey AS k, max(o_totalprice) AS p FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+SELECT coalesce(c_custkey, a.k, b.k) AS c_custkey, coalesce(b.p, a.p, c_acctbal) AS c_acctbal,
+  CASE WHEN b.k IS NOT NULL THEN 'second' WHEN a.k IS NOT NULL THEN 'first' ELSE 'old' END AS origin
+FROM customer LEFT JOIN a ON a.k = c_custkey LEFT JOIN b ON b.k = c_custkey""")
+def upsert_version(spark, sf):
+    """A table in buckets, changed twice and read back from its last manifest."""
+    folder = work_folder(spark, "bucketed")
+    old = load(spark, sf, "customer").select("c_custkey", "c_acctbal", F.lit("old").alias("origin"))
+    K.write_buckets(old, folder, -1, ["c_custkey"])
+    for status, origin in (("F", "first"), ("P", "second")):
+        new = load(spark, sf, "orders").filter(F.col("o_orderstatus") == status)
+        new = new.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+        K.upsert_version(new.withColumn("origin", F.lit(origin)), folder)
+    return K.read_version(spark, folder, K.open_version(spark, folder))

@@ -17,8 +17,9 @@ def top_id(table: DataFrame, id_col: str = "id") -> Column:
 
 def with_new_ids(
     rows: DataFrame, table: DataFrame, is_new: Column, order: Sequence[str], id_col: str = "id", rows_per_chunk: int = ROWS_PER_CHUNK,
+    top: int | None = None,
 ) -> DataFrame:
-    """``rows`` where those that are new get the ids behind the highest one of ``table``, without gaps, in ``order``.
+    """``rows`` where those that are new get the ids behind the highest one of ``table``, or behind ``top``, without gaps, in ``order``.
 
     The rows are ranged by the order and written once; counts per range give each range its first id. The numbering does not depend
     on the partitions: rows equal in ``order`` go by a hash of the row, and only rows equal in every column are interchangeable.
@@ -28,6 +29,7 @@ def with_new_ids(
     before = F.sum("_n").over(Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1))  # a row per range
     starts = counts.select(CHUNK, F.coalesce(before, F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy(CHUNK, "_new").orderBy(*order, TIE))
-    numbered = ranged.withColumn("_place", place).join(starts, CHUNK, "left").withColumn("_top", top_id(table))
+    numbered = ranged.withColumn("_place", place).join(starts, CHUNK, "left").withColumn(
+        "_top", top_id(table) if top is None else F.lit(top).cast("long"))
     new_id = F.col("_top") + F.col("_before") + F.col("_place")
     return numbered.withColumn(id_col, F.when(F.col("_new"), new_id).otherwise(F.col(id_col))).select(*rows.columns)

@@ -51,14 +51,16 @@ def record_problems(table: DataFrame, new: DataFrame, now: Column, order: Sequen
 
 
 def apply_problem_events(
-    table: DataFrame, events: DataFrame, order: Sequence[str], at: str, rows_per_chunk: int = ROWS_PER_CHUNK
+    table: DataFrame, events: DataFrame, order: Sequence[str], at: str, rows_per_chunk: int = ROWS_PER_CHUNK,
+    top: int | None = None,
 ) -> DataFrame:
     """Report and resolve events applied in order.
 
     ``events`` holds ``kind`` (report or resolve), journal_id, problem_code, problem_type,
     the reported values and the event time.  The resolves cut the events of an (entity,
     code) into rounds: the first round continues the open row, if there is one, and every
-    later round with a report is a row of its own.
+    later round with a report is a row of its own.  Where ``table`` is a part of a larger one, ``top`` is the
+    highest id of the whole.
     """
     keys = ["journal_id", "problem_code"]
     resolve = F.col("kind") == "resolve"
@@ -96,7 +98,7 @@ def apply_problem_events(
         **{c: F.when(has_report, F.col(f"_report.{c}")).otherwise(F.col(c)) for c in UPDATED},
     }
     merged = both.filter(~is_new | has_report).select(*[values.get(c, F.col(c)).alias(c) for c in table.columns])
-    return with_new_ids(merged, table, F.col("id").isNull(), [*keys, "created_at"])
+    return with_new_ids(merged, table, F.col("id").isNull(), [*keys, "created_at"], top=top)
 
 
 def _stamp(table: DataFrame, hit: Column, now: Column) -> DataFrame:

@@ -29,7 +29,7 @@ def stream_history(
         new = H.advance_history(state, batch, keys, order, fields, decimals)
         return new.state, {"snapshots": new.snapshots, "changes": new.changes, "late": new.late}
 
-    return start_batches(obs, folder, step)
+    return start_batches(obs, folder, step, keys)
 
 
 def stream_counters(
@@ -47,7 +47,7 @@ def stream_counters(
             latest = latest.unionByName(state.join(latest.select(key), key, "left_anti"))
         return latest, {"counters": counted}
 
-    return start_batches(events, folder, step)
+    return start_batches(events, folder, step, [key])
 
 
 def live_sessions(beats: DataFrame, key: str = "worker_id", at: str = "ts", timeout: int = 120) -> DataFrame:
@@ -107,18 +107,20 @@ def stream_problems(
 ) -> StreamingQuery:
     """Problem table kept up to date from report and resolve events; the state is the table."""
     step = partial(_problem_step, order=order, at=at)
-    return start_batches(events, folder, step, first_state=table)
+    return start_batches(events, folder, step, ["journal_id"], first_state=table, id_col="id")
 
 
-def _problem_step(state: DataFrame, batch: DataFrame, order: Sequence[str], at: str):
-    return P.apply_problem_events(state, batch, order, at), {}
+def _problem_step(state: DataFrame, batch: DataFrame, order: Sequence[str], at: str, top: int):
+    return P.apply_problem_events(state, batch, order, at, top=top), {}
 
 
-def stream_children(harvests: DataFrame, folder: str, children: DataFrame, **columns) -> StreamingQuery:
+def stream_children(
+    harvests: DataFrame, folder: str, children: DataFrame, key: str = "journal_id", **columns
+) -> StreamingQuery:
     """Child sets replaced by complete harvests; the state is the child table."""
 
     def step(state: DataFrame, batch: DataFrame):
-        result = C.apply_harvests(state, batch, **columns)
+        result = C.apply_harvests(state, batch, key, **columns)
         return result.children, {"reports": result.report}
 
-    return start_batches(harvests, folder, step, first_state=children)
+    return start_batches(harvests, folder, step, [key], first_state=children)

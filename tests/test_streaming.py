@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +14,9 @@ from harvestry.operators.dedupe import first_per_key
 from harvestry.operators.problems import apply_problem_events
 from harvestry.schemas import PROBLEMS
 from harvestry.session import work_folder
+from harvestry.sources.buckets import open_version
 from harvestry.streaming import jobs
-from harvestry.streaming.batches import finished_versions, read_output, read_state
+from harvestry.streaming.batches import finished_versions, read_output, read_state, start_batches
 
 SCHEMA = "k long, at timestamp_ntz, id long, ok boolean, v string"
 
@@ -142,3 +144,27 @@ def test_restart_without_new_data_and_old_versions(spark, source, rows):
     again.awaitTermination()
     assert sorted(map(repr, read_state(spark, folder, again).collect())) == sorted(map(repr, before))
     assert finished_versions(spark, folder) == [2, 3]
+
+
+def test_untouched_buckets_stay_as_they_are(spark, source):
+    folder = work_folder(spark, "t")
+    old = spark.createDataFrame([(k, "o", "x") for k in range(2000)], "journal_id long, comment_id string, content string")
+    jobs.stream_children(harvests_of(source), folder, old).awaitTermination()
+    runs = list(open_version(spark, f"{folder}/state").runs.values())
+    first = min(runs)
+    assert len(runs) == 64 and runs.count(first) >= 60  # four keys have events
+
+
+def test_finished_batch_is_not_done_again(spark, source, rows):
+    folder = work_folder(spark, "t")
+    calls = []
+
+    def step(state, batch):
+        calls.append(1)
+        return batch.select("k", "id"), {}
+
+    start_batches(source, folder, step, ["k"]).awaitTermination()
+    assert len(calls) == 4
+    shutil.rmtree(f"{folder}/checkpoint/commits")  # as if the driver was lost after the state, before the commit
+    start_batches(source, folder, step, ["k"]).awaitTermination()
+    assert len(calls) == 4
