@@ -124,8 +124,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
     """The model of the labelled documents outside the held-out fifth, from ``per_language`` of each language."""
     key = F.col(id_col).cast("string")
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.crc32(key) % 5 != 0))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
-    picked = rows.select(F.col(lang_col).alias("lang"), key.alias("key")).withColumn("rank", rank).filter(F.col("rank") <= per_language)
+    keys = rows.select(F.col(lang_col).alias("lang"), key.alias("key"), F.xxhash64(key).alias("hash"))
+    # a row per language: the smallest hashes lie below the share of all hashes that some eight times too many ids have
+    shares = keys.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
+    below = F.least(F.lit(8.0) * per_language / F.col("n"), F.lit(1.0)) * 2.0**64 - 2.0**63
+    near = keys.join(F.broadcast(shares.select("lang", below.alias("below"))), "lang").filter("hash <= below").select("lang", "key", "hash").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "key"))
+    picked = near.withColumn("rank", rank).filter(F.col("rank") <= per_language)
     picked = written(picked.select("key").distinct(), "language-sample")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +140,9 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langua
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "lang", "x"])
 
     texts = only_ids(rows.select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), picked, "key")
-    # ids x languages, at most per_language of each, of 16 kB
+    # one text of each id and language, whatever repeats it
+    texts = texts.groupBy("key", "lang").agg(F.min("text").alias("text"))
+    # at most per_language of each, of 16 kB
     got = sorted(tuple(r) for r in texts.mapInArrow(vectors, "key string, lang string, x binary").collect())
     x = np.stack([np.frombuffer(v, np.float32) for *_, v in got]) if got else np.zeros((0, DIMENSIONS), np.float32)
     return fit(np.array([r[1] for r in got], object), x)
@@ -149,7 +156,7 @@ def identify(
     Learns from rows with a language and a letter whose crc32(id as text) mod 5 is not 0; predicts from the
     whole text alone. Null texts and texts without a letter are ``und`` with score 0, and so is everything if there is
     nothing to learn from. Rows without an id are not held out and not learned from; repeated rows get equal
-    predictions. Input columns named like the new ones are replaced. An empty table gives an empty result.
+    predictions, and of rows that share id and language one text is learned from. Input columns named like the new ones are replaced. An empty table gives an empty result.
     """
     new = ["held_out", "lang_pred", "score"]
     model = train(docs, id_col, text_col, lang_col, per_language)

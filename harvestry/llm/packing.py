@@ -25,6 +25,8 @@ from harvestry.llm.words import chunks, word_counts
 CAPACITY = 2048
 #: Pieces of one packing group.
 GROUP_ROWS = 4096
+#: Copies of one piece that go to the same packing group.
+COPIES = 256
 _BIN_BITS = 32
 
 
@@ -110,8 +112,16 @@ def pack_documents(
     chunk = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("words") / capacity).cast("int") - 1, F.lit(0))))
     cut = counted.withColumn("chunk", chunk).withColumn("start_word", F.col("chunk").cast("long") * capacity)
     cut = cut.withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("words") - F.col("start_word")))
-    dealt = cut.filter("n_words > 0").withColumn("grp", F.pmod(F.xxhash64("id", "chunk", "cluster", "n_words"), F.lit(groups)).cast("int"))
-    packed = dealt.select("grp", "id", "source", "cluster", "chunk", "start_word", "n_words").groupBy("grp").applyInArrow(
+    # equal pieces are counted and dealt in stretches, so that no packing group gets all copies of a document
+    piece = ["id", "source", "cluster", "chunk", "start_word", "n_words"]
+    same = cut.filter("n_words > 0").groupBy(*piece).agg(F.count("*").alias("copies"))
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    same = same.withColumn("stretch", stretch).withColumn("copies", F.least(F.lit(COPIES).cast("long"), F.col("copies") - F.col("stretch") * COPIES))
+    base = F.xxhash64("id", "chunk", "cluster", "n_words")
+    spot = F.when(F.col("stretch") == 0, base).otherwise(F.xxhash64(base, "stretch"))
+    same = same.withColumn("grp", F.pmod(spot, F.lit(groups)).cast("int")).repartition("grp")
+    dealt = same.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    packed = dealt.select("grp", *piece).groupBy("grp").applyInArrow(
         _pack(capacity), "id long, chunk int, start_word long, n_words long, bin_id long, slot long")
     bare = cut.filter("n_words = 0").selectExpr("id", "chunk", "start_word", "n_words", "cast(null as long) bin_id", "cast(null as long) slot")
     return packed.union(bare)

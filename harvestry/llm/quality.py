@@ -181,7 +181,7 @@ def score_quality(
     """``docs`` with ``score`` (0 to 1) and ``kept`` (score at least ``keep_from``), one row per input row.
 
     Null texts and texts without words have score 0. Rows without an id are scored but not learned from; repeated
-    rows have equal scores. Input columns with the names of the new ones are replaced. An empty table gives an
+    rows have equal scores, and of rows that share an id one text is learned from. Input columns with the names of the new ones are replaced. An empty table gives an
     empty result.
     """
     new = ["score", "kept"]
@@ -199,7 +199,8 @@ def score_quality(
                     [part.column("key"), pa.array(labelling.posterior(votes(m))), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "good", "x"])
 
     # `sample` ids at most, of 8 kB each
-    got = sorted(tuple(r) for r in only_ids(rows, picked, "key").mapInArrow(vectors, "key string, good double, x binary").collect())
+    texts = only_ids(rows, picked, "key").groupBy("key").agg(F.min("text").alias("text"))  # one text of each id
+    got = sorted(tuple(r) for r in texts.mapInArrow(vectors, "key string, good double, x binary").collect())
     x = np.stack([np.frombuffer(r[2], np.float32) for r in got]) if got else np.zeros((0, DIMENSIONS + 3), np.float32)
     weights = fit(x, np.array([r[1] for r in got])).astype(np.float32)
     carried = [c for c in docs.columns if c not in new]

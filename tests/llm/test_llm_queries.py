@@ -59,3 +59,20 @@ def test_pipeline_takes_odd_rows(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, sf_dir)
     assert frame.count() == 0
+
+
+def test_near_duplicates_keep_different_texts_of_one_id(spark):
+    import random
+
+    from corpus_pipeline import COLUMNS, near_duplicates
+
+    rng = random.Random(5)
+    a, b, c = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(3))
+    rows = [(1, a), (2, b), (2, a), (2, b), (3, c), (4, c + " z"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = near_duplicates(spark, docs, "")
+    assert out.columns == COLUMNS
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    kept_a = [g for g in got if g[1] == a and g[0] is not None]
+    assert len(kept_a) == 1 and kept_a[0][0] in (1, 2)
+    assert sorted((g for g in got if g[1] != a), key=repr) == sorted([(2, b), (3, c)], key=repr) and (None, a) in got

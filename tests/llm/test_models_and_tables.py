@@ -5,6 +5,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,12 @@ def test_long_chains_take_few_rounds(spark):
     rows = linked(spark, [], calls, [(1, 5, f"c{i}", "r") for i in range(n)])
     assert [(r.depth, r.order_turn) for r in sorted((r for r in rows if r.kind == "call"), key=lambda r: r.depth)] == [(i, n) for i in range(n)]
     assert linked(spark, [], [], []) == []
+
+
+def test_language_sample_is_one_text_per_id(spark):
+    texts = {"en": "the cat and the dog went to the house", "fr": "le chat et le chien sont dans la maison"}
+    rows = [(i, f"{texts[lang]} {i}", lang) for i in range(60) for lang in (("en", "fr")[i % 2],)] + [(2, "the one that repeats", "en")] * 2000
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 20)
+    assert model.families == ["germanic", "romance"]
+    _, scores = langid.predict(model, langid.features(pa.array([texts["en"], texts["fr"]])))
+    assert langid.predict(model, langid.features(pa.array([texts["en"], texts["fr"]])))[0] == ["en", "fr"] and (scores > 0.5).all()

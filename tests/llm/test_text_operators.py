@@ -257,3 +257,13 @@ def test_groups_that_lie_in_several_ranges_stay_whole(spark):
 def test_sharding_runs_no_python(spark):
     plan = sharding.shard_documents(docs(spark, [(1, "a"), (2, "b")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_many_copies_of_one_piece_are_spread_over_packing_groups(spark):
+    rows = [(7, "same words here", "web")] * 3000 + [(i, f"text number {i}", "web") for i in range(100, 1100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = packing.pack_documents(frame, group_rows=400).collect()
+    assert len(out) == 4000 and sum(r.id == 7 for r in out) == 3000
+    assert len({r.bin_id >> 32 for r in out if r.id == 7}) > 4
+    assert len({(r.bin_id, r.slot) for r in out}) == 4000
+    assert len({r.bin_id for r in out if r.id == 7}) == 3000  # one copy a bin
