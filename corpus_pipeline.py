@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestry.llm import decontaminate, jaccard, langid, packing, substrings
-from harvestry.llm.store import without_ids, written
+from harvestry.llm.store import only_ids, without_ids, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,17 +20,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near duplicates; rows that repeat an id count as its copies."""
-    groups = written(jaccard.jaccard_groups(docs), "groups")
-    gone = groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = without_ids(docs, written(gone, "gone"), "doc_id")
-    again = groups.groupBy("id").agg(F.count("*").alias("n")).filter("id is not null and n > 1").select(F.col("id").alias("doc_id"))
-    again = written(again, "repeated")
-    if not again.limit(1).count():
+    """Keeps the smallest id of each group of near duplicates.
+
+    Rows that share an id are documents of their own, told apart by a hash of id and text: only those of equal or similar
+    text are copies. Rows without an id stay.
+    """
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is not null and n > 1").select("doc_id")
+    repeated = written(repeated, "repeated")
+    some = repeated.limit(1).count() > 0
+    keyed = docs.select(*COLUMNS, F.col("doc_id").alias("_key"))
+    if some:
+        hashed = only_ids(keyed, repeated, "doc_id").withColumn("_key", F.xxhash64("doc_id", "text"))
+        keyed = written(without_ids(keyed, repeated, "doc_id").unionByName(hashed), "keyed")
+    groups = jaccard.jaccard_groups(keyed, "_key")
+    gone = groups.filter("id <> component_id").select(F.col("id").alias("_key")).distinct()
+    kept = without_ids(keyed, written(gone, "gone"), "_key")
+    if not some:
         return kept.select(*COLUMNS)
-    others = without_ids(kept, again, "doc_id")
-    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return others.select(*COLUMNS).union(one)
+    others = without_ids(kept, repeated, "doc_id").select(*COLUMNS)
+    one = only_ids(kept, repeated, "doc_id").groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return others.union(one)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
