@@ -8,6 +8,7 @@ from harvestry.catalog import bindings as B
 from harvestry.catalog.registry import query
 from harvestry.functions.text import trigram_similarity
 from harvestry.operators import resources, search as S
+from harvestry.operators.fuzzy import fuzzy_pairs
 from harvestry.plans import refresh
 from harvestry.session import work_folder
 from harvestry.sources import sinks
@@ -65,6 +66,21 @@ def search_fuzzy(spark, sf):
     return found.select("p_partkey", "p_name", similarity.alias("similarity"))
 
 
+_LABEL = "p_name || ' ' || p_brand || ' ' || p_size"
+_MISSPELT = "replace(replace(p_name, 'i', ''), 'ea', 'ae')"
+
+
+@query("fuzzy_terms", f"""
+WITH n AS (SELECT DISTINCT {_LABEL} AS name FROM part), m AS (SELECT DISTINCT {_MISSPELT} AS term FROM part),
+a AS (SELECT name, {_TRIGRAMS.format('name')} AS x FROM n), b AS (SELECT term, {_TRIGRAMS.format('term')} AS y FROM m),
+p AS (SELECT term, name, len(x) AS nx, len(y) AS ny, len(list_intersect(x, y)) AS c FROM a, b)
+SELECT term, name, round(c / (nx + ny - c), 6) AS similarity FROM p WHERE c / (nx + ny - c) >= 0.3""")
+def fuzzy_terms(spark, sf):
+    parts = load(spark, sf, "part")
+    names, terms = parts.select(F.expr(_LABEL).alias("name")), parts.select(F.expr(_MISSPELT).alias("term"))
+    return fuzzy_pairs(names, terms, threshold=0.3).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("search_doc_field", """
 SELECT event_id, props FROM events WHERE json_extract_string(props, '$.k') = '42'""")
 def search_doc_field(spark, sf):

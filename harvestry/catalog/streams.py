@@ -11,6 +11,7 @@ from harvestry.session import work_folder
 from harvestry.sources.tables import load
 from harvestry.streaming import jobs
 from harvestry.streaming.batches import read_output, read_state
+from harvestry.streaming.liveness import stream_liveness_events as start_liveness_events
 
 
 def _made(spark, purpose, make):
@@ -97,6 +98,18 @@ def stream_liveness(spark, sf):
     return rows.select("user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in times], "beats")
 
 
+@query("stream_liveness_events", """
+WITH b AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 28800 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM b),
+x AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 28800 SECOND AS z FROM s GROUP BY user_id, n),
+e AS (SELECT user_id, 'online' AS event, a AS at FROM x UNION ALL SELECT user_id, 'offline', z FROM x)
+SELECT * FROM e WHERE e."at" < (SELECT max(ts) FROM events) - INTERVAL 60 SECOND""")
+def stream_liveness_events(spark, sf):
+    folder = work_folder(spark, "liveness-events")
+    _finished(start_liveness_events(event_stream(spark, sf), folder, "user_id", "ts", timeout=28800))
+    return spark.read.parquet(f"{folder}/events").select("user_id", "event", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 @query("live_sessions", """
 WITH b AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
 s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 7200 SECOND THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM b)
