@@ -434,8 +434,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         close = pairs.join(x, pairs["a"] == x["id_a"]).join(y, pairs["b"] == y["id_b"])
         close = close.filter("3 * greatest(n_a, n_b) <= 4 * least(n_a, n_b) and not (n_a = n_b and p_a = p_b and q_a = q_b)")
         close = written(close.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(_hamming, "a long, b long").distinct(), "close")
+        release(spark)  # here and below: each step's shuffles go before the next one's are written
         ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
         sets = written(only_ids(texts, written(ids, "close-ids"), "id").mapInArrow(_shingle_rows(length), "id long, set binary"), "sets")
+        release(spark)
         two = close.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
         two = two.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         return written(two.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a long, b long"), "verified")
@@ -443,7 +445,9 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = verified(found.filter("key is null").select("a", "b").distinct())
     same = member.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     same = written(same, "same-sets")
+    release(spark)
     groups_of = components(links.union(same))
+    release(spark)
 
     # A linked pair has `margin` equal parts by its smaller document. Where fewer of them are crowded, another one has
     # listed the pair already; only the other documents are open.
@@ -463,6 +467,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     deal = F.pmod(F.xxhash64("x", F.pmod(F.hash("key"), "parts")), F.lit(deals))
     dealt = open_keys.join(parts, "x").select("key", "blocks", deal.alias("deal"))
     crowd = written(crowd.join(dealt, "key"), "crowd")
+    release(spark)
     if crowd.count():
         near = crowd.join(with_id.select("id", "n", "sketch").distinct(), "id").withColumn("own", F.pmod(F.hash("id"), "blocks"))
         near = near.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -470,7 +475,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                            F.when(F.col("blocks") > 1, F.xxhash64("deal", "blocks", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("deal")).alias("deal"))
         near = near.repartition("deal").sortWithinPartitions("key", "i", "j").drop("deal")
         pairs = near.mapInArrow(_blocks, "a long, b long").distinct()
-        links = links.union(verified(written(pairs, "crowd-pairs")))
+        pairs = written(pairs, "crowd-pairs")
+        release(spark)
+        links = links.union(verified(pairs))
+        release(spark)
         groups_of = components(links.union(same))
     out = signed.select("id", F.col("n").alias("n_shingles"))
     return out.join(groups_of, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
