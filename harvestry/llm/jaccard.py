@@ -36,7 +36,7 @@ from harvestry.llm.words import SENT_BYTES, Words, chunks, mix
 SHINGLE = 5
 #: Keys of one group of the join (16 bytes each with the sort), and the bytes of a key that are sent: within a group the
 #: others are known but for its width. Keys that these don't tell apart only add candidates, which are verified.
-GROUP_KEYS, KEY_BYTES = 4_000_000, 5
+GROUP_KEYS, KEY_BYTES = 2_000_000, 5
 #: Documents that share a key, up to which all pairs are listed at once.
 LISTED = 32
 #: Rows of one block where larger groups are compared.
