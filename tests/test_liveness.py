@@ -70,3 +70,23 @@ def test_join_periods():
     assert join_periods([(10, 12, False), (0, 5, True)], 5) == [(0, 12, True)]
     assert join_periods([(11, 12, False), (0, 5, False)], 5) == [(0, 5, False), (11, 12, False)]
     assert join_periods([(3, 4, True), (0, 1, False)], 5) == [(3, 4, True)]  # what was told stays
+
+
+def test_state_rows_follow_the_buckets_not_the_reporters(spark, tmp_path):
+    """Also: reporters without a key, large keys and keys that are text have the events of the batch operators."""
+    beats = [(None if k == 0 else 2**60 + k, START + dt.timedelta(seconds=s)) for k in range(2000) for s in (k % 90, 400 + k % 70, 3000)]
+    for kind in ("long", "string"):
+        folder, given = work_folder(spark, "t"), str(tmp_path / kind)
+        frame = spark.createDataFrame(beats, SCHEMA).select(F.col("k").cast(kind).alias("k"), "at")
+        for low, high in ((0, 100), (100, 2000), (2000, 4000)):
+            second = F.unix_micros(F.col("at").cast("timestamp")) / 1e6 - START.replace(tzinfo=dt.timezone.utc).timestamp()
+            frame.filter((second >= low) & (second < high)).coalesce(1).write.mode("append").parquet(given)
+        source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(given)
+        query = stream_liveness_events(source, folder, "k", "at", timeout=100, buckets=16)
+        query.awaitTermination()
+        states = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+        assert max(s["numRowsTotal"] for s in states) <= 3 * 17
+        got = spark.read.parquet(f"{folder}/events").withColumn("at", F.col("at").cast("timestamp_ntz"))
+        rows = jobs.period_events(jobs.live_sessions(frame, "k", "at", timeout=100), None, "k")
+        want = rows.filter(F.col("at") < F.lit(START + dt.timedelta(seconds=2940))).select(*got.columns)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0 and got.count() == 8000
