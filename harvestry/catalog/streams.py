@@ -21,20 +21,27 @@ def _made(spark, purpose, make):
     return folder
 
 
+ROWS_PER_FILE = 250_000
+
+
 def event_stream(spark, sf):
-    """The events in four files of whole days by time, each a micro-batch."""
+    """The events in four parts of whole days by time, each a micro-batch of as many files as the others."""
     events = load(spark, sf, "events")
     clock = F.unix_date(F.col("ts").cast("date"))
+    low, mid, high = events.agg(F.percentile_approx(clock, [0.25, 0.5, 0.75])).first()[0] or [None] * 3
+    part = F.when(clock <= low, 0).when(clock <= mid, 1).when(clock <= high, 2).when(clock > high, 3)
+    sizes = {r[0]: r[1] for r in events.groupBy(part.alias("p")).count().collect() if r[0] is not None}
+    # a scan task with as many rows as files gives one to each file, so no part has fewer files
+    scans = events.rdd.getNumPartitions()
+    least = min(sizes.get(p, 0) for p in range(4)) // scans
+    files = max(1, min(least, -(-max(sizes.values(), default=0) // ROWS_PER_FILE)))
 
     def split(folder):
-        low, mid, high = events.agg(F.percentile_approx(clock, [0.25, 0.5, 0.75])).first()[0]
-        for a, b in ((None, low), (low, mid), (mid, high), (high, None)):
-            part = events if a is None else events.filter(clock > a)
-            part = part if b is None else part.filter(clock <= b)
-            part.coalesce(1).write.mode("append").parquet(folder)  # a file per micro-batch is what is shown here
+        for p in range(4):
+            events.filter(part == p).repartition(files).write.mode("append").parquet(folder)
 
     folder = _made(spark, "event-files", split)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _finished(started):

@@ -168,3 +168,21 @@ def test_finished_batch_is_not_done_again(spark, source, rows):
     shutil.rmtree(f"{folder}/checkpoint/commits")  # as if the driver was lost after the state, before the commit
     start_batches(source, folder, step, ["k"]).awaitTermination()
     assert len(calls) == 4
+
+
+def test_event_parts_are_micro_batches_of_several_files(spark, sf_dir, monkeypatch):
+    """Each part of the events is a micro-batch of whole days in order, in files that tasks share."""
+    from harvestry.catalog import streams
+
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 60)
+    seen = []
+
+    def look(batch, batch_id):
+        day = F.col("ts").cast("date")
+        seen.append(batch.agg(F.count("*"), F.min(day), F.max(day), F.count_distinct("file")).first())
+
+    source = streams.event_stream(spark, sf_dir).select("*", F.input_file_name().alias("file"))
+    source.writeStream.foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and sum(s[0] for s in seen) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert all(a[2] < b[1] for a, b in zip(seen, seen[1:]))
+    assert len({s[3] for s in seen}) == 1 and seen[0][3] > 1
