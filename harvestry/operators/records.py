@@ -13,6 +13,7 @@ groups grows with the number of pages.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ _ATTRIBUTES = r"""(?is)\s%s\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _CLICKABLE = r"""(?is)\s(?:href|onclick|onmousedown|onmouseup)\s*=\s*["']?[^\s"'>]"""
 #: Elements without an end tag.
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+#: Pages whose tokens are sorted in one task, at most about.
+TASK_PAGES = 4000
 
 
 def _json(text: Column) -> Column:
@@ -64,50 +67,62 @@ def _attribute(token: Column, name: str) -> Column:
     return F.when(held & F.contains(F.lower(token), F.lit(name)), F.concat(*(F.regexp_extract(token, _ATTRIBUTES % name, i) for i in (1, 2, 3))))
 
 
-def _tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """Tags and texts with the end of each element and the sums of what is open around them; partitioned by page."""
+def _tokens(pages: DataFrame, key: list[str], html: str, scope_id: str) -> DataFrame:
+    """Tags and texts of each page; the rows are sorted several times, so they hold numbers and flags, and only texts keep their characters."""
     text = F.regexp_replace(html, _UNSEEN, "")
-    tokens = pages.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
+    tokens = pages.select(*key, F.posexplode(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
     name = F.when(F.startswith(F.col("token"), F.lit("<")), F.lower(F.regexp_extract("token", r"^</?\s*([A-Za-z][\w:-]*)", 1))).otherwise("")
     ends = F.startswith(F.col("token"), F.lit("</"))
     tokens = tokens.withColumn("tag", name)
     tokens = tokens.withColumn("kind", F.when((F.col("tag") == "") | F.col("tag").isin(*_VOID), 0).when(ends, -1).otherwise(1))
+    is_text = (F.col("kind") == 0) & (F.col("tag") == "") & (~F.startswith(F.col("token"), F.lit("<")) | (F.col("token") == "<"))
+    # comments and elements without an end tag open, close and show nothing
+    tokens = tokens.filter((F.col("kind") != 0) | is_text)
     starts = F.col("kind") == 1
     tokens = tokens.withColumn("style", F.when(starts, F.lower(F.replace(_attribute(F.col("token"), "style"), F.lit(" "), F.lit("")))))
 
     def styled(part: str) -> Column:
         return F.coalesce(F.contains("style", F.lit(part)), F.lit(False))
 
-    tokens = tokens.withColumns({
-        "hidden": styled("display:none") | styled("visibility:hidden"),
-        "clickable": F.when(starts, F.col("tag").isin("a", "button") | F.when(F.contains("token", F.lit("=")), F.col("token").rlike(_CLICKABLE)).otherwise(False) | styled("cursor:pointer")).otherwise(False),
-        "named": F.when(F.col("kind") != 0, F.col("tag"))}).drop("style")
-    by_name = Window.partitionBy(key, "named").orderBy("pos")
+    return tokens.select(
+        *key, "pos", "kind", F.when(F.col("kind") != 0, F.col("tag")).alias("named"),
+        (styled("display:none") | styled("visibility:hidden")).alias("hidden"),
+        F.when(starts, F.col("tag").isin("a", "button") | F.when(F.contains("token", F.lit("=")), F.col("token").rlike(_CLICKABLE)).otherwise(False) | styled("cursor:pointer")).otherwise(False).alias("clickable"),
+        F.coalesce(starts & (_attribute(F.col("token"), "id") == scope_id), F.lit(False)).alias("scoped"), F.when(F.col("kind") == 0, F.col("token")).alias("text"))
+
+
+def _intervals(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """Tokens with the end of each element and the sums of what is open around them."""
+    starts = F.col("kind") == 1
+    by_name = Window.partitionBy(*key, "named").orderBy("pos")
     tokens = tokens.withColumn("level", F.sum("kind").over(by_name.rowsBetween(Window.unboundedPreceding, 0)) + (F.col("kind") == -1).cast("int"))
     # at one level of one name starts and ends alternate, but for tags that were never closed
-    pair = Window.partitionBy(key, "named", "level").orderBy("pos")
+    pair = Window.partitionBy(*key, "named", "level").orderBy("pos")
     after, before = F.lead(F.struct("pos", "kind")).over(pair), F.lag(F.struct("kind", "hidden", "clickable")).over(pair)
     tokens = tokens.withColumns({"_after": after, "_before": before})
     closed, closes = starts & (F.col("_after.kind") == -1), (F.col("kind") == -1) & (F.col("_before.kind") == 1)
-    tokens = tokens.withColumns({
-        "close": F.when(closed, F.col("_after.pos")),
-        "step": F.when(closed, 1).when(closes, -1).otherwise(0),
-        "hides": F.when(closed & F.col("hidden"), 1).when(closes & F.col("_before.hidden"), -1).otherwise(0),
-        "clicks": F.when(closed & F.col("clickable"), 1).when(closes & F.col("_before.clickable"), -1).otherwise(0)})
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    tables = F.when(F.col("tag") == "table", F.col("step")).otherwise(0)
+    step = F.when(closed, 1).when(closes, -1).otherwise(0)
+    tokens = tokens.select(
+        *key, "pos", "kind", F.col("named").alias("tag"), "scoped", "text", F.when(closed, F.col("_after.pos")).alias("close"), step.alias("step"),
+        F.when(closed & F.col("hidden"), 1).when(closes & F.col("_before.hidden"), -1).otherwise(0).alias("hides"),
+        F.when(closed & F.col("clickable"), 1).when(closes & F.col("_before.clickable"), -1).otherwise(0).alias("clicks"))
+    page = Window.partitionBy(*key).orderBy("pos")
+    run = page.rowsBetween(Window.unboundedPreceding, 0)
+    is_table = F.coalesce(F.col("tag") == "table", F.lit(False))
+    tables = F.when(is_table, F.col("step")).otherwise(0)
+    next_table = F.lead(F.when(is_table & starts & F.col("close").isNotNull(), F.col("pos"))).over(page)
     return tokens.withColumns({
-        "open": F.sum("step").over(run), "hiding": F.sum("hides").over(run), "clicking": F.sum("clicks").over(run), "depth": F.sum(tables).over(run),
-    }).drop("_after", "_before", "named", "level", "hides", "clicks", "hidden", "clickable")
+        "open": F.sum("step").over(run), "hiding": F.sum("hides").over(run), "clicking": F.sum("clicks").over(run),
+        "depth": F.sum(tables).over(run), "next_table": next_table}).drop("step", "hides", "clicks")
 
 
-def _placed(tokens: DataFrame, key: str, scope_id: str) -> DataFrame:
-    """Tokens in tables with their table, row and cell, the cell around each table, and whether the scope holds them."""
-    run = Window.partitionBy(key, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def _placed(tokens: DataFrame, key: list[str]) -> DataFrame:
+    """Tokens in tables with their table, row and cell, and the elements of the scope's name."""
+    run = Window.partitionBy(*key, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     starts, ends = F.col("kind") == 1, F.col("kind") == -1
     table = starts & (F.col("tag") == "table") & F.col("close").isNotNull()
     cell = F.struct("pos", "open", "hiding", "clicking", (F.col("tag") == "th").alias("head"))
-    tokens = tokens.withColumns({
+    tokens = tokens.filter("depth > 0 or scoped").withColumns({
         "table": F.last(F.when(table, F.struct("pos", "close")), True).over(run),
         "r": F.last(F.when(starts & (F.col("tag") == "tr"), F.col("pos")), True).over(run),
         "cell": F.last(F.when(starts & F.col("tag").isin("td", "th"), cell), True).over(run),
@@ -115,23 +130,20 @@ def _placed(tokens: DataFrame, key: str, scope_id: str) -> DataFrame:
     in_row = F.col("r") > F.col("table.pos")
     in_cell = in_row & (F.col("cell.pos") > F.col("r")) & (F.coalesce(F.col("ended"), F.lit(-1)) < F.col("cell.pos"))
     tokens = tokens.withColumns({"r": F.when(in_row, F.col("r")), "cell": F.when(in_cell, F.col("cell"))})
-    page = Window.partitionBy(key).orderBy("pos")
-    around = F.lag(F.struct("cell", "open", "depth")).over(page)
-    scope = F.min(F.when(starts & (_attribute(F.col("token"), "id") == scope_id), F.struct("pos", F.coalesce("close", F.lit(2**31 - 1)).alias("close")))).over(Window.partitionBy(key))
-    tokens = tokens.withColumns({"_around": around, "_scope": scope})
-    return tokens.filter("depth > 0").withColumns({
-        "outer": F.when(table & (F.col("_around.open") == F.col("_around.cell.open")), F.col("_around.cell.pos")),
-        "in_scope": F.col("_scope").isNull() | F.col("table.pos").between(F.col("_scope.pos"), F.col("_scope.close"))})
+    scope = F.when(F.col("scoped"), F.struct("pos", F.coalesce("close", F.lit(2**31 - 1)).alias("close")))
+    return tokens.withColumns({
+        "scope": scope, "holds": F.when(F.col("open") == F.col("cell.open"), F.col("next_table"))})
 
 
-def _tables(tokens: DataFrame, key: str) -> DataFrame:
+def _tables(tokens: DataFrame, key: list[str]) -> DataFrame:
     """One row per page: its tables with their rows and cells (``tables``) and all texts in them (``raw``)."""
-    is_text = (F.col("kind") == 0) & (F.col("tag") == "") & (~F.startswith(F.col("token"), F.lit("<")) | (F.col("token") == "<"))
+    is_text = F.col("text").isNotNull()
     shown = is_text & F.col("cell").isNotNull() & (F.col("hiding") == F.col("cell.hiding"))
-    part = F.when(shown, F.struct("pos", (F.col("clicking") > F.col("cell.clicking")).alias("linked"), squeeze(unescape(F.col("token"))).alias("text")))
-    cells = tokens.groupBy(key, F.col("table.pos").alias("t"), "r", F.col("cell.pos").alias("c")).agg(
-        F.max("depth").alias("depth"), F.max("table.close").alias("close"), F.max("outer").alias("outer"), F.max("in_scope").alias("in_scope"),
-        F.max("cell.head").alias("head"), F.sort_array(F.collect_list(part)).alias("parts"), F.collect_list(F.when(is_text, F.struct("pos", "token"))).alias("raw"))
+    part = F.when(shown, F.struct("pos", (F.col("clicking") > F.col("cell.clicking")).alias("linked"), squeeze(unescape(F.col("text"))).alias("text")))
+    cells = tokens.groupBy(*key, F.col("table.pos").alias("t"), "r", F.col("cell.pos").alias("c")).agg(
+        F.max("depth").alias("depth"), F.max("table.close").alias("close"), F.min("scope").alias("scope"),
+        F.max("cell.head").alias("head"), F.sort_array(F.collect_list(part)).alias("parts"), F.collect_list(F.when(is_text, F.struct("pos", F.col("text").alias("token")))).alias("raw"),
+        F.collect_list("holds").alias("holds"))
 
     def joined(linked: bool) -> Column:
         chosen = F.filter("parts", lambda p: (p["linked"] == linked) & (p["text"] != ""))
@@ -139,12 +151,17 @@ def _tables(tokens: DataFrame, key: str) -> DataFrame:
 
     # the text outside of links, or else that of the links
     cells = cells.withColumn("text", F.coalesce(F.nullif(joined(False), F.lit("")), joined(True)))
-    about = [F.max(c).alias(c) for c in ("depth", "close", "outer", "in_scope")]
+    cells = cells.withColumn("holds", F.transform("holds", lambda t: F.struct(t.alias("t"), F.col("c").alias("c"))))
+    about = [F.max("depth").alias("depth"), F.max("close").alias("close"), F.min("scope").alias("scope"), F.flatten(F.collect_list("holds")).alias("holds")]
     raw = F.flatten(F.collect_list("raw")).alias("raw")
-    rows = cells.groupBy(key, "t", "r").agg(*about, raw, F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "head", "text")))).alias("cells"))
-    tables = rows.groupBy(key, "t").agg(*about, raw, F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "cells")))).alias("rows"))
-    return tables.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("rank"), "t", "close", "outer", "in_scope", "rows"))).alias("tables"), F.sort_array(raw).alias("raw"))
+    rows = cells.groupBy(*key, "t", "r").agg(*about, raw, F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "head", "text")))).alias("cells"))
+    tables = rows.groupBy(*key, "t").agg(*about, raw, F.sort_array(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "cells")))).alias("rows"))
+    found = F.when(F.col("t").isNotNull(), F.struct((-F.col("depth")).alias("rank"), "t", "close", "rows"))
+    found = tables.groupBy(*key).agg(F.sort_array(F.collect_list(found)).alias("tables"), F.sort_array(raw).alias("raw"), F.min("scope").alias("scope"),
+                                     F.map_from_entries(F.flatten(F.collect_list("holds"))).alias("outer"))
+    return found.withColumn("tables", F.transform("tables", lambda t: F.struct(
+        t["rank"].alias("rank"), t["t"].alias("t"), t["close"].alias("close"), F.try_element_at("outer", t["t"]).alias("outer"),
+        (F.col("scope").isNull() | t["t"].between(F.col("scope.pos"), F.col("scope.close"))).alias("in_scope"), t["rows"].alias("rows"))))
 
 
 def _inner(inner: Column, cell: Column) -> Column:
@@ -198,16 +215,16 @@ def kv_records(
     text) ready for ``canonical_fields``; ``n_fields`` is 0 when the page has no main table. Equal rows are read once.
     """
     keep = [c for c in pages.columns if c != html]
-    key = "_page"
-    marked = pages.withColumn(key, F.sha2(F.coalesce(html, F.lit("")), 256))
+    key = ["_page", "_more"]
+    digest = F.sha2(F.coalesce(html, F.lit("")), 256)
+    # 120 bits of the digest as two numbers, as these are sorted and compared often
+    marked = pages.withColumns({c: F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for c, at in zip(key, (1, 16))})
     # only pages with all the texts can have a main table
-    maybe = F.lit(True)
-    for marker in required:
-        maybe = maybe & F.contains(inline_text(F.col(html)), F.lit(marker))
-    # the one shuffle; a number of its own, as a page is a lot of work for its bytes
-    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = marked.filter(maybe).select(key, html).repartition(tasks, key).dropDuplicates([key])
-    found = _tables(_placed(_tokens(wanted, key, html), key, scope_id), key)
+    maybe = let(inline_text(F.col(html)), lambda text: reduce(lambda a, b: a & b, (F.contains(text, F.lit(m)) for m in required), F.lit(True)))
+    # the one shuffle; a number of its own, as a page is a lot of work for its bytes, and its tokens many rows to sort
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // TASK_PAGES))
+    wanted = marked.filter(maybe).select(*key, html).repartition(tasks, *key).dropDuplicates(key)
+    found = _tables(_placed(_intervals(_tokens(wanted, key, html, scope_id), key), key), key)
 
     def score(table: Column) -> Column:
         """Order of the tables that may be the main one; NULL for others. A table's text is all that lies between its tags."""
@@ -243,8 +260,8 @@ def kv_records(
     main = F.array_max(F.filter(F.transform("tables", score), lambda x: x.isNotNull()))["place"]
     values = F.aggregate("tables", F.create_map().cast("map<int,array<string>>"), _put)
     read = let(main, lambda place: F.when(place.isNotNull(), let(values, lambda inner: entries(-place, inner))))
-    records = found.select(key, read.alias("e")).select(
-        key, _object(F.transform("e", lambda x: _entry(x["name"], F.when(x["nested"], x["text"]).otherwise(_json(x["text"]))))).alias("doc"),
+    records = found.select(*key, read.alias("e")).select(
+        *key, _object(F.transform("e", lambda x: _entry(x["name"], F.when(x["nested"], x["text"]).otherwise(_json(x["text"]))))).alias("doc"),
         F.map_from_entries(F.transform("e", lambda x: F.struct(x["name"], x["text"]))).alias("fields"))
     return marked.join(records, key, "left").select(
         *keep, F.coalesce("doc", F.lit("{}")).alias("doc"), F.coalesce("fields", F.create_map().cast("map<string,string>")).alias("fields"),
