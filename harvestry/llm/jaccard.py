@@ -128,7 +128,7 @@ def _signatures(length: int):
                         mine = h[first[d] : first[d + 1]]
                         while (more := parts_of(int(band[d]), int(level[d]))) and len(np.unique(_parts(mine, np.full(len(mine), more)))) <= n[d] // 3:
                             level[d] += 1
-                width = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+                width = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
                 base = np.concatenate([[0], np.cumsum(width)])
                 bits = np.bincount(base[rows] + (h & (width[rows] - 1).astype(np.uint64)).astype(np.int64), minlength=base[-1]) & 1
                 packed = np.packbits(bits.astype(np.uint8)).tobytes()
@@ -216,13 +216,27 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
     return send
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as the least of them and the distances from it in as few bytes as the largest needs."""
+    numbers = np.ascontiguousarray(numbers, np.int64)
+    low = numbers.min(initial=np.iinfo(np.int64).max) if len(numbers) else np.int64(0)
+    above = numbers.view(np.uint64) - np.int64(low).view(np.uint64)
+    width = next(w for w in (1, 2, 4, 8) if not len(above) or int(above.max()) < 1 << 8 * w)
+    return int(low).to_bytes(8, "little", signed=True) + bytes([width]) + above.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    above = np.frombuffer(raw, f"<u{raw[8]}", offset=9).astype(np.uint64)
+    return (above + np.frombuffer(raw, "<i8", 1).view(np.uint64)).view(np.int64)
+
+
 def _blobs(groups, ids, sizes, counts, keys, more) -> pa.RecordBatch:
     """Groups below 0 are no groups of the join: they hold pairs of ids in ``ids`` and ``sizes``, and whole keys."""
-    raw = lambda xs, kind: pa.array([np.ascontiguousarray(x, kind).tobytes() for x in xs], pa.binary())
+    raw = lambda xs: pa.array([_packed(x) for x in xs], pa.binary())
     paired = bool(groups) and groups[0] < 0
     sent = [np.ascontiguousarray(k, "<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if paired else KEY_BYTES].tobytes() for k in keys]
     return pa.RecordBatch.from_arrays(
-        [pa.array(groups, pa.int32()), raw(ids, np.int64), raw(sizes, np.int64 if paired else np.int32), raw(counts, np.int32), pa.array(sent, pa.binary()),
+        [pa.array(groups, pa.int32()), raw(ids), raw(sizes), raw(counts), pa.array(sent, pa.binary()),
          pa.array([np.packbits(m).tobytes() for m in more], pa.binary())],
         ["grp", "ids", "sizes", "counts", "keys", "more"])
 
@@ -242,7 +256,7 @@ def _pigeonholes(listed: int):
         rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in zip(*batch.slice(at, 64).to_pydict().values()))
         for g, ids, sizes, counts, keys, more in rows:
             if g < 0:
-                a, b, keys = (np.frombuffer(x, t) for x, t in zip((ids, sizes, keys), (np.int64, np.int64, np.uint64)))
+                a, b, keys = _unpacked(ids), _unpacked(sizes), np.frombuffer(keys, np.uint64)
                 apart = a != b
                 yield from _found(None, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
                 yield from _found(keys, a, a)
@@ -253,7 +267,7 @@ def _pigeonholes(listed: int):
             low = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
             low[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
             low = low.view("<u8").ravel()
-            parts.append((*(np.frombuffer(x, t) for x, t in zip((ids, sizes, counts), (np.int64, np.int32, np.int32))), low | np.uint64(g) << _KEY_BITS,
+            parts.append((_unpacked(ids), _unpacked(sizes).astype(np.int32), _unpacked(counts).astype(np.int32), low | np.uint64(g) << _KEY_BITS,
                           np.unpackbits(np.frombuffer(more, np.uint8), count=len(low)).view(bool)))
             current = g
         if parts:
@@ -452,7 +466,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A linked pair has `margin` equal parts by its smaller document. Where fewer of them are crowded, another one has
     # listed the pair already; only the other documents are open.
     raised = [b for b, (level, _) in needs.items() if level > 0]
-    crowd = found.filter("key is not null").select("key", F.col("a").alias("id")).distinct()
+    # Equal sets have the same keys and are linked already: one of them stands for all under each key.
+    crowd = found.filter("key is not null").select("key", F.col("a").alias("id")).join(member.distinct(), "id")
+    crowd = written(crowd.select("key", F.col("rep").alias("id")).distinct(), "crowd-sets")
+    release(spark)
     often = crowd.groupBy("id").agg(F.count("*").alias("crowded"))
     margin = with_id.groupBy("id").agg(F.min(F.when(F.col("band").isin(raised), 0).otherwise(F.col("margin"))).alias("margin"))
     state = often.join(margin, "id").join(groups_of, "id", "left").select(
