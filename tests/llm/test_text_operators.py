@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,12 @@ def test_jaccard_links_a_document_that_its_batch_kept_back(spark):
     assert (99, len(shingles(other[0][1])), 0) in got
 
 
+def test_numbers_are_sent_in_the_bytes_they_need():
+    for numbers in ([], [5], [-2**63, 2**63 - 1], [0, 255], [0, 256], [7, 70_000, -4], [0, 2**32]):
+        assert jaccard._unpacked(jaccard._packed(np.array(numbers, np.int64))).tolist() == numbers
+    assert len(jaccard._packed(np.arange(2**40, 2**40 + 200))) == 209  # 1600 bytes as plain longs
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.jaccard_groups(docs(spark, [])).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_groups(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]

@@ -8,6 +8,7 @@ from harvestry.functions.documents import canonical_fields
 from harvestry.functions.markup import attribute, plain_text
 from harvestry.functions.text import compact_text, field_label, lenient_int
 from harvestry.operators import extract as E
+from harvestry.operators import records
 from harvestry.operators.records import kv_records
 from harvestry.sources.payloads import api_items, payload_rejects
 from pyspark.sql import functions as F
@@ -113,6 +114,14 @@ def test_elements_are_intervals(spark):
     assert one("<table><tr><td>A<td>a<tr><td>B<td>b</table>") == {"A": "a", "B": "b"}
 
 
+def test_more_pages_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(records, "TASK_PAGES", 2)
+    table = "<table><tr><td>A</td><td>%d</td></tr><tr><td>B</td><td>b<table><tr><td>k</td><td>v</td></tr></table></td></tr></table>"
+    made = kv_records(pages(spark, *(table % i for i in range(1, 23))), required=("A", "B"), optional=(), scope_id="none")
+    assert "REPARTITION_BY_NUM" in (plan := made._jdf.queryExecution().executedPlan().toString()) and ", 11), REPARTITION_BY_NUM" in plan
+    assert {r.page_id: r.fields["A"] for r in made.collect()} == {i: str(i) for i in range(1, 23)}
+
+
 def test_canonical_names_of_a_record(spark):
     html = "<table><tr><td>期刊名字</td><td>N</td></tr><tr><td>期刊ISSN</td><td>0000-0001</td></tr><tr><td>最新影响因子</td><td>up to 7.25!</td></tr></table>"
     fields = kv_records(pages(spark, html)).select(canonical_fields("fields").alias("f")).first().f
