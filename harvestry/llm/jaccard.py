@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from harvestry.llm.components import components
 from harvestry.llm.store import default_parallelism, only_ids, pieces, release, written
-from harvestry.llm.words import SENT_BYTES, Words, chunks, mix
+from harvestry.llm.words import SENT_BYTES, Words, chunks, mix, sorted_chunks
 
 SHINGLE = 5
 #: Keys of one group of the join (16 bytes each with the sort), and the bytes of a key that are sent: within a group the
@@ -163,55 +163,58 @@ def _sketch_words(k_of_band: np.ndarray, groups: int, length: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.sort_by("id"), "text", SENT_BYTES):
-                ids = part.column("id").to_numpy()
-                h, rows = shingles_of(part.column("text"), length)
-                n = np.bincount(rows, minlength=len(ids))
-                some = np.flatnonzero(n)
-                if not len(some):
-                    continue
-                start = (np.cumsum(n) - n)[some]
-                print_of = np.stack([n[some], np.add.reduceat(mix(h ^ np.uint64(0xA5A5)), start).view(np.int64)])
-                lead = np.zeros(len(ids), bool)
-                lead[some[np.unique(print_of, axis=1, return_index=True)[1]]] = True
-                h, rows = h[lead[rows]], rows[lead[rows]]
-                band = band_of(n)
-                own, below = _keys(h, rows, band, k_of_band), None
-                lower = (band > 0)[rows]
-                below = _keys(h[lower], rows[lower], np.maximum(band - 1, 0), k_of_band)
-                key, row = np.concatenate([own[0], below[0]]), np.concatenate([own[1], below[1]])
-                key = (((key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)) << _KEY_BITS) | (key & _LOW)
-                order = np.argsort(key, kind="stable")
-                key, row = key[order], row[order]
-                starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-                size = np.diff(starts, append=len(key))
-                crowded = np.repeat(size > 8, size)
-                busy = np.bincount(row[crowded], minlength=len(ids))
-                order = np.lexsort((row, -busy[row], key))
-                key, row = key[order], row[order]
-                head = np.zeros(len(key), bool)
-                head[starts] = True
-                local = crowded & ~head
-                if local.any():
-                    least = row[np.repeat(starts, size)]
-                    a, b = ids[row[local]], ids[least[local]]
-                    spread = int(ids[0]) % 1009
-                    yield _blobs([-1 - spread], [a], [b], [np.ones(0, np.int32)], [key[local]], [np.ones(0, bool)])
-                    # the first of the batch is an entry of the group, too
-                    heads = head & crowded
-                    yield _blobs([-1 - spread], [ids[row[heads]]], [ids[row[heads]]], [np.ones(0, np.int32)], [key[heads]], [np.ones(0, bool)])
-                key, row, more = key[~local], row[~local], crowded[~local]
-                group = (key >> _KEY_BITS).astype(np.int64)
-                order = np.lexsort((row, group))
-                key, row, group, more = key[order], row[order], group[order], more[order]
-                cuts = np.flatnonzero(np.diff(group, prepend=-1))
-                out: list[list] = [[], [], [], [], [], []]
-                for lo, hi in zip(cuts, np.append(cuts[1:], len(group))):
-                    docs = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
-                    own_rows = row[lo:hi][docs]
-                    for column, value in zip(out, (int(group[lo]), ids[own_rows], n[own_rows], np.diff(docs, append=hi - lo).astype(np.int32), key[lo:hi], more[lo:hi])):
-                        column.append(value)
-                yield _blobs(*out)
+            for part in sorted_chunks(batch, "id", "text", SENT_BYTES):
+                yield from sent_of(part)
+
+    def sent_of(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids = part.column("id").to_numpy()
+        h, rows = shingles_of(part.column("text"), length)
+        n = np.bincount(rows, minlength=len(ids))
+        some = np.flatnonzero(n)
+        if not len(some):
+            return
+        start = (np.cumsum(n) - n)[some]
+        print_of = np.stack([n[some], np.add.reduceat(mix(h ^ np.uint64(0xA5A5)), start).view(np.int64)])
+        lead = np.zeros(len(ids), bool)
+        lead[some[np.unique(print_of, axis=1, return_index=True)[1]]] = True
+        h, rows = h[lead[rows]], rows[lead[rows]]
+        band = band_of(n)
+        own, below = _keys(h, rows, band, k_of_band), None
+        lower = (band > 0)[rows]
+        below = _keys(h[lower], rows[lower], np.maximum(band - 1, 0), k_of_band)
+        key, row = np.concatenate([own[0], below[0]]), np.concatenate([own[1], below[1]])
+        key = (((key >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)) << _KEY_BITS) | (key & _LOW)
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        size = np.diff(starts, append=len(key))
+        crowded = np.repeat(size > 8, size)
+        busy = np.bincount(row[crowded], minlength=len(ids))
+        order = np.lexsort((row, -busy[row], key))
+        key, row = key[order], row[order]
+        head = np.zeros(len(key), bool)
+        head[starts] = True
+        local = crowded & ~head
+        if local.any():
+            least = row[np.repeat(starts, size)]
+            a, b = ids[row[local]], ids[least[local]]
+            spread = int(ids[0]) % 1009
+            yield _blobs([-1 - spread], [a], [b], [np.ones(0, np.int32)], [key[local]], [np.ones(0, bool)])
+            # the first of the batch is an entry of the group, too
+            heads = head & crowded
+            yield _blobs([-1 - spread], [ids[row[heads]]], [ids[row[heads]]], [np.ones(0, np.int32)], [key[heads]], [np.ones(0, bool)])
+        key, row, more = key[~local], row[~local], crowded[~local]
+        group = (key >> _KEY_BITS).astype(np.int64)
+        order = np.lexsort((row, group))
+        key, row, group, more = key[order], row[order], group[order], more[order]
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        out: list[list] = [[], [], [], [], [], []]
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(group))):
+            docs = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
+            own_rows = row[lo:hi][docs]
+            for column, value in zip(out, (int(group[lo]), ids[own_rows], n[own_rows], np.diff(docs, append=hi - lo).astype(np.int32), key[lo:hi], more[lo:hi])):
+                column.append(value)
+        yield _blobs(*out)
 
     return send
 

@@ -26,11 +26,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from harvestry.llm.store import default_parallelism, pieces
-from harvestry.llm.words import SENT_BYTES, Words, chunks, mix
+from harvestry.llm.words import SENT_BYTES, Words, chunks, mix, sorted_chunks
 
 WINDOW = 13
-#: Suffixes of one group (8 bytes each, some 150 MB with the arrays of the sort).
-GROUP_SUFFIXES = 3_000_000
+#: Suffixes of one group (8 bytes each, some 60 MB while the group is read), and those of them that are sorted at once.
+GROUP_SUFFIXES, SORTED_SUFFIXES = 3_000_000, 250_000
 #: Text of one bucket of documents where marks and texts meet.
 BUCKET_BYTES = 12 << 20
 _BITS = 12
@@ -115,32 +115,40 @@ def _suffixes(bounds: np.ndarray, window: int):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch.sort_by("id"), "text", SENT_BYTES):
-                ids, hashes = (part.column(c).to_numpy() for c in ("id", "text_hash"))
-                words = Words(part.column("text"))
-                code, at, rows = codes_of(words, window)
-                if not len(code):
-                    continue
-                whole, step, _ = _distinct(words.runs(window)[at], np.searchsorted(bounds, code, "right") - 1 + rows * len(bounds))
-                rows, group = np.divmod(step, len(bounds))
-                order = np.lexsort((whole, group))  # within a window by id, as rows are
-                same = np.zeros(len(whole), bool)
-                same[1:] = (whole[order][1:] == whole[order][:-1]) & (group[order][1:] == group[order][:-1])
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(whole))))
-                later = np.zeros(len(whole), bool)
-                later[order] = ids[rows[order]] > ids[rows[order[lead]]]
-                by_group = np.argsort(group, kind="stable")
-                cuts = np.flatnonzero(np.diff(group[by_group], prepend=-1))
-                out = []
-                for mine in np.split(by_group, cuts[1:]):
-                    starts = np.flatnonzero(np.diff(step[mine], prepend=-1))
-                    docs = rows[mine[starts]]
-                    out.append((int(group[mine[0]]), ids[docs].tobytes(), hashes[docs].tobytes(),
-                                np.diff(starts, append=len(mine)).astype(np.int32).tobytes(),
-                                np.packbits(later[mine]).tobytes(), whole[mine[~later[mine]]].tobytes()))
-                names = ["grp", "ids", "hashes", "counts", "later", "windows"]
-                kinds = [pa.int32()] + [pa.binary()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+            for part in sorted_chunks(batch, "id", "text", SENT_BYTES):
+                if out := sent_of(part):
+                    names = ["grp", "ids", "hashes", "counts", "later", "windows"]
+                    kinds = [pa.int32()] + [pa.binary()] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    def sent_of(part: pa.RecordBatch) -> list[tuple]:
+        ids, hashes = (part.column(c).to_numpy() for c in ("id", "text_hash"))
+        whole, rows, group = windows_of(part)
+        order = np.lexsort((whole, group))  # within a window by id, as rows are
+        same = np.zeros(len(whole), bool)
+        same[1:] = (whole[order][1:] == whole[order][:-1]) & (group[order][1:] == group[order][:-1])
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(whole))))
+        later = np.zeros(len(whole), bool)
+        later[order] = ids[rows[order]] > ids[rows[order[lead]]]
+        del order, same, lead
+        by_group = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[by_group], prepend=-1))
+        out = []
+        for mine in np.split(by_group, cuts[1:]) if len(cuts) else []:
+            starts = np.flatnonzero(np.diff(rows[mine], prepend=-1))
+            docs = rows[mine[starts]]
+            out.append((int(group[mine[0]]), ids[docs].tobytes(), hashes[docs].tobytes(),
+                        np.diff(starts, append=len(mine)).astype(np.int32).tobytes(),
+                        np.packbits(later[mine]).tobytes(), whole[mine[~later[mine]]].tobytes()))
+        return out
+
+    def windows_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = Words(part.column("text"))
+        code, at, rows = codes_of(words, window)
+        if not len(code):
+            return code, rows, at
+        whole, step, _ = _distinct(words.runs(window)[at], np.searchsorted(bounds, code, "right") - 1 + rows * len(bounds))
+        return whole, *np.divmod(step, len(bounds))
 
     return send
 
@@ -168,16 +176,10 @@ def _subtrees(buckets: int):
             counts.append(np.frombuffer(raw[2], np.int32))
             later.append(np.unpackbits(np.frombuffer(raw[3], np.uint8), count=int(counts[-1].sum())).view(bool))
             windows.append(np.frombuffer(raw[4], np.uint64))
-        ids, hashes, counts, later, windows = (np.concatenate(x) for x in (ids, hashes, counts, later, windows))
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), counts)[~later]
-        order = np.argsort(windows, kind="stable")
-        windows, owner_id = windows[order], ids[owner[order]]
-        starts = np.flatnonzero(np.diff(windows, prepend=~windows[:1]))
-        least = np.minimum.reduceat(owner_id, starts) if len(starts) else owner_id
-        sent = np.zeros(len(windows), bool)
-        sent[order] = owner_id > np.repeat(least, np.diff(starts, append=len(windows)))
-        marks = later.copy()
-        marks[~later] = sent
+        parts.clear()
+        ids, hashes, counts, marks = (np.concatenate(x) for x in (ids, hashes, counts, later))
+        windows = np.concatenate(windows)
+        marks[~marks] = repeated(windows, ids, np.cumsum(counts) - np.cumsum(np.add.reduceat(marks, np.cumsum(counts) - counts, dtype=np.int64)))
         ends = np.cumsum(counts)
         which = np.flatnonzero(np.add.reduceat(marks, ends - counts)) if len(ends) else ends
         bucket = hashes[which] % buckets
@@ -191,6 +193,24 @@ def _subtrees(buckets: int):
                 [pa.array([int(hashes[some[0]]) % buckets], pa.int32()), pa.array([g], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in raw),
                  pa.array([bits], pa.binary())], ["_bucket", "grp", "ids", "hashes", "counts", "bits"])
 
+    def repeated(windows: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which windows a smaller id has, of rows that end at ``ends``; sorted by stretches of their first bits."""
+        out = np.empty(len(windows), bool)
+        stretches = pieces(len(windows), SORTED_SUFFIXES)
+        stretch = np.empty(len(windows), np.int16)
+        for at in range(0, len(windows), SORTED_SUFFIXES):
+            some = slice(at, at + SORTED_SUFFIXES)
+            stretch[some] = (windows[some] >> np.uint64(48)) * np.uint64(stretches) >> np.uint64(16)
+        for k in range(stretches):
+            mine = np.flatnonzero(stretch == k)
+            own, owner_id = windows[mine], ids[np.searchsorted(ends, mine, "right")]
+            order = np.argsort(own, kind="stable")
+            own, owner_id, mine = own[order], owner_id[order], mine[order]
+            starts = np.flatnonzero(np.diff(own, prepend=~own[:1]))
+            least = np.minimum.reduceat(owner_id, starts) if len(starts) else owner_id
+            out[mine] = owner_id > np.repeat(least, np.diff(starts, append=len(mine)))
+        return out
+
     return mark
 
 

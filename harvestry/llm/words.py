@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 CHUNK_BYTES = 1 << 20
 #: The same where what a chunk sends shrinks with the repeats in it.
 SENT_BYTES = 3 << 20
+#: Bytes whose words are hashed at once; a longer single word is hashed alone.
+HASHED_BYTES = 1 << 18
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _STEP = 0x9E3779B97F4A7C15 | 3
@@ -45,13 +47,28 @@ CHUNK_ROWS = 512
 
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most ``limit`` bytes of text and ``rows`` rows each, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for start, stop in _cuts(_sizes(batch, column), limit, rows):
+        yield batch.slice(start, stop - start)
+
+
+def sorted_chunks(batch: pa.RecordBatch, by: str, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Chunks of a batch in the order of ``by``; only the rows of one chunk are copied at a time."""
+    order = pc.sort_indices(batch, sort_keys=[(by, "ascending")])
+    for start, stop in _cuts(_sizes(batch, column)[order.to_numpy()], limit, batch.num_rows):
+        yield batch.take(order.slice(start, stop - start))
+
+
+def _sizes(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+
+
+def _cuts(sizes: np.ndarray, limit: int, rows: int) -> Iterator[tuple[int, int]]:
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
-    while start < batch.num_rows:
+    while start < len(ends):
         before = int(ends[start - 1]) if start else 0
         stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + limit, "right"))))
-        yield batch.slice(start, stop - start)
+        yield start, stop
         start = stop
 
 
@@ -82,13 +99,25 @@ class Words:
         self.ends = np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        sums[1:] = _byte_values()[data]
-        sums[1:] *= powers(_STEP, len(data))
-        np.cumsum(sums, out=sums)
-        length = (self.ends - self.starts).astype(np.uint64)
-        sums = sums[self.ends] - sums[self.starts]
-        self.hashes = mix(sums * powers(pow(_STEP, -1, 2**64), len(data) + 1)[self.starts] + length * _MIX_2)
+        self.hashes = self._hashed()
+
+    def _hashed(self) -> np.ndarray:
+        """Hashes of all words, from the prefix sums of some whole words at a time: 16 bytes of sums and powers a byte of text."""
+        out, values, up, down, lo = np.empty(len(self.starts), np.uint64), _byte_values(), None, None, 0
+        while lo < len(out):
+            begin = self.starts[lo]
+            hi = max(lo + 1, int(np.searchsorted(self.ends, begin + HASHED_BYTES, "right")))
+            starts, ends = self.starts[lo:hi] - begin, self.ends[lo:hi] - begin
+            size = int(ends[-1])
+            if up is None or len(up) < size:
+                up, down = (powers(base, max(size, min(HASHED_BYTES, len(self.data)))) for base in (_STEP, pow(_STEP, -1, 2**64)))
+            sums = np.zeros(size + 1, np.uint64)
+            np.multiply(values[self.data[begin : begin + size]], up[:size], out=sums[1:])
+            np.cumsum(sums, out=sums)
+            length = (ends - starts).astype(np.uint64)
+            out[lo:hi] = mix((sums[ends] - sums[starts]) * down[starts] + length * _MIX_2)
+            lo = hi
+        return out
 
     def runs(self, length: int, skip: int = 0) -> np.ndarray:
         """Hash of the ``length`` words from each word + ``skip``; only meaningful where they lie in one row."""

@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from harvestry.llm import decontaminate, jaccard, packing, sharding, substrings
+from harvestry.llm import words as hashed_words
 from harvestry.llm.components import components
 from tests.llm.frames import corpus, docs, prose
 
@@ -77,6 +80,68 @@ def test_windows_that_share_their_first_words_stay_apart(spark):
     assert [(r.doc_id, r.n_removed) for r in out.collect()] == [(9000, 13)]
 
 
+def peak_mb(work):
+    """What ``work`` gives, and the MB of Python and numpy objects that it held at once."""
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_word_hashes_take_little_memory_and_no_place(monkeypatch):
+    text = prose(4, 400_000, 100_000)
+    whole, peak = peak_mb(lambda: hashed_words.Words(pa.array([text, None, "z " + text[:100]])))
+    assert peak < 25 * len(text) / 1e6  # 39 bytes a byte of text where powers of all places were held
+    monkeypatch.setattr(hashed_words, "HASHED_BYTES", 7)
+    some = hashed_words.Words(pa.array([text[:3000], None, "z " + text[:100]]))
+    assert some.hashes[:400].tolist() == whole.hashes[:400].tolist()
+    assert whole.hashes[whole.first[2] + 1 :][:10].tolist() == whole.hashes[:10].tolist()
+    assert len(set(whole.hashes.tolist())) == len(set(words(text) + words("z " + text[:100])))
+
+
+def test_chunks_in_order_are_those_of_the_sorted_batch():
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), None if i % 9 == 0 else "x" * rng.randrange(50)) for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
+    got = [part.to_pylist() for part in hashed_words.sorted_chunks(batch, "id", "text", 100)]
+    assert got == [part.to_pylist() for part in hashed_words.chunks(batch.sort_by("id"), "text", 100)]
+    assert list(hashed_words.sorted_chunks(batch.slice(0, 0), "id", "text", 100)) == []
+
+
+def test_a_group_of_suffixes_is_sorted_in_stretches():
+    rng = np.random.default_rng(6)
+    rows, first = [], {}
+    for k in range(20):
+        ids, counts = rng.permutation(1000)[:100].astype(np.int64), np.full(100, 500, np.int32)
+        windows, later = rng.integers(0, 2**64, 50_000, np.uint64), rng.random(50_000) < 0.01
+        if rows:
+            windows[::50] = np.frombuffer(rows[-1][-1], np.uint64)[: len(windows[::50])]
+        for i, w in zip(np.repeat(ids, counts)[~later].tolist(), windows[~later].tolist()):
+            first[w] = min(first.get(w, i), i)
+        rows.append((7, ids, ids.astype(np.int32), counts, later, windows[~later].tobytes()))
+    names, kinds = ["grp", "ids", "hashes", "counts", "later", "windows"], [pa.int32()] + [pa.binary()] * 5
+    sent = [(g, i.tobytes(), h.tobytes(), c.tobytes(), np.packbits(x).tobytes(), w) for g, i, h, c, x, w in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*sent), kinds)], names)
+    out, peak = peak_mb(lambda: list(substrings._subtrees(1)(iter([batch]))))
+    assert peak < 50  # 8 MB of windows; 69 where all were sorted at once
+    (out,) = (x.to_pylist()[0] for x in out)
+    got, at = {}, 0
+    for i, n in zip(np.frombuffer(out["ids"], np.int64).tolist(), np.frombuffer(out["counts"], np.int32).tolist()):
+        got.setdefault(i, []).append(np.unpackbits(np.frombuffer(out["bits"], np.uint8, (n + 7) // 8, at), count=n).view(bool).tolist())
+        at += (n + 7) // 8
+    expected = {}
+    for _, ids, _, counts, later, windows in rows:
+        marks = later.copy()
+        owners = np.repeat(ids, counts)[~later].tolist()
+        marks[~later] = [i > first[w] for i, w in zip(owners, np.frombuffer(windows, np.uint64).tolist())]
+        for i, bits in zip(ids.tolist(), np.split(marks, np.cumsum(counts)[:-1])):
+            if bits.any():
+                expected.setdefault(i, []).append(bits.tolist())
+    assert got == expected
+
+
 def groups_by_hand(rows):
     sets = [(i, shingles(t)) for i, t in rows]
     root = {i: i for i, _ in rows if i is not None}
