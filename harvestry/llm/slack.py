@@ -20,6 +20,8 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +35,30 @@ from harvestry.llm.words import chunks
 
 #: Ids of one window.
 CAPACITY = 4096
-#: Bytes of text tokenised at once, and words beyond which a task forgets their ids.
+#: Bytes of text tokenised at once, and words beyond which a Python worker forgets ids.
 TEXT_BYTES = 8 << 20
 KNOWN_WORDS = 300_000
-#: Words that are one stretch of letters and perhaps one of marks, and how many of these are tokenised as one text.
-PLAIN, TOGETHER = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]?)"), 100
+#: Letters and marks of plain words, which are a stretch of letters and perhaps one of marks, and how many stretches of
+#: letters are tokenised as one text. The apostrophe is no mark here: with letters behind it, it can be a stretch.
+LETTERS, MARKS, TOGETHER = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~", 100
+PLAIN, STRETCH = f"^(?P<head>[{LETTERS}]+)(?P<tail>[{MARKS}]*)$", re.compile(f"[{LETTERS}]+")
 #: How tokens at the end of a stretch are written in a vocabulary that marks word ends.
 WORD_END = "</w>"
 #: Pieces of one length that a rank can tell apart.
 _RANKS = 40
 
 
+def _of(characters: str) -> str:
+    return "".join(c for c in map(chr, range(256)) if re.match(f"[{characters}]", c))
+
+
 class TextIds:
     """Token ids of whole texts. Where the tokenizer drops white space, each distinct word of a batch is tokenised once.
 
     No step of such a tokenizer reaches across white space, so the ids of a text are those of its words in turn; tests
-    compare them with the tokenizer's own. Other tokenizers get whole texts.
+    compare them with the tokenizer's own. Where it also parts letters from marks, plain words are looked up as a head of
+    letters and a tail of marks, in small letters if it makes all letters small: "House", "house," and "house" are
+    tokenised once. Other tokenizers get whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,31 +71,70 @@ class TextIds:
         self.ends[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
         both = self._encode(["one two.", "one", "two.", "\tone\n\n two. "])
         self.by_word = both[0] == both[1] + both[2] == both[3] and self.ends[both[0]].sum() == 3
-        self._forget()
+        self.by_part = self.by_word and self._parts()
+        normal, letters = self.tokenizer.normalizer, _of(LETTERS)
+        self.small = normal is not None and normal.normalize_str(letters) == letters.lower()
+        self.place: dict[str, int] = {}
+        self.ids, self.sizes, self.again = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self) -> bool:
+        """Whether the ids of a plain word are those of its letters and those of its marks."""
+        letters, marks = _of(LETTERS), _of(MARKS)
+        heads, tails = self._encode(list(letters)), self._encode(list(marks))
+        return (
+            self._encode([a + m for a in letters for m in marks]) == [a + m for a in heads for m in tails]
+            and all(self.ends[a].sum() == 1 for a in heads)
+            # a token that is found in the text itself must not lie within a plain word
+            and not any(re.fullmatch(f"[{LETTERS}]*[{MARKS}]*", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()))
+
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        """Words that came up again since the last time are kept, unless they are too many."""
+        kept, words = np.flatnonzero(self.again), list(self.place)  # in the order of their places
+        if len(kept) > KNOWN_WORDS // 2:
+            kept = kept[:0]
+        self.place = {words[i]: k for k, i in enumerate(kept.tolist())}
+        self.ids, self.sizes, self.again = _in_turn(self.ids, self.sizes, kept), self.sizes[kept], np.zeros(len(kept), bool)
 
     def _learn(self, words: list[str]) -> None:
-        # many words in one text cost less than a text each; where one ends is seen by its tokens
-        plain, odd, stretches = [], [], []
+        # many stretches in one text cost less than a text each; where one ends is seen by its tokens
+        plain, odd = [], []
         for w in words:
-            if found := PLAIN.fullmatch(w):
-                plain.append(w)
-                stretches.append(2 if found[1] else 1)
-            else:
-                odd.append(w)
+            (plain if self.by_part and STRETCH.fullmatch(w) else odd).append(w)
         texts = [" ".join(plain[i : i + TOGETHER]) for i in range(0, len(plain), TOGETHER)]
         joined = np.array([i for ids in self._encode(texts) for i in ids], np.uint32)
-        ends = np.flatnonzero(self.ends[joined])[np.cumsum(np.array(stretches, np.int64)) - 1]
         single = self._encode(odd)
         self.place.update(zip(plain + odd, range(len(self.sizes), len(self.sizes) + len(words))))
         self.ids = np.concatenate([self.ids, joined, np.array([i for ids in single for i in ids], np.uint32)])
-        self.sizes = np.concatenate([self.sizes, np.diff(ends, prepend=-1), np.array([len(ids) for ids in single], np.int64)])
+        self.sizes = np.concatenate([self.sizes, np.diff(np.flatnonzero(self.ends[joined]), prepend=-1), np.array([len(ids) for ids in single], np.int64)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each of these are in ``sizes``; new ones are learned."""
+        found = words.dictionary_encode()
+        words = found.dictionary.to_numpy(zero_copy_only=False)
+        if len(self.place) > KNOWN_WORDS:
+            self._forget()
+        place = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = place < 0
+        self.again[place[~new]] = True
+        if new.any():
+            self._learn(words[new].tolist())
+            place[new] = [self.place[w] for w in words[new]]
+        return place[found.indices.to_numpy()]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words in turn and how many each has."""
+        if not self.by_part:
+            place = self._places(words)
+            return _in_turn(self.ids, self.sizes, place), self.sizes[place]
+        plain = pc.extract_regex(words, PLAIN)
+        head, tail = pc.struct_field(plain, "head"), pc.struct_field(plain, "tail")
+        head = pc.coalesce(pc.utf8_lower(head) if self.small else head, words)
+        place = self._places(pa.concat_arrays([head, pc.fill_null(tail, "")])).reshape(2, -1).T
+        return _in_turn(self.ids, self.sizes, place.ravel()), self.sizes[place].sum(1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and end among them."""
@@ -94,20 +143,26 @@ class TextIds:
             return np.array([i for ids in found for i in ids], np.uint32), np.cumsum([0, *map(len, found)])
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         found = lists.flatten().dictionary_encode()
-        words = found.dictionary.to_pylist()
-        if len(self.place) > KNOWN_WORDS:
-            self._forget()
-        new = [w for w in words if w not in self.place]
-        if new:
-            self._learn(new)
-        word = np.fromiter((self.place[w] for w in words), np.int64, len(words))[found.indices.to_numpy()]
-        starts = np.cumsum(self.sizes) - self.sizes
-        each = self.sizes[word]
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(starts[word] - (ends - each), each)
-        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-        return self.ids[at], cuts
+        word = found.indices.to_numpy()
+        ids, sizes = self._words(found.dictionary)
+        cuts = np.concatenate([[0], np.cumsum(sizes[word])])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return _in_turn(ids, sizes, word), cuts
+
+
+def _in_turn(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Ids of the stretches ``which``, in turn; ``ids`` has all stretches one after the other, ``sizes`` how long each is."""
+    lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]), pa.array(ids))
+    return lists.take(pa.array(which)).flatten().to_numpy()
+
+
+@lru_cache(maxsize=1)
+def _text_ids(path: str, changed: int) -> TextIds:
+    return TextIds(path)
+
+
+def text_ids(path: str) -> TextIds:
+    """The ids by the file at ``path``; a Python worker keeps the file and the words it knows from task to task."""
+    return _text_ids(path, os.stat(path).st_mtime_ns)
 
 
 def best_filling(window: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
@@ -215,7 +270,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     """Full windows and the rest of each document, each with its rank among those of its length in this task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, seen, task = TextIds(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        ids_of, seen, task = text_ids(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for part in chunks(batch, "text", TEXT_BYTES):
                 ids, cuts = ids_of(part.column("text"))
@@ -281,7 +336,7 @@ def _checksums(path: str, end_id: int):
     """Checksum of the ids of one part of each text."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = TextIds(path)
+        ids_of = text_ids(path)
         for batch in batches:
             for part in chunks(batch, "text", TEXT_BYTES):
                 ids, cuts = ids_of(part.column("text"))

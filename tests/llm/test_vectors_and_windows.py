@@ -250,3 +250,75 @@ def test_ids_of_a_tokenizer_that_keeps_white_space():
     assert not ids_of.by_word
     ids, cuts = ids_of(pa.array(["one  two", None, "three"]))
     assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in ("one  two", "", "three")]
+
+
+def same_ids(tokenizer, ids_of, texts):
+    import pyarrow as pa
+
+    ids, cuts = ids_of(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+#: Plain words in all cases and with all marks, words that only look like it, and tokens found in the text itself.
+LOOK_ALIKES = [
+    "House house HOUSE, house. house### house.%%% (house) 'house' house's HOUSE'S house' l'été L'ÉTÉ!", "ÀÖØÞ àöøþ ßÿ ÿ! ß, ŸÿŸ aªb ×÷ a×b",
+    "".join(f" Ab{m} aB{m}{m} É{m}" for m in map(chr, range(33, 127))), "J\u030c j\u030c H\u0331 I\u0307 i\u0307 K\u212a \u017fs", "a<|endoftext|> a<|ENDOFTEXT|> A<| a|> <|", "", None,
+    "pad PAD padded Pad, one-two ONE_two", "x" * 300 + "!" * 300]
+
+
+def test_heads_and_tails_are_tokenised_once():
+    tokenizer, ids_of, seen = Tokenizer.from_file(WORDS), slack.TextIds(WORDS), Counter()
+    encode = ids_of._encode
+    ids_of._encode = lambda texts: seen.update(w for t in texts for w in t.split()) or encode(texts)
+    assert ids_of.by_part and ids_of.small
+    same_ids(tokenizer, ids_of, ["House house, HOUSE. été### ÉTÉ", "house! Été, house###", "house"])
+    assert seen == Counter(["house", "été", ",", ".", "!", "###"])
+    same_ids(tokenizer, ids_of, LOOK_ALIKES)
+
+
+def test_words_that_come_up_again_are_kept(monkeypatch):
+    tokenizer, ids_of = Tokenizer.from_file(WORDS), slack.TextIds(WORDS)
+    monkeypatch.setattr(slack, "KNOWN_WORDS", 16)
+    same_ids(tokenizer, ids_of, [" ".join(f"w{'abcdefghij'[i]}x" for i in range(10)) + " again, 1234"])
+    same_ids(tokenizer, ids_of, ["again, and once more 1234"])
+    same_ids(tokenizer, ids_of, ["again. other wax"])
+    assert {"again", ",", "1234"} <= set(ids_of.place) and not {"wbx", "more"} & set(ids_of.place)
+    for seed in range(6):
+        same_ids(tokenizer, ids_of, [prose(seed, 40), *LOOK_ALIKES])
+
+
+def test_ids_of_tokenizers_with_other_rules(tmp_path):
+    import json
+
+    def changed(name, change):
+        rules = json.load(open(WORDS))
+        change(rules)
+        (tmp_path / name).write_text(json.dumps(rules))
+        return str(tmp_path / name)
+
+    def cased(rules):
+        rules["normalizer"]["normalizers"].pop()
+
+    def pads(rules):
+        rules["added_tokens"].append({"id": 49408, "content": "PAD", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+
+    def together(rules):
+        rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+%?|[^\s\p{L}%]+|%"
+
+    for name, change, by_part, small in (("cased", cased, True, False), ("pads", pads, False, True), ("together", together, False, True)):
+        path = changed(name, change)
+        ids_of = slack.TextIds(path)
+        assert (ids_of.by_word, ids_of.by_part, ids_of.small) == (True, by_part, small)
+        same_ids(Tokenizer.from_file(path), ids_of, [*LOOK_ALIKES, "Upper UPPER upper% a% PADx xPAD!"])
+
+
+def test_a_worker_keeps_its_tokenizer_until_the_file_changes(tmp_path):
+    import os
+    import shutil
+
+    path = str(tmp_path / "rules.json")
+    shutil.copyfile(WORDS, path)
+    first = slack.text_ids(path)
+    assert slack.text_ids(path) is first
+    os.utime(path, ns=(1, 1))
+    assert slack.text_ids(path) is not first
